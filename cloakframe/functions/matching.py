@@ -80,7 +80,7 @@ def running(values: str, step: str) -> str:
 def starts(hit_array: str, gap_array: str) -> str:
     """Where each hit begins, from 1, in code points; for columns of hits and gaps."""
     steps = (
-        f"transform({hit_array}, (h, i) -> "
-        f"length({gap_array}[i]) + if(i > 0, length({hit_array}[i - 1]), 0))"
+        f"transform({hit_array}, (one, at) -> "
+        f"length({gap_array}[at]) + if(at > 0, length({hit_array}[at - 1]), 0))"
     )
     return f"transform({running(steps, '{a} + {x}')}, before -> before + 1)"
