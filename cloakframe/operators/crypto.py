@@ -31,10 +31,15 @@ def derive_keys(salts: DataFrame, salt: str, password: str,
                 rounds: int = fixed.KDF_ROUNDS) -> DataFrame:
     """Table of distinct salts and their keys, derived on the executors."""
 
+    size = fixed.KEY_BYTES
+
+    # Plain closure: workers need not have this package installed.
     def derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(0).to_pylist()
-            keys = [derive_key(password, v, rounds) for v in values]
+            keys = [
+                hashlib.pbkdf2_hmac("sha256", password.encode(), v, rounds, size) for v in values
+            ]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(values, pa.binary()), pa.array(keys, pa.binary())], ["salt", "key"]
             )

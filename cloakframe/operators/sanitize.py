@@ -86,6 +86,14 @@ def sanitize(df: DataFrame, column: str, types: Iterable[str] | None = None, key
     return df.withColumn(column, sanitized(column, types, key, mode))
 
 
+def sanitize_changed(df: DataFrame, column: str, types: Iterable[str] | None = None,
+                     key: str = "", mode: str = "line") -> DataFrame:
+    """Sanitized rows, only those whose text changed."""
+    both = df.withColumn("_before", F.col(column))
+    changed = sanitize(both, column, types, key, mode).filter(F.col(column) != F.col("_before"))
+    return changed.drop("_before")
+
+
 def sanitize_noted(df: DataFrame, line: str, types: Iterable[str] | None = None,
                    key: str = "") -> DataFrame:
     """Like :func:`sanitize` for single lines, plus a ``replacements`` array."""

@@ -11,7 +11,7 @@ from cloakframe.operators.anonymize import anonymize, infer_column_plan
 from cloakframe.operators.detect import scan_summary, scan_text
 from cloakframe.operators.fingerprint import manifest_rows
 from cloakframe.operators.properties import os_properties
-from cloakframe.operators.sanitize import sanitize, sanitize_stats
+from cloakframe.operators.sanitize import sanitize_changed, sanitize_stats
 from cloakframe.sources import files, tables
 
 
@@ -44,8 +44,7 @@ def sanitize_files(spark: SparkSession, path: str | Sequence[str], out: str | No
     """
     texts = files.read_texts(spark, path, recursive, fixed.LOG_EXTENSIONS, allow_no_suffix=True)
     if out:
-        both = sanitize(texts.withColumn("before", F.col("text")), "text", types, key, mode)
-        changed = both.filter(F.col("text") != F.col("before")).drop("before")
+        changed = sanitize_changed(texts, "text", types, key, mode)
         changed.withColumn("output_name", output_name(F.col("file"), "_sanitized")).write.parquet(out)
     return sanitize_stats(texts, "text", types)
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cloakframe.operators.detect import without_raw_values, with_masks
 from cloakframe.operators.properties import with_risk
+from cloakframe.operators.sanitize import sanitize_changed
 from cloakframe.operators.spread import spread_join
 
 _PROPERTIES_PER_LINE = 4096
@@ -67,22 +68,10 @@ def write_findings_json(findings: DataFrame, summary: DataFrame, path: str,
     summary.write.json(f"{path}/summary")
 
 
-def write_sanitized(before: DataFrame, after: DataFrame, key: Sequence[str], text: str,
-                    path: str) -> None:
-    """Write the texts that sanitizing changed, as parquet; nothing for the others."""
-    changed_texts(before, after, key, text).write.parquet(path)
-
-
-def changed_texts(before: DataFrame, after: DataFrame, key: Sequence[str], text: str) -> DataFrame:
-    """Rows of ``after`` whose text differs from the row of ``before`` with the same key."""
-    old = before.select(*key, F.xxhash64(text).alias("_old"), F.md5(text).alias("_old_md5"))
-    new = after.withColumn("_new", F.xxhash64(text)).withColumn("_new_md5", F.md5(text))
-    differs = (F.col("_new") != F.col("_old")) | (F.col("_new_md5") != F.col("_old_md5"))
-    return new.join(old, list(key)).filter(differs).select(*after.columns)
-
-
-def manifest_lines(manifest: DataFrame) -> DataFrame:
-    return manifest.select(F.concat_ws("  ", "digest", "rel_path").alias("value"))
+def write_sanitized(df: DataFrame, text: str, path: str, types: Iterable[str] | None = None,
+                    key: str = "") -> None:
+    """Sanitize and write, as parquet, only the rows whose text changed."""
+    sanitize_changed(df, text, types, key).write.parquet(path)
 
 
 def write_manifest(manifest: DataFrame, path: str, algorithm: str = "sha256",
