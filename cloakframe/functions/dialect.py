@@ -35,17 +35,21 @@ def java_pattern(pattern: str, ignore_case: bool = False, within_lines: bool = F
                     out.append(r"\n")
                 out.append("]")
             else:
-                out.append("\\" + ch if ch in "[]&" else ch)
+                out.append("\\" + ch if ch in "[]&" else _plain(ch))
         elif ch == "[":
             in_class, negated = True, pattern[i + 1 : i + 2] == "^"
             out.append("[^" if negated else "[")
             i += int(negated)
         else:
-            out.append(ch)
+            out.append(_plain(ch))
         i += 1
     return ("(?iud)" if ignore_case else "(?d)") + "".join(out)
 
 
+def _plain(ch: str) -> str:
+    return r"\x27" if ch == "'" else ch  # keeps the expression a simple SQL literal
+
+
 def _escape(letter: str, in_class: bool, negated: bool, within_lines: bool) -> str:
     feed = "" if within_lines and not negated else r"\n"
     if letter == "d":
@@ -64,7 +68,7 @@ def _escape(letter: str, in_class: bool, negated: bool, within_lines: bool) -> s
         return _BOUNDARY
     if letter == "B":
         return _NO_BOUNDARY
-    return "\\" + letter
+    return r"\x27" if letter == "'" else "\\" + letter
 
 
 def quote(term: str) -> str:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cloakframe.functions import fixed_values as fixed
 from cloakframe.operators.spread import spread_join
+from cloakframe.sources.scratch import scratch_folder
 
 _HEAD = fixed.SALT_BYTES
 _SMALLEST = fixed.SALT_BYTES + fixed.NONCE_BYTES + fixed.TAG_BYTES
@@ -29,7 +30,7 @@ def derive_key(password: str, salt: bytes, rounds: int = fixed.KDF_ROUNDS) -> by
 
 def derive_keys(salts: DataFrame, salt: str, password: str,
                 rounds: int = fixed.KDF_ROUNDS) -> DataFrame:
-    """Table of distinct salts and their keys, derived on the executors."""
+    """Table of the given salts, which are distinct, and their keys; executors do the work."""
 
     size = fixed.KEY_BYTES
 
@@ -44,8 +45,7 @@ def derive_keys(salts: DataFrame, salt: str, password: str,
                 [pa.array(values, pa.binary()), pa.array(keys, pa.binary())], ["salt", "key"]
             )
 
-    distinct = salts.select(F.col(salt).cast("binary").alias("salt")).distinct()
-    return distinct.mapInArrow(derive, "salt binary, key binary")
+    return salts.select(F.col(salt).cast("binary").alias("salt")).mapInArrow(derive, "salt binary, key binary")
 
 
 def encrypt(df: DataFrame, column: str, password: str, salt: bytes | None = None,
@@ -79,9 +79,9 @@ def decrypt(df: DataFrame, column: str, password: str, salt: bytes | None = None
 
     A blob fails if it is too short, was changed, or the password is wrong.
     With a known single ``salt`` only one key is derived.  Otherwise the distinct
-    salts are collected by Spark and their keys joined back: by broadcast if they
-    are counted to be few (the count is skipped if ``few_salts`` is given), else
-    by a join that stays balanced when most blobs share one salt.
+    salts (not secret) are written to the scratch folder and counted, and their
+    keys joined back: by broadcast if they are few, else by a join that stays
+    balanced when most blobs share one salt.  ``few_salts`` overrides the choice.
     """
     spark = df.sparkSession
     head = F.substring(F.col(column), 1, _HEAD)
@@ -90,11 +90,14 @@ def decrypt(df: DataFrame, column: str, password: str, salt: bytes | None = None
         row = (bytearray(salt), bytearray(derive_key(password, salt, rounds)))
         keys, few_salts = spark.createDataFrame([row], "salt binary, key binary"), True
     else:
-        salts = salted.filter(F.col("_salt").isNotNull()).select("_salt")
+        path = scratch_folder(spark, "salts")
+        salted.filter("_salt is not null").select("_salt").distinct().write.parquet(path)
+        salts = spark.read.parquet(path)
+        n = salts.count()
         if few_salts is None:
-            few_salts = salts.distinct().limit(_MOST_BROADCAST_KEYS + 1).count() \
-                <= _MOST_BROADCAST_KEYS
-        keys = derive_keys(salts, "_salt", password, rounds)
+            few_salts = n <= _MOST_BROADCAST_KEYS
+        tasks = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
+        keys = derive_keys(salts.repartition(tasks), "_salt", password, rounds)
     keys = keys.select(F.col("salt").alias("_salt"), F.col("key").alias("_key"))
     joined = (
         salted.join(F.broadcast(keys), "_salt", "left") if few_salts

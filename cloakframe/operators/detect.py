@@ -100,10 +100,15 @@ def with_masks(findings: DataFrame) -> DataFrame:
 
 
 def without_raw_values(findings: DataFrame) -> DataFrame:
-    """Masked values only, also inside the context."""
-    masked = with_masks(findings)
-    return masked.withColumn(
-        "context", F.replace(F.col("context"), F.col("value"), F.col("value_masked"))
+    """Masked values only.
+
+    The context keeps the masked value; digits and addresses around it, which may
+    belong to other findings, are blotted out.
+    """
+    marked = F.replace(F.col("context"), F.col("value"), F.lit("\x01"))
+    blotted = F.regexp_replace(F.regexp_replace(marked, r"[^\s\x01]*@[^\s\x01]*", "***"), r"\p{Nd}", "#")
+    return with_masks(findings).withColumn(
+        "context", F.replace(blotted, F.lit("\x01"), F.col("value_masked"))
     ).drop("value")
 
 

@@ -78,10 +78,10 @@ def redacted(column: str, terms: Sequence[str] = (), patterns: Sequence[str] = (
     regexes = _regexes(terms, patterns)
     cut = _cut("line", regexes, fill, granularity)
     lines = (
-        f"transform(split({name(column)}, '\\n', -1), "
+        f"transform(split({name(column)}, chr(10), -1), "
         f"line -> if({_any_hit('line', regexes)}, {cut}, line))"
     )
-    return F.expr(f"array_join({lines}, '\\n')")
+    return F.expr(f"array_join({lines}, chr(10))")
 
 
 def redact(df: DataFrame, column: str, terms: Sequence[str] = (), patterns: Sequence[str] = (),
@@ -127,7 +127,7 @@ def redact_stats(df: DataFrame, column: str, terms: Sequence[str] = (),
     regexes = _regexes(terms, patterns)
     if page is not None:
         df = df.filter(page_filter(F.col(page), pages))
-    lines = f"split({name(column)}, '\\n', -1)"
+    lines = f"split({name(column)}, chr(10), -1)"
     in_line = " + ".join(f"size({hits('line', r)})" for _, r in regexes)
     n = (
         f"aggregate({lines}, 0L, (n, line) -> "

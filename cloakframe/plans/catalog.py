@@ -17,6 +17,7 @@ from cloakframe.operators import (
 )
 from cloakframe.plans import inputs, jobs, oracle
 from cloakframe.sources import files, tables
+from cloakframe.sources.scratch import scratch_folder
 from cloakframe.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,8 +29,12 @@ def query(function: Query) -> Query:
     return function
 
 
+# Tables whose rows are texts, where most of the work is per row.
+_TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return tables.read_table(spark, sf, name)
+    return tables.read_table(spark, sf, name, spread=name in _TEXTS)
 
 
 def derive(spark: SparkSession, sf: str, sql: str, *names: str) -> DataFrame:
@@ -115,7 +120,7 @@ def scan_masked(spark, sf):
 
 @query
 def scan_masked_context(spark, sf):
-    return detect.without_raw_values(detect.scan_text(texts(spark, sf), "text", ["ip_address"]))
+    return detect.without_raw_values(detect.scan_text(texts(spark, sf), "text"))
 
 
 @query
@@ -256,7 +261,7 @@ def sanitize_noted(spark, sf):
 
 @query
 def sanitize_changed(spark, sf):
-    path = tables.scratch_folder(spark, "sanitized")
+    path = scratch_folder(spark, "sanitized")
     tables.write_sanitized(documents(spark, sf), "text", path, "all")
     return spark.read.parquet(path)
 
@@ -265,7 +270,7 @@ def sanitize_changed(spark, sf):
 def sanitize_stream(spark, sf):
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
     stream = streams.table_stream(spark, sf, schema, "documents.parquet").select("doc_id", "text")
-    path = tables.scratch_folder(spark, "stream")
+    path = scratch_folder(spark, "stream")
     streams.run_available(
         streams.sanitize_stream(stream, "text", "all"), path, path + "-checkpoint"
     )
@@ -456,7 +461,7 @@ def manifest(spark, sf):
 
 @query
 def manifest_round_trip(spark, sf):
-    path = tables.scratch_folder(spark, "manifest")
+    path = scratch_folder(spark, "manifest")
     tables.write_manifest(manifest(spark, sf), path, "sha256", "documents")
     return tables.read_manifest(spark, path)
 
@@ -592,7 +597,7 @@ def comment_counts(spark, sf):
 
 @query
 def metadata_objects(spark, sf):
-    path = tables.scratch_folder(spark, "metadata")
+    path = scratch_folder(spark, "metadata")
     tables.write_metadata_json(properties(spark, sf), path)
     objects = spark.read.schema(
         "path string, file_type string, os_metadata map<string,string>, format_metadata "
@@ -619,7 +624,7 @@ def encrypt_sizes(spark, sf):
 
 @query
 def decrypt_round_trip(spark, sf):
-    path = tables.scratch_folder(spark, "blobs")
+    path = scratch_folder(spark, "blobs")
     crypto.encrypt(documents(spark, sf), "text", _PASSWORD, n_salts=4).write.parquet(path)
     plain = crypto.decrypt(spark.read.parquet(path), "text", _PASSWORD)
     return plain.select("doc_id", F.md5("text").alias("digest"))
@@ -627,7 +632,7 @@ def decrypt_round_trip(spark, sf):
 
 @query
 def decrypt_tampered(spark, sf):
-    path = tables.scratch_folder(spark, "blobs")
+    path = scratch_folder(spark, "blobs")
     crypto.encrypt(documents(spark, sf), "text", _PASSWORD).write.parquet(path)
     blob = F.col("text")
     harmed = (
@@ -652,7 +657,7 @@ def entropy(spark, sf):
 @query
 def issue_codes(spark, sf):
     made = codes.issue_codes(table(spark, sf, "customer"), length=20)
-    path = tables.scratch_folder(spark, "codes")
+    path = scratch_folder(spark, "codes")
     made.select("c_custkey", "code").write.parquet(path)
     code = F.col("code")
     return spark.read.parquet(path).select(
@@ -681,7 +686,7 @@ def issue_pins(spark, sf):
 
 
 def _text_files(spark: SparkSession, sf: str) -> str:
-    path = tables.scratch_folder(spark, "texts")
+    path = scratch_folder(spark, "texts")
     table(spark, sf, "pages").select("html").write.text(path)
     return path
 
@@ -725,14 +730,14 @@ def scan_files_summary(spark, sf):
 
 @query
 def sanitize_files(spark, sf):
-    out = tables.scratch_folder(spark, "clean")
+    out = scratch_folder(spark, "clean")
     stats = jobs.sanitize_files(spark, _text_files(spark, sf), out, types="all")
     return _flat_stats(stats).drop("total_lines")
 
 
 @query
 def findings_json(spark, sf):
-    path = tables.scratch_folder(spark, "report")
+    path = scratch_folder(spark, "report")
     found = detect.scan_text(texts(spark, sf), "text")
     tables.write_findings_json(found, detect.scan_summary(texts(spark, sf), "text"), path)
     rows = spark.read.schema(
@@ -743,14 +748,14 @@ def findings_json(spark, sf):
 
 @query
 def csv_round_trip(spark, sf):
-    path = tables.scratch_folder(spark, "csv")
+    path = scratch_folder(spark, "csv")
     tables.write_csv(people(spark, sf).select("c_custkey", "c_name", "contact", "line"), path)
     return tables.read_csv_strings(spark, path)
 
 
 @query
 def anonymize_csv(spark, sf):
-    source, out = tables.scratch_folder(spark, "csv"), tables.scratch_folder(spark, "csv")
+    source, out = scratch_folder(spark, "csv"), scratch_folder(spark, "csv")
     tables.write_csv(people(spark, sf).select("c_custkey", "c_name", "contact", "host"), source)
     jobs.anonymize_csv(spark, source, out)
     return tables.read_csv_strings(spark, out)

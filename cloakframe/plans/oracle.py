@@ -392,9 +392,11 @@ def oracles() -> dict[str, str]:
         "scan_ssn": findings(lines(inputs.SSN_LINES, "id"), "id", ("SSN",)),
         "scan_masked": f'SELECT id, type, line, "column", {MASKED} AS value_masked '
                        f"FROM ({TEXT_FINDINGS})",
-        "scan_masked_context": f'SELECT id, type, description, line, "column", context, '
-                               f"value AS value_masked FROM "
-                               f"({findings(TEXT_LINES, 'id', ('IP_ADDRESS',))})",
+        "scan_masked_context": f"""
+            SELECT id, type, description, line, "column", {MASKED} AS value_masked,
+              replace(regexp_replace(regexp_replace(replace(context, value, chr(1)),
+              '[^\\s\\x01]*@[^\\s\\x01]*', '***', 'g'), '\\d', '#', 'g'), chr(1), {MASKED})
+              AS context FROM ({TEXT_FINDINGS})""",
         "scan_report": f'SELECT id, type, count(*) OVER (PARTITION BY id, type)::BIGINT AS '
                        f'instances, line, "column", {MASKED} AS value_masked '
                        f"FROM ({TEXT_FINDINGS})",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -16,23 +14,19 @@ from cloakframe.operators.spread import spread_join
 _PROPERTIES_PER_LINE = 4096
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
     """A parquet table.
 
-    Input with fewer splits than there are cores (less than one split of data per
-    core) is spread first, so that one small file does not keep one core busy
-    with all expressions; larger input is read as it lies, without a shuffle.
+    ``spread`` is for costly work per row: input with fewer splits than there are
+    cores (less than one split of data per core) is spread over all of them, so
+    that one small file does not keep one core busy with all expressions.  Larger
+    input is read as it lies, without a shuffle.
     """
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def scratch_folder(spark: SparkSession, purpose: str) -> str:
-    """A new path in the shared folder of the cluster, or a local one in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = shared or tempfile.mkdtemp(prefix="cloakframe-")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    if spread and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def read_csv_strings(spark: SparkSession, path: str, encoding: str = "UTF-8",
