@@ -8,6 +8,8 @@ whole text and still find exactly what it finds line by line.
 
 from __future__ import annotations
 
+import re
+
 _SPACE = r"\t\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 # ASCII first: looking up the Unicode category of every letter is slow.
 _DIGIT = r"[0-9\u0660-\x{10FFFF}&&\p{Nd}]"
@@ -15,6 +17,9 @@ _WORD = r"A-Za-z0-9_[\x80-\x{10FFFF}&&[\p{L}\p{N}]]"
 _BOUNDARY = rf"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
 _NO_BOUNDARY = rf"(?:(?<=[{_WORD}])(?=[{_WORD}])|(?<![{_WORD}])(?![{_WORD}]))"
 
+_STARTS_WORD = re.compile(r"(?:\((?:\?:)?)*(\\d|\[[0-9A-Za-z-]+\])")
+_ENDS_WORD = re.compile(r"(?:\\d|\[[0-9A-Za-z-]+\])(?:[+]|\{[0-9,]+\})?\)*$")
+
 SPACES = rf"[{_SPACE}\n]"
 
 
@@ -24,7 +29,10 @@ def java_pattern(pattern: str, ignore_case: bool = False, within_lines: bool = F
     while i < len(pattern):
         ch = pattern[i]
         if ch == "\\" and i + 1 < len(pattern):
-            out.append(_escape(pattern[i + 1], in_class, negated, within_lines))
+            if pattern[i + 1] == "b" and not in_class:
+                out.append(_boundary(pattern[:i], pattern[i + 2 :]))
+            else:
+                out.append(_escape(pattern[i + 1], in_class, negated, within_lines))
             i += 2
             continue
         if in_class:
@@ -46,6 +54,17 @@ def java_pattern(pattern: str, ignore_case: bool = False, within_lines: bool = F
     return ("(?iud)" if ignore_case else "(?d)") + "".join(out)
 
 
+def _boundary(before: str, after: str) -> str:
+    """Word boundary; a one-sided test where the pattern itself shows the other side."""
+    starts = _STARTS_WORD.match(after)
+    if starts:
+        first = java_pattern(starts[1]).removeprefix("(?d)")
+        return rf"(?={first})(?<![{_WORD}])"
+    if _ENDS_WORD.search(before):
+        return rf"(?![{_WORD}])"
+    return _BOUNDARY
+
+
 def _plain(ch: str) -> str:
     return r"\x27" if ch == "'" else ch  # keeps the expression a simple SQL literal
 
@@ -64,8 +83,6 @@ def _escape(letter: str, in_class: bool, negated: bool, within_lines: bool) -> s
         return _WORD if in_class else f"[{_WORD}]"
     if letter == "W":
         return f"[^{_WORD}" + (r"\n]" if within_lines else "]")
-    if letter == "b" and not in_class:
-        return _BOUNDARY
     if letter == "B":
         return _NO_BOUNDARY
     return r"\x27" if letter == "'" else "\\" + letter

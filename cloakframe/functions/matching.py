@@ -38,7 +38,13 @@ def hits(source: str, regex: str) -> str:
 
 
 def gaps(source: str, regex: str) -> str:
-    return f"split({source}, {text(regex)}, -1)"
+    """What lies between the hits.
+
+    Splitting by an expression compiles it again for every row, so hits are first
+    replaced by a mark that splits fast; texts that hold the mark are split directly.
+    """
+    marked = f"split(regexp_replace({source}, {text(regex)}, chr(1)), chr(1), -1)"
+    return f"if(contains({source}, chr(1)), split({source}, {text(regex)}, -1), {marked})"
 
 
 def stitch(gap_array: str, values: str, variable: str, new_value: str) -> str:

@@ -6,9 +6,10 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cloakframe.functions.matching import gaps, hits, name, starts, strip, text
+from cloakframe.functions.matching import gaps, hits, let, name, starts, strip, text
 from cloakframe.functions.patterns import DETECTORS, Pattern, choose, may_occur, may_occur_sql
 from cloakframe.operators.spread import spread_join
+from cloakframe.sources.scratch import materialized
 
 _AROUND = 20
 
@@ -32,8 +33,10 @@ def explode_lines(
 def _hits_per_type(line: str, patterns: list[Pattern]) -> Column:
     """Array of (type, hits, gaps), only for the types with a hit in the line."""
     entries = [
-        f"if({p.occurs(line)}, named_struct('type', {text(p.name)}, "
-        f"'hits', {hits(line, p.regex)}, 'gaps', {gaps(line, p.regex)}), null)"
+        f"if({p.hint(line)}, "
+        + let(hits(line, p.regex), "hs", f"if(size(hs) = 0, null, named_struct('type', "
+              f"{text(p.name)}, 'hits', hs, 'gaps', {gaps(line, p.regex)}))")
+        + ", null)"
         for p in patterns
     ]
     return F.expr(f"array_compact(array({', '.join(entries)}))")
@@ -162,10 +165,14 @@ def findings_report(findings: DataFrame, file: str) -> DataFrame:
     """Masked findings in reading order, each with the count of its file and type.
 
     Rows, not one list per group: a single file may hold most of the findings.
+    The masked findings are written once, as counting, joining and sorting would
+    each scan all texts again.
     """
-    masked = with_masks(findings)
+    masked = materialized(
+        with_masks(findings).select(file, "type", "line", "column", "value_masked"), "findings"
+    )
     return (
-        spread_join(masked, findings_counts(findings, file), [file, "type"], "inner")
+        spread_join(masked, findings_counts(masked, file), [file, "type"], "inner")
         .select(file, "type", "instances", "line", "column", "value_masked")
         .orderBy(file, "type", "line", "column")
     )

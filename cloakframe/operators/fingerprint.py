@@ -10,6 +10,7 @@ from cloakframe.functions.digests import ALGORITHMS, algorithm_of, digest, first
 from cloakframe.functions.formatting import format_size
 from cloakframe.functions.matching import strip
 from cloakframe.operators.spread import spread_join
+from cloakframe.sources.scratch import materialized
 
 
 def fingerprint(df: DataFrame, key: Sequence[str], content: str,
@@ -82,7 +83,10 @@ def identical_groups(df: DataFrame, row_id: str, content: str,
     A plain aggregate with partial sums: a content shared by a third of all rows
     is reduced before the shuffle, and no list of members is built.
     """
-    prints = fingerprint(df, [row_id], content, algorithm)
+    return _groups(fingerprint(df, [row_id], content, algorithm), row_id)
+
+
+def _groups(prints: DataFrame, row_id: str) -> DataFrame:
     return (
         prints.groupBy("length", "digest")
         .agg(F.count("*").alias("copies"), F.min(row_id).alias("first_id"))
@@ -92,10 +96,14 @@ def identical_groups(df: DataFrame, row_id: str, content: str,
 
 def identical_members(df: DataFrame, row_id: str, content: str,
                       algorithm: str = "sha256") -> DataFrame:
-    """One row per member of each group of identical contents, with the group's data."""
-    prints = fingerprint(df, [row_id], content, algorithm).drop("algorithm")
-    groups = identical_groups(df, row_id, content, algorithm)
-    return spread_join(prints, groups, ["length", "digest"], "inner").select(
+    """One row per member of each group of identical contents, with the group's data.
+
+    Contents are hashed once and the fingerprints written.
+    """
+    prints = materialized(
+        fingerprint(df, [row_id], content, algorithm).drop("algorithm"), "fingerprints"
+    )
+    return spread_join(prints, _groups(prints, row_id), ["length", "digest"], "inner").select(
         row_id, "length", "digest", "copies", "first_id"
     )
 

@@ -27,9 +27,9 @@ def _placeholder_sql(value: str, prefix: str, key: str) -> str:
 
 def _replace(source: str, p: Pattern, key: str, whole_text: bool) -> str:
     regex = p.text_regex if whole_text else p.regex
-    new = stitch(gaps(source, regex), hits(source, regex), "hit",
-                 _placeholder_sql("hit", p.prefix, key))
-    return f"if({p.occurs(source, whole_text)}, {new}, {source})"
+    new = stitch(gaps(source, regex), "hs", "hit", _placeholder_sql("hit", p.prefix, key))
+    replaced = let(hits(source, regex), "hs", f"if(size(hs) = 0, {source}, {new})")
+    return f"if({p.hint(source)}, {replaced}, {source})"
 
 
 def _replace_noted(state: str, p: Pattern, key: str) -> str:
@@ -43,7 +43,8 @@ def _replace_noted(state: str, p: Pattern, key: str) -> str:
         f"named_struct('text', {stitch(gaps(source, p.regex), 'notes', 'n', 'n.placeholder')}, "
         f"'replacements', concat({state}.replacements, notes))"
     )
-    return f"if({p.occurs(source)}, {let(notes, 'notes', new)}, {state})"
+    replaced = let(notes, "notes", f"if(size(notes) = 0, {state}, {new})")
+    return f"if({p.hint(source)}, {replaced}, {state})"
 
 
 def sanitized(column: str, types: Iterable[str] | None = None, key: str = "",
@@ -139,8 +140,11 @@ def sanitize_stats(df: DataFrame, body: str, types: Iterable[str] | None = None)
         sanitized_with_notes("line", types)["replacements"].alias("r"),
     )
     names = [p.name for p in patterns]
-    counts = [f"coalesce(sum(size(filter(r, x -> x.type = {text(n)}))), 0L) as {name(n)}"
-              for n in names]
+    counts = [
+        f"coalesce(sum(if(size(r) > 0, size(filter(r, x -> x.type = {text(n)})), 0)), 0L) "
+        f"as {name(n)}"
+        for n in names
+    ]
     sums = noted.selectExpr(
         "coalesce(sum(n_lines), 0L) as total_lines",
         "count_if(size(r) > 0) as lines_modified",

@@ -29,8 +29,8 @@ def query(function: Query) -> Query:
     return function
 
 
-# Tables whose rows are texts, where most of the work is per row.
-_TEXTS = ("documents", "pages", "conversations")
+# Tables of texts or log lines, where most of the work is per row.
+_TEXTS = ("documents", "pages", "conversations", "events")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -270,6 +270,7 @@ def sanitize_changed(spark, sf):
 def sanitize_stream(spark, sf):
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
     stream = streams.table_stream(spark, sf, schema, "documents.parquet").select("doc_id", "text")
+    stream = stream.repartition(spark.sparkContext.defaultParallelism)  # one small file
     path = scratch_folder(spark, "stream")
     streams.run_available(
         streams.sanitize_stream(stream, "text", "all"), path, path + "-checkpoint"

@@ -13,6 +13,7 @@ from cloakframe.operators.fingerprint import manifest_rows
 from cloakframe.operators.properties import os_properties
 from cloakframe.operators.sanitize import sanitize_changed, sanitize_stats
 from cloakframe.sources import files, tables
+from cloakframe.sources.scratch import materialized
 
 
 def scan_files(spark: SparkSession, path: str | Sequence[str], recursive: bool = False,
@@ -87,7 +88,9 @@ def compare_files(spark: SparkSession, left: str, right: str, recursive: bool =
     pairs = sides["left"].join(sides["right"], "rel_path", "full_outer")
     same_size = pairs.filter("left_length = right_length")
     wanted = same_size.select(F.explode(F.array("left_path", "right_path")).alias("path"))
-    digests = files.digest_files(wanted, "path", algorithm).select("path", "digest")
+    digests = materialized(
+        files.digest_files(wanted, "path", algorithm).select("path", "digest"), "digests"
+    )
     for side in sides:
         pairs = pairs.join(
             digests.select(F.col("path").alias(f"{side}_path"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
@@ -13,3 +13,14 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     root = shared or tempfile.mkdtemp(prefix="cloakframe-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows written once and read back, for small results of costly plans used twice.
+
+    A written table survives lost executors and cuts the lineage.  Never used for
+    raw personal values.
+    """
+    path = scratch_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
