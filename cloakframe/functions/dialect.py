@@ -12,8 +12,11 @@ import re
 
 _SPACE = r"\t\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 # ASCII first: looking up the Unicode category of every letter is slow.
-_DIGIT = r"[0-9\u0660-\x{10FFFF}&&\p{Nd}]"
-_WORD = r"A-Za-z0-9_[\x80-\x{10FFFF}&&[\p{L}\p{N}]]"
+# The last code point stands there literally, as Java looks back over a character
+# outside the basic plane only if the expression itself contains one.
+_LAST = "\U0010FFFF"
+_DIGIT = r"[0-9\u0660-" + _LAST + r"&&\p{Nd}]"
+_WORD = r"A-Za-z0-9_[\x80-" + _LAST + r"&&[\p{L}\p{N}]]"
 _BOUNDARY = rf"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
 _NO_BOUNDARY = rf"(?:(?<=[{_WORD}])(?=[{_WORD}])|(?<![{_WORD}])(?![{_WORD}]))"
 

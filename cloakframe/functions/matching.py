@@ -23,7 +23,7 @@ def name(column: str) -> str:
 
 
 def text(value: str) -> str:
-    """A string literal as SQL text, whatever the session's rules for escapes are."""
+    """A string literal as SQL text (under Spark's default rules for escapes)."""
     parts = [f"r'{part}'" if "\\" in part else f"'{part}'" for part in value.split("'")]
     return parts[0] if len(parts) == 1 else f"concat({', chr(39), '.join(parts)})"
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cloakframe.functions import fixed_values as fixed
 from cloakframe.operators.anonymize import anonymize, infer_column_plan
 from cloakframe.operators.detect import scan_summary, scan_text
-from cloakframe.operators.fingerprint import manifest_rows
 from cloakframe.operators.properties import os_properties
 from cloakframe.operators.sanitize import sanitize_changed, sanitize_stats
 from cloakframe.sources import files, tables
@@ -50,7 +49,7 @@ def sanitize_files(spark: SparkSession, path: str | Sequence[str], out: str | No
     return sanitize_stats(texts, "text", types)
 
 
-def output_name(path, suffix: str):
+def output_name(path: Column, suffix: str) -> Column:
     """``<folder>/<stem><suffix><extension>``; files without an extension get .log."""
     ext = F.regexp_extract(path, r"(?s)[^/](\.[^./]+)$", 1)
     stem = F.left(path, F.length(path) - F.length(ext))
@@ -69,10 +68,16 @@ def anonymize_csv(spark: SparkSession, path: str, out: str, plan: dict[str, str]
 def manifest(spark: SparkSession, folder: str, recursive: bool = False,
              algorithm: str = "sha256") -> DataFrame:
     """rel_path, length, algorithm and digest of the files in a folder, by path."""
-    root = folder.rstrip("/").removeprefix("file:") + "/"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
-    rel = F.substring_index(F.col("path"), root, -1)
-    return manifest_rows(found.withColumn("rel", rel), "rel", "content", algorithm)
+    found = files.file_inventory(spark, folder, recursive).select("path")
+    spread = found.repartition(spark.sparkContext.defaultParallelism, "path")
+    return files.digest_files(spread, "path", algorithm).select(
+        _relative(folder).alias("rel_path"), "length", F.lit(algorithm).alias("algorithm"),
+        "digest",
+    ).orderBy("rel_path")
+
+
+def _relative(folder: str) -> Column:
+    return F.substring(F.col("path"), len(folder.rstrip("/")) + 2, 2**31 - 1)
 
 
 def compare_files(spark: SparkSession, left: str, right: str, recursive: bool = True,
@@ -80,9 +85,8 @@ def compare_files(spark: SparkSession, left: str, right: str, recursive: bool =
     """Compare two folders by relative path; only same-size pairs are read and hashed."""
     sides = {}
     for side, folder in (("left", left), ("right", right)):
-        root = folder.rstrip("/").removeprefix("file:") + "/"
         sides[side] = files.file_inventory(spark, folder, recursive).select(
-            F.substring_index("path", root, -1).alias("rel_path"),
+            _relative(folder).alias("rel_path"),
             F.col("path").alias(f"{side}_path"), F.col("length").alias(f"{side}_length"),
         )
     pairs = sides["left"].join(sides["right"], "rel_path", "full_outer")

@@ -3,20 +3,38 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cloakframe.functions.formatting import extension
 from cloakframe.operators.detect import explode_lines
+from cloakframe.sources.scratch import materialized
 
 _BLOCK = 1 << 20
 
 
-def _files(spark: SparkSession, path: str | Sequence[str], recursive: bool) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
-    return reader.load(path if isinstance(path, str) else list(path))
+def _file_system_of() -> Callable[[str], tuple]:
+    """Function from a location to its file system and path there.
+
+    Made anew, so that it is shipped by value: workers need not have this package.
+    """
+
+    def resolve(location: str) -> tuple:
+        from pyarrow import fs
+
+        scheme, colon, rest = location.partition(":")
+        if not colon or "/" in scheme:
+            return fs.LocalFileSystem(), location
+        if scheme == "file":
+            return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+        authority, _, path = rest.removeprefix("//").partition("/")
+        system, root = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
+        return system, root.rstrip("/") + "/" + path
+
+    return resolve
 
 
 def has_extension(path: Column, extensions: Iterable[str], allow_no_suffix: bool = False) -> Column:
@@ -25,15 +43,54 @@ def has_extension(path: Column, extensions: Iterable[str], allow_no_suffix: bool
     return extension(path).isin(*wanted)
 
 
+def _listed(places: DataFrame) -> DataFrame:
+    """Files among the places and entries of the directories among them."""
+    resolve = _file_system_of()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for frame in frames:
+            rows = []
+            for place in frame["path"]:
+                system, where = resolve(place)
+                found = system.get_file_info(where)
+                if found.type == fs.FileType.Directory:
+                    entries = system.get_file_info(fs.FileSelector(where))
+                else:
+                    entries = [found]
+                head = place[: len(place) - len(where)] if place.endswith(where) else ""
+                for e in entries:
+                    if e.type != fs.FileType.NotFound:
+                        is_dir = e.type == fs.FileType.Directory
+                        rows.append((head + e.path, None if is_dir else e.size, e.mtime, is_dir))
+            yield pd.DataFrame(rows, columns=["path", "length", "modificationTime", "is_dir"])
+
+    return places.mapInPandas(
+        run, "path string, length bigint, modificationTime timestamp, is_dir boolean"
+    )
+
+
 def file_inventory(spark: SparkSession, path: str | Sequence[str], recursive: bool = False,
                    extensions: Iterable[str] | None = None,
                    allow_no_suffix: bool = False) -> DataFrame:
     """path, length and modificationTime of files, each once, ordered by path.
 
-    Contents are not read.  Spark's file source leaves out names that begin with
+    Executors list the directories, level by level, and contents are not read.
+    Unlike Spark's file sources this keeps empty files and names that begin with
     a dot or an underscore.
     """
-    files = _files(spark, path, recursive).select("path", "length", "modificationTime")
+    roots = [path] if isinstance(path, str) else list(path)
+    places = spark.createDataFrame([(r.rstrip("/") or "/",) for r in roots], "path string")
+    levels: list[DataFrame] = []
+    while True:
+        level = materialized(_listed(places), "listing")
+        levels.append(level.filter("not is_dir"))
+        places = level.filter("is_dir").select("path")
+        if not recursive or places.isEmpty():
+            break
+        places = places.repartition(spark.sparkContext.defaultParallelism)
+    files = reduce(DataFrame.unionByName, levels).drop("is_dir")
     if extensions is not None:
         files = files.filter(has_extension(F.col("path"), extensions, allow_no_suffix))
     return files.dropDuplicates(["path"]).orderBy("path")
@@ -50,8 +107,12 @@ def decoded(content: Column) -> Column:
 def read_texts(spark: SparkSession, path: str | Sequence[str], recursive: bool = False,
                extensions: Iterable[str] | None = None,
                allow_no_suffix: bool = False) -> DataFrame:
-    """file and text, one row per file (below 2 GiB each)."""
-    files = _files(spark, path, recursive)
+    """file and text, one row per file (below 2 GiB each).
+
+    Spark's source passes over empty files and names that begin with . or _.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+    files = reader.load(path if isinstance(path, str) else list(path))
     if extensions is not None:
         files = files.filter(has_extension(F.col("path"), extensions, allow_no_suffix))
     return files.select(F.col("path").alias("file"), decoded(F.col("content")).alias("text"))
@@ -76,24 +137,19 @@ def digest_files(paths: DataFrame, path: str = "path", algorithm: str = "sha256"
     contents into rows would be too much.  Paths are spread over the executors.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from urllib.parse import unquote, urlparse
-
-        from pyarrow import fs
+    resolve, block_size = _file_system_of(), _BLOCK
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for uri in frame[path]:
-                local = unquote(urlparse(uri).path) if uri.startswith("file:") else None
-                system, where = (
-                    (fs.LocalFileSystem(), local) if local else fs.FileSystem.from_uri(uri)
-                )
+            for place in frame[path]:
+                system, where = resolve(place)
                 state, size = hashlib.new(algorithm), 0
                 with system.open_input_stream(where) as stream:
-                    while block := stream.read(_BLOCK):
+                    while block := stream.read(block_size):
                         state.update(block)
                         size += len(block)
-                rows.append((uri, size, state.hexdigest()))
+                rows.append((place, size, state.hexdigest()))
             yield pd.DataFrame(rows, columns=["path", "length", "digest"])
 
     hashlib.new(algorithm)

@@ -1,0 +1,137 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from cloakframe.functions import fixed_values as fixed, formatting
+from cloakframe.operators import properties as props
+from cloakframe.plans import jobs
+from cloakframe.sources import tables
+
+ROWS = [
+    ("a.docx", "format", "author", "Jo"), ("a.docx", "format", "title", "T"),
+    ("a.docx", "format", "revision", "1"), ("a.docx", "format", "created", "2024-05-05"),
+    ("a.docx", "format", "modified", None), ("a.docx", "format", "company", "Acme"),
+    ("b.pdf", "os", "Last Modified", "2024-01-01"), ("b.pdf", "format", "Author", " "),
+    ("c.pdf", "format", "Creation Date", "2020"), ("c.pdf", "format", "trapped", ""),
+    ("d.jpg", "format", "Make", "X"), ("d.jpg", "format", "Model", "Y"),
+    ("d.jpg", "format", "BodySerialNumber", "1"),
+]
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    df = spark.createDataFrame(ROWS, "path string, scope string, key string, value string")
+    return df.withColumn("file_type", formatting.file_type(F.col("path")))
+
+
+def test_risk(rows):
+    levels = {(r.path, r.key): r.risk for r in props.with_risk(rows).collect()}
+    assert levels["a.docx", "author"] == "high" and levels["a.docx", "created"] == "medium"
+    assert levels["a.docx", "title"] == "low" and levels["b.pdf", "Author"] == "low"
+    assert levels["d.jpg", "BodySerialNumber"] == "low"
+    split = props.with_risk(rows, split_camel=True).filter("key = 'BodySerialNumber'").first()
+    assert split.risk == "high"
+    worst = {r.path: r.risk for r in props.file_risk(rows).collect()}
+    assert worst == {"a.docx": "high", "b.pdf": "low", "c.pdf": "medium", "d.jpg": "low"}
+    assert tuple(props.risk_summary(rows).first()) == (4, 1, 1, 2)
+
+
+def test_types(rows):
+    assert {r.file_type for r in rows.collect()} == {
+        "Word Document", "PDF Document", "Image (JPEG)"
+    }
+
+
+def test_sensitive_tags(rows):
+    assert {r.path: r.sensitive_tags for r in props.sensitive_tag_counts(rows).collect()} == {
+        "a.docx": 0, "b.pdf": 0, "c.pdf": 0, "d.jpg": 3
+    }
+
+
+def test_clear(rows):
+    new = {r.key: r.value for r in props.clear_properties(rows).filter("path = 'a.docx'").collect()}
+    assert new == {"author": "", "title": "", "revision": "1", "created": fixed.NEUTRAL_DATE,
+                   "modified": None, "company": "Acme"}
+    strict = props.clear_properties(rows, strict=True).filter("key = 'company'").first()
+    assert strict.value == ""
+    stats = {r.path: r.properties_cleared for r in props.clear_stats(rows).collect()}
+    assert stats == {"a.docx": 4, "b.pdf": 0, "c.pdf": 0, "d.jpg": 0}
+    assert tuple(props.clear_summary(rows).first()) == (4, 1, 4)
+    present = {r.key for r in props.present_properties(rows).collect()}
+    assert present == {"author", "title", "revision", "created"}
+
+
+def test_wipe_and_check(rows):
+    dirty = {r.path for r in props.still_dirty(rows).filter("dirty").collect()}
+    assert dirty == {"a.docx"}
+    assert tuple(props.wipe_summary(rows).first()) == (4, 3, 1)
+    assert tuple(props.wipe_summary(props.clear_all(rows)).first()) == (4, 4, 0)
+
+
+def test_comments(spark):
+    items = spark.createDataFrame([("p", 1), ("p", 2), ("q", 1)], "path string, n int")
+    comments = items.filter("n = 1")
+    assert [tuple(r) for r in props.drop_comments(items, comments, ["path", "n"]).collect()] == [
+        ("p", 2)
+    ]
+    assert {r.path: r.comments_removed for r in props.comment_counts(comments).collect()} == {
+        "p": 1, "q": 1
+    }
+
+
+def test_coordinates(spark):
+    data = [([40.0, 26.0, 46.0], "N"), ([40.0, 26.0, 46.0], "S"), ([79.0, 58.0, 56.0], "W"),
+            ([1.0, 2.0], "N"), (None, "N"), ([1.0, 0.0, 0.0], None), ([1.0, 0.0, 0.0], "")]
+    df = spark.createDataFrame(data, "dms array<double>, ref string")
+    degrees = formatting.gps_decimal(F.col("dms"), F.col("ref"))
+    got = [r[0] if r[0] is None else round(r[0], 6) for r in df.select(degrees).collect()]
+    assert got == [40.446111, -40.446111, -79.982222, None, None, None, None]
+    both = df.select(formatting.gps_position(degrees, degrees)).collect()
+    assert both[0][0] == "40.446111, 40.446111" and both[3][0] is None
+
+
+def test_render(spark):
+    df = spark.createDataFrame([("x" * 81,), ("y" * 80,)], "v string")
+    images = [r[0] for r in df.select(formatting.render_value(F.col("v"))).collect()]
+    assert images == ["x" * 77 + "...", "y" * 80]
+    office = df.select(formatting.render_value(F.col("v"), "office")).first()[0]
+    assert office == "x" * 80 + "..."
+    blobs = spark.createDataFrame([(bytearray(101),), (bytearray(b"ab"),)], "v binary")
+    assert [r[0] for r in blobs.select(formatting.render_binary(F.col("v"))).collect()] == [
+        "<binary data, 101 bytes>", "ab"
+    ]
+
+
+def test_os_properties(spark, tmp_path):
+    (tmp_path / "x.pdf").write_bytes(b"x" * 1536)
+    rows = {r.key: r for r in jobs.file_properties(spark, str(tmp_path)).collect()}
+    assert rows["File Size"].value == "1.5 KB" and rows["File Size"].file_type == "PDF Document"
+    assert len(rows["Last Modified"].value) == 19
+
+
+def test_metadata_json(spark, rows, tmp_path):
+    extra = spark.createDataFrame(
+        [("b.pdf", "format", "Last Modified", "F", "PDF Document")],
+        "path string, scope string, key string, value string, file_type string",
+    )
+    tables.write_metadata_json(rows.unionByName(extra), str(tmp_path / "json"))
+    objects = {}
+    for part in (tmp_path / "json").glob("part-*"):
+        for line in part.read_text().splitlines():
+            o = json.loads(line)
+            objects[o["path"]] = o
+    assert objects["b.pdf"]["fields"]["Last Modified"] == {"value": "F", "risk": "medium"}
+    assert objects["b.pdf"]["os_metadata"] == {"Last Modified": "2024-01-01"}
+    assert objects["a.docx"]["format_metadata"]["author"] == "Jo"
+
+
+def test_metadata_of_a_huge_file_is_split(spark):
+    df = spark.range(500).select(
+        F.lit("p").alias("path"), F.lit("format").alias("scope"),
+        F.concat(F.lit("k"), "id").alias("key"), F.lit("v").alias("value"),
+        F.lit("t").alias("file_type"),
+    )
+    parts = tables.metadata_objects(df, per_line=100).collect()
+    assert len(parts) == 5 and max(len(r.fields) for r in parts) < 200
+    assert len({k for r in parts for k in r.fields}) == 500
