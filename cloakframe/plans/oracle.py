@@ -61,12 +61,19 @@ def is_ipv4(v: str) -> str:
 
 
 PHONE_CORE = fixed.PHONE.removeprefix(r"(?<!\d)").removesuffix(r"(?!\d)")
-PHONE_RE2 = rf"(?:^|\D){PHONE_CORE}(?:$|\D)"
+# Without lookaround: what stands before is matched too, what stands after is tested later.
+PHONE_RE2 = rf"(?:^|\D){PHONE_CORE}"
+
+
+def is_whole_phone(v: str) -> str:
+    return rf"({is_phone(v)} AND NOT regexp_matches(substr(line, col + length({v}), 1), '\d'))"
+
+
 DETECTORS = {
     "SSN": (fixed.SSN, is_ssn),
     "CREDIT_CARD": (fixed.CREDIT_CARD, is_card),
     "EMAIL": (fixed.EMAIL, lambda v: "true"),
-    "PHONE": (PHONE_RE2, is_phone),
+    "PHONE": (PHONE_RE2, is_whole_phone),
     "IP_ADDRESS": (fixed.IPV4, is_ipv4),
 }
 
@@ -285,10 +292,15 @@ def redacted_lines(source: str, key: str, fill: str = "█", terms: bool | None
     """Lines with every covered character replaced; terms only, patterns only, or both."""
     chosen = {None: REDACT_RE, True: REDACT_RE[: len(REDACT_TERMS)],
               False: REDACT_RE[len(REDACT_TERMS):]}[terms]
-    spans = (
-        "SELECT *, list_concat(" + ", ".join(_spans("line", p) for p in chosen)
-        + f") AS spans FROM ({source})"
+    arrays = ", ".join(
+        f"regexp_extract_all(line, {q(p)}, 0) AS h{n}, regexp_split_to_array(line, {q(p)}) AS g{n}"
+        for n, p in enumerate(chosen)
+    )
+    each = ", ".join(
+        f"list_transform(list_zip({starts(f'h{n}', f'g{n}')}, h{n}), "
+        f"lambda z: struct_pack(s := z[1], v := z[2]))" for n in range(len(chosen))
     )
+    spans = f"SELECT *, list_concat({each}) AS spans FROM (SELECT *, {arrays} FROM ({source}))"
     covered = "list_bool_or(list_transform(spans, lambda x: x.s <= k AND k < x.s + length(x.v)))"
     return (
         f"SELECT {key}, line_no, CASE WHEN len(spans) = 0 THEN line ELSE array_to_string("
