@@ -21,8 +21,9 @@ class Pattern:
 
     ``hint_words`` (one of them occurs) or ``hint_regex`` are cheap conditions
     that hold for every text with a hit; most texts fail them, so the costly
-    expression never runs there.  ``text_pattern`` replaces the pattern over
-    whole texts where it would otherwise cross lines.
+    expression never runs there.  ``near_regex`` is a second, closer condition
+    for expressions that are slow to fail.  ``text_pattern`` replaces the pattern
+    over whole texts where it would otherwise cross lines.
     """
 
     name: str
@@ -35,6 +36,7 @@ class Pattern:
     default: bool = True
     hint_words: tuple[str, ...] = ()
     hint_regex: str = ""
+    near_regex: str = ""
     text_pattern: str | None = None
 
     @cached_property
@@ -45,13 +47,18 @@ class Pattern:
     def text_regex(self) -> str:
         return java_pattern(self.text_pattern or self.pattern, self.ignore_case, True)
 
-    def hint(self, source: str) -> str:
+    def coarse_hint(self, source: str) -> str:
         """The cheap condition, as SQL text over the SQL text ``source``."""
         if self.hint_words:
             tests = [f"contains({source}, {text(w)})" for w in self.hint_words]
             return "(" + " or ".join(tests) + ")"
         return f"{source} rlike {text(self.hint_regex or self.regex)}"
 
+    def hint(self, source: str) -> str:
+        """All conditions that spare running the expression itself."""
+        near = f" and {source} rlike {text(self.near_regex)}" if self.near_regex else ""
+        return f"({self.coarse_hint(source)}{near})"
+
     def occurs(self, source: str, whole_text: bool = False) -> str:
         """Whether there is a hit, as SQL text."""
         regex = self.text_regex if whole_text else self.regex
@@ -61,6 +68,7 @@ class Pattern:
 # A superset of the decimal digits of all scripts, cheap to test.
 _ANY_DIGIT = r"[0-9\u0660-\x{10FFFF}]"
 _DIGIT_RUN = _ANY_DIGIT + "{3}"
+_PHONE_DIGITS = java_pattern(r"X{3}\)?[-.\s]?X{3}[-.\s]?X{4}").replace("X", _ANY_DIGIT)
 _DOTTED = _ANY_DIGIT + r"\." + _ANY_DIGIT
 # The last four letters are those that ignoring case adds to A-Z.
 _ASSIGNMENT = java_pattern(r"[=:]\s*['\"]?[A-Za-z0-9\-._~+/\u0130\u0131\u017F\u212A]{16}")
@@ -73,7 +81,8 @@ DETECTORS: list[Pattern] = [
     Pattern("EMAIL", fixed.EMAIL, mask=masks.mask_email, hint_words=("@",),
             description=fixed.DESCRIPTIONS["EMAIL"]),
     Pattern("PHONE", fixed.PHONE, valid=validators.is_phone, mask=masks.mask_phone,
-            hint_regex=_DIGIT_RUN, description=fixed.DESCRIPTIONS["PHONE"]),
+            hint_regex=_DIGIT_RUN, near_regex=_PHONE_DIGITS,
+            description=fixed.DESCRIPTIONS["PHONE"]),
     Pattern("IP_ADDRESS", fixed.IPV4, valid=validators.is_ipv4, hint_regex=_DOTTED,
             description=fixed.DESCRIPTIONS["IP_ADDRESS"]),
 ]
@@ -128,7 +137,7 @@ def register_pattern(registry: list[Pattern], pattern: Pattern, before: str | No
 
 def may_occur_sql(source: str, patterns: list[Pattern]) -> str:
     """Condition that fails only if every pattern is ruled out, as SQL text."""
-    return "(" + " or ".join(dict.fromkeys(p.hint(source) for p in patterns)) + ")"
+    return "(" + " or ".join(dict.fromkeys(p.coarse_hint(source) for p in patterns)) + ")"
 
 
 def may_occur(column: str, patterns: list[Pattern]) -> Column:

@@ -48,11 +48,9 @@ def is_phone(value: Column) -> Column:
 
 
 def is_ipv4(value: Column) -> Column:
-    """Every part is at most 255."""
-    return F.forall(
-        F.split(ascii_digits(value), r"\."),
-        lambda part: F.coalesce(part.try_cast("int").between(0, 255), F.lit(False)),
-    )
+    """Numbers between dots, every one at most 255."""
+    part = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+    return ascii_digits(value).rlike(rf"^{part}(?:\.{part})*\z")
 
 
 def any_value(value: Column) -> Column:

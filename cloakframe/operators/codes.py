@@ -10,20 +10,39 @@ import secrets
 import string
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cloakframe.functions import fixed_values as fixed
 
 
-def _issue(df: DataFrame, output: str, make: Callable[[], str]) -> DataFrame:
+def _issue(df: DataFrame, output: str, make: Callable[[int], list[str]]) -> DataFrame:
     @F.pandas_udf("string")
     def code(row: pd.Series) -> pd.Series:
-        return pd.Series([make() for _ in range(len(row))], dtype=object)
+        return pd.Series(make(len(row)), dtype=object)
 
     return df.withColumn(output, code.asNondeterministic()(F.spark_partition_id()))
 
 
+def _uniform() -> Callable[[int, int], np.ndarray]:
+    """Function (below, n): n secure random numbers, all equally likely.
+
+    Made anew, so that it is shipped by value: workers need not have this package.
+    """
+
+    def draw(below: int, n: int) -> np.ndarray:
+        limit = 2**32 - 2**32 % below  # numbers from here on would favor small results
+        kept = np.empty(0, np.uint64)
+        while len(kept) < n:
+            raw = np.frombuffer(secrets.token_bytes(4 * (n - len(kept))), np.uint32)
+            raw = raw.astype(np.uint64)
+            kept = np.concatenate([kept, raw[raw < np.uint64(limit)]])
+        return (kept % np.uint64(below)).astype(np.int64)
+
+    return draw
+
+
 def code_sets(use_upper: bool = True, use_lower: bool = True, use_digits: bool = True,
               use_symbols: bool = True, exclude_ambiguous: bool = False) -> list[str]:
     """The enabled character sets."""
@@ -49,11 +68,15 @@ def issue_codes(df: DataFrame, output: str = "code", length: int = 16,
     every = "".join(parts)
     required = parts if length >= 4 and not custom else []
 
-    def make() -> str:
-        chars = [secrets.choice(s) for s in required]
-        chars += [secrets.choice(every) for _ in range(length - len(chars))]
-        secrets.SystemRandom().shuffle(chars)
-        return "".join(chars)
+    draw = _uniform()
+
+    def make(n: int) -> list[str]:
+        pools = [*required, *[every] * (length - len(required))]
+        columns = [np.array(list(p))[draw(len(p), n)] for p in pools]
+        chars = np.stack(columns, axis=1)
+        order = np.frombuffer(secrets.token_bytes(8 * n * length), np.uint64).reshape(n, length)
+        shuffled = np.take_along_axis(chars, order.argsort(axis=1), axis=1)
+        return ["".join(row) for row in shuffled]
 
     return _issue(df, output, make)
 
@@ -68,13 +91,22 @@ def issue_passphrases(df: DataFrame, words_df: DataFrame, word: str, n: int = 5,
     if not 0 < len(rows) <= most_words:
         raise ValueError(f"the word table must have 1 to {most_words} words")
     words = [r[0].capitalize() if capitalize else r[0] for r in rows]
-    return _issue(df, output, lambda: separator.join(secrets.choice(words) for _ in range(n)))
+    draw = _uniform()
+
+    def make(count: int) -> list[str]:
+        chosen = draw(len(words), count * n).reshape(count, n)
+        return [separator.join(words[i] for i in row) for row in chosen]
+
+    return _issue(df, output, make)
 
 
 def issue_pins(df: DataFrame, length: int = 6, output: str = "pin") -> DataFrame:
     """Independent random digits per row."""
     if length < 1:
         raise ValueError("length must be at least 1")
-    return _issue(
-        df, output, lambda: "".join(str(secrets.randbelow(10)) for _ in range(length))
-    )
+    draw = _uniform()
+
+    def make(n: int) -> list[str]:
+        return ["".join(map(str, row)) for row in draw(10, n * length).reshape(n, length)]
+
+    return _issue(df, output, make)

@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
-    """A new path in the shared folder of the cluster, or a local one in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = shared or tempfile.mkdtemp(prefix="cloakframe-")
+    """A new path in the shared folder of the cluster, or a local one in local mode.
+
+    Tables left there may be deleted once the results that read them are written.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        root = tempfile.mkdtemp(prefix="cloakframe-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

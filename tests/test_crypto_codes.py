@@ -82,8 +82,8 @@ def test_other_codes(spark):
     assert all(len(r.passphrase.split("_")) == 3 for r in rows)
     pins = codes.issue_pins(spark.range(50), 5).collect()
     assert all(len(r.pin) == 5 and set(r.pin) <= set(string.digits) for r in pins)
-    custom = codes.issue_codes(spark.range(9), length=6, custom="xyz").collect()
-    assert all(set(r.code) <= set("xyz") for r in custom)
+    custom = codes.issue_codes(spark.range(9), length=6, custom="wxyz").collect()
+    assert all(set(r.code) <= set("wxyz") for r in custom)
     for call in (lambda: codes.issue_passphrases(spark.range(1), words, "w", 1),
                  lambda: codes.issue_pins(spark.range(1), 0),
                  lambda: codes.issue_codes(spark.range(1), length=0),
@@ -105,3 +105,18 @@ def test_entropy(spark):
            df.select(bits, strength.strength_rating(bits)).collect()]
     assert got == [(47.5, "Fair"), (19.9, "Weak"), (103.4, "Excellent"), (100.9, "Excellent"),
                    (0.0, "Weak")]
+
+
+def test_codes_are_even(spark):
+    made = codes.issue_codes(spark.range(6000), length=4, use_upper=False, use_symbols=False)
+    first = made.groupBy(F.substring("code", 1, 1).alias("c")).count().collect()
+    digits = sum(r["count"] for r in first if r.c.isdigit())
+    # One lower-case letter, one digit and two of 36 characters, in random order.
+    assert abs(digits / 6000 - (1 + 2 * 10 / 36) / 4) < 0.03
+    pins = codes.issue_pins(spark.range(5000), 1).groupBy("pin").count().collect()
+    assert len(pins) == 10 and all(380 < r["count"] < 620 for r in pins)
+
+
+def test_empty_input(spark):
+    assert codes.issue_codes(spark.range(0)).count() == 0
+    assert codes.issue_pins(spark.range(0)).collect() == []
