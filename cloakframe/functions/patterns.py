@@ -19,7 +19,7 @@ Test = Callable[[Column], Column]
 class Pattern:
     """One kind of value to look for.
 
-    ``hint_words`` (one of them occurs) or ``hint_regex`` are cheap conditions
+    ``hint_words`` (one of them occurs; best with a rare first letter) or ``hint_regex`` are cheap conditions
     that hold for every text with a hit; most texts fail them, so the costly
     expression never runs there.  ``near_regex`` is a second, closer condition
     for expressions that are slow to fail.  ``text_pattern`` replaces the pattern
@@ -67,33 +67,37 @@ class Pattern:
 
 # A superset of the decimal digits of all scripts, cheap to test.
 _ANY_DIGIT = r"[0-9\u0660-\x{10FFFF}]"
-_DIGIT_RUN = _ANY_DIGIT + "{3}"
+_NUMBER = rf"{_ANY_DIGIT}(?:{_ANY_DIGIT}{{2}}|\.{_ANY_DIGIT})"
 _PHONE_DIGITS = java_pattern(r"X{3}\)?[-.\s]?X{3}[-.\s]?X{4}").replace("X", _ANY_DIGIT)
-_DOTTED = _ANY_DIGIT + r"\." + _ANY_DIGIT
+_DOTTED = r"\." + _ANY_DIGIT
 # The last four letters are those that ignoring case adds to A-Z.
 _ASSIGNMENT = java_pattern(r"[=:]\s*['\"]?[A-Za-z0-9\-._~+/\u0130\u0131\u017F\u212A]{16}")
 
 DETECTORS: list[Pattern] = [
-    Pattern("SSN", fixed.SSN, valid=validators.is_ssn, mask=masks.mask_ssn, hint_regex=_DIGIT_RUN,
+    Pattern("SSN", fixed.SSN, valid=validators.is_ssn, mask=masks.mask_ssn, hint_regex=_NUMBER,
             description=fixed.DESCRIPTIONS["SSN"]),
     Pattern("CREDIT_CARD", fixed.CREDIT_CARD, valid=validators.is_card, mask=masks.mask_card,
-            hint_regex=_DIGIT_RUN, description=fixed.DESCRIPTIONS["CREDIT_CARD"]),
+            hint_regex=_NUMBER, description=fixed.DESCRIPTIONS["CREDIT_CARD"]),
     Pattern("EMAIL", fixed.EMAIL, mask=masks.mask_email, hint_words=("@",),
             description=fixed.DESCRIPTIONS["EMAIL"]),
     Pattern("PHONE", fixed.PHONE, valid=validators.is_phone, mask=masks.mask_phone,
-            hint_regex=_DIGIT_RUN, near_regex=_PHONE_DIGITS,
+            hint_regex=_NUMBER, near_regex=_PHONE_DIGITS,
             description=fixed.DESCRIPTIONS["PHONE"]),
-    Pattern("IP_ADDRESS", fixed.IPV4, valid=validators.is_ipv4, hint_regex=_DOTTED,
-            description=fixed.DESCRIPTIONS["IP_ADDRESS"]),
+    Pattern("IP_ADDRESS", fixed.IPV4, valid=validators.is_ipv4, hint_regex=_NUMBER,
+            near_regex=_DOTTED, description=fixed.DESCRIPTIONS["IP_ADDRESS"]),
 ]
 
 SECRETS: list[Pattern] = [
-    Pattern("JWT", fixed.JWT, prefix="JWT", hint_words=("eyJ",)),
-    Pattern("AWS_KEY", fixed.AWS_KEY, prefix="AWS_KEY", hint_regex="A(?:KI|BI|CC|SI)A[0-9A-Z]{16}"),
-    Pattern("BEARER_TOKEN", fixed.BEARER_TOKEN, prefix="BEARER", hint_words=("earer",)),
-    Pattern("BASIC_AUTH", fixed.BASIC_AUTH, prefix="BASIC_AUTH", hint_words=("asic",)),
-    Pattern("API_KEY", fixed.API_KEY, prefix="API_KEY", ignore_case=True, hint_regex=_ASSIGNMENT),
-    Pattern("PRIVATE_KEY", fixed.PRIVATE_KEY, prefix="PRIVATE_KEY", hint_words=("PRIVATE KEY-----",),
+    Pattern("JWT", fixed.JWT, prefix="JWT", hint_words=(".eyJ",)),
+    Pattern("AWS_KEY", fixed.AWS_KEY, prefix="AWS_KEY",
+            hint_words=("AKIA", "ABIA", "ACCA", "ASIA")),
+    Pattern("BEARER_TOKEN", fixed.BEARER_TOKEN, prefix="BEARER",
+            hint_words=("Bearer", "bearer")),
+    Pattern("BASIC_AUTH", fixed.BASIC_AUTH, prefix="BASIC_AUTH",
+            hint_words=("Basic", "basic")),
+    Pattern("API_KEY", fixed.API_KEY, prefix="API_KEY", ignore_case=True,
+            hint_words=("=", ":"), near_regex=_ASSIGNMENT),
+    Pattern("PRIVATE_KEY", fixed.PRIVATE_KEY, prefix="PRIVATE_KEY", hint_words=("-----BEGIN ",),
             text_pattern=fixed.PRIVATE_KEY.replace(r"[\s\S]", ".")),
     Pattern("CONNECTION_STRING", fixed.CONNECTION_STRING, prefix="CONNECTION_STRING",
             ignore_case=True, hint_words=("://",)),
@@ -101,8 +105,8 @@ SECRETS: list[Pattern] = [
     Pattern("IPV6", fixed.IPV6, prefix="IPV6", default=False, hint_words=(":",)),
     Pattern("EMAIL", fixed.PLAIN_EMAIL, prefix="EMAIL", hint_words=("@",)),
     Pattern("SESSION_ID", fixed.SESSION_ID, prefix="SESSION", ignore_case=True,
-            hint_regex=_ASSIGNMENT),
-    Pattern("SET_COOKIE", fixed.SET_COOKIE, prefix="COOKIE", hint_words=("ookie:",),
+            hint_words=("=", ":"), near_regex=_ASSIGNMENT),
+    Pattern("SET_COOKIE", fixed.SET_COOKIE, prefix="COOKIE", hint_words=("-Cookie:", "-cookie:"),
             text_pattern=r"[Ss]et-[Cc]ookie:[^\n]+"),
     Pattern("HEX_TOKEN", fixed.HEX_TOKEN, prefix="TOKEN", default=False,
             hint_regex="[0-9a-fA-F]{32}"),
