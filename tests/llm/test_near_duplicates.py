@@ -1,0 +1,97 @@
+import random
+
+import pytest
+
+from cloakframe.llm.components import connected_components
+from cloakframe.llm.near_duplicates import near_duplicates, op2_near_duplicates
+
+
+def brute(pairs, size, percent=80):
+    sets = []
+    for _, text in pairs:
+        w = (text or "").encode("utf-8").lower().split()
+        n = len(w)
+        sets.append({tuple(w[i:i + size]) for i in range(max(1, n - size + 1))} if n else set())
+    up = list(range(len(pairs)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(pairs)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                up[root(i)] = root(j)
+    least = {}
+    for i, (k, _) in enumerate(pairs):
+        least[root(i)] = min(k, least.get(root(i), k))
+    return sorted((k, len(sets[i]), least[root(i)], k == least[root(i)])
+                  for i, (k, _) in enumerate(pairs))
+
+
+def got(df):
+    assert df.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    return sorted(tuple(r) for r in df.collect())
+
+
+@pytest.fixture(scope="module")
+def mixed():
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(500)]
+    pairs, base = [], [rng.choice(words) for _ in range(60)]
+    for i in range(90):  # one group around a text, with all degrees of likeness
+        w = list(base)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(60)] = rng.choice(words)
+        pairs.append((i, " ".join(w)))
+    for i in range(90, 150):
+        pairs.append((i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))))
+    pairs += [(150 + i, pairs[i % 40][1].upper() + "\t\n") for i in range(60)]
+    pairs += [(300, None), (301, ""), (302, " \n"), (303, "One"), (304, "one"), (305, "a b"),
+              (306, "É b"), (307, "é b"), (308, "z " * 30000)]
+    rng.shuffle(pairs)
+    return pairs
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_equals_brute_force(docs_of, mixed, size):
+    assert got(near_duplicates(docs_of(mixed), size)) == brute(mixed, size)
+
+
+def test_settling_in_small_blocks(docs_of, mixed):
+    assert got(near_duplicates(docs_of(mixed), block=7)) == brute(mixed, 2)
+
+
+def test_whole_table(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    pairs = [(r.doc_id, r.text) for r in docs.collect()]
+    assert got(op2_near_duplicates(spark, small)) == brute(pairs, 2)
+
+
+def test_empty_null_and_repeated(docs_of):
+    assert got(near_duplicates(docs_of([]))) == []
+    rows = near_duplicates(docs_of([(None, "a b c"), (4, "a b c"), (4, "a b c"), (None, None)])).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in rows) == [
+        (0, 0, False), (0, 4, False), (4, 4, True), (4, 4, True)]
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)]
+    links += [(i, i + 1) for i in range(400, 440)] + [(500, i) for i in range(501, 560)] + [(7, 7)]
+    up = {x: x for link in links for x in link}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    df = spark.createDataFrame(links + [(None, 3)], "a long, b long")
+    assert sorted(tuple(r) for r in connected_components(df).collect()) == sorted(
+        (x, root(x)) for x in up)
+    assert connected_components(df.limit(0)).count() == 0
