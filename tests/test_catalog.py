@@ -6,10 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from cloakframe.plans.catalog import QUERIES
+from cloakframe.plans.oracle import oracles
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+SQL = oracles()
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +54,7 @@ def test_no_sql_without_query():
 def test_entry(spark):
     counts = {r.type: r.n for r in entry.entry(spark).collect()}
     assert counts == {"EMAIL": 5, "IP_ADDRESS": 6, "CREDIT_CARD": 6, "PHONE": 6}
+
+
+def test_entry_has_the_catalog():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
