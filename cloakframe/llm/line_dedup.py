@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cloakframe.llm.tables import keyed_texts, stored
 from cloakframe.operators.spread import spread_join
@@ -97,24 +97,37 @@ class LineRuns:
 
 def drop_repeated_lines(docs: DataFrame, totals: DataFrame, lines: DataFrame,
                         least_docs: int = 3) -> DataFrame:
-    """doc_id, text, n_lines, n_dropped: texts without lines that ``totals`` gives to a later document."""
+    """doc_id, text, rest, n_lines, n_dropped: texts without lines that ``totals`` gives to a later document.
+
+    ``rest`` holds the other columns of ``docs`` as a struct.
+    """
     repeated = totals.filter(F.col("n_docs") >= least_docs).select(*_HASH, "last_doc")
     hit = spread_join(lines.select("doc_id", F.inline("lines")), repeated, _HASH, "inner").filter(
         ~F.col("doc_id").eqNullSafe(F.col("last_doc")))
     gone = hit.groupBy("doc_id").agg(F.collect_set(F.struct(*_HASH)).alias("gone"))
-    # Whether a line goes is worked out once per row: the array is exploded and collected nowhere.
     key = line_key("line")
     keep = (f"filter(split(text, '\n', -1), line -> not array_contains(gone, "
             f"named_struct('h1', xxhash64({key}), 'h2', xxhash64({key}, 1))))")
-    joined = keyed_texts(docs).join(gone, "doc_id", "left")
-    cut = joined.withColumn("left", F.when(F.col("gone").isNotNull(), F.expr(keep)))
+    rest = F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                        F.coalesce("text", F.lit("")).alias("text"), rest.alias("rest"))
+    cut = texts.join(gone, "doc_id", "left").withColumn(
+        "left", F.when(F.col("gone").isNotNull(), F.expr(keep)))
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     n_lines = n_lines.cast("long")
     return cut.select(
-        "doc_id", F.coalesce(F.array_join("left", "\n"), "text").alias("text"), n_lines.alias("n_lines"),
+        "doc_id", F.coalesce(F.array_join("left", "\n"), "text").alias("text"), "rest", n_lines.alias("n_lines"),
         F.when(F.col("left").isNull(), F.lit(0)).otherwise(n_lines - F.size("left")).cast("long").alias("n_dropped"))
 
 
+def _deduped(docs: DataFrame, least: int, least_docs: int, batches: int, fan: int) -> DataFrame:
+    lines = stored(hashed_lines(docs, least).filter("size(lines) > 0"), "lines")
+    runs = LineRuns(fan)
+    for at in range(batches):
+        runs.add(lines.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == at))
+    return drop_repeated_lines(docs, runs.totals(), lines, least_docs)
+
+
 def dedup_lines(docs: DataFrame, least: int = 20, least_docs: int = 3, batches: int = 3,
                 fan: int = 2) -> DataFrame:
     """doc_id, text, n_lines, n_dropped: lines found in ``least_docs`` documents stay in the last one only.
@@ -126,12 +139,27 @@ def dedup_lines(docs: DataFrame, least: int = 20, least_docs: int = 3, batches:
     its own text in the result.  Rows without a doc_id are one document before all others,
     and lose no line.  Other columns are ignored; an empty table gives no rows.
     """
-    lines = stored(hashed_lines(docs, least), "lines")
-    found = lines.filter("size(lines) > 0")
-    runs = LineRuns(fan)
-    for at in range(batches):
-        runs.add(found.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == at))
-    return drop_repeated_lines(docs, runs.totals(), found, least_docs)
+    return _deduped(docs, least, least_docs, batches, fan).drop("rest")
+
+
+def without_repeated_lines(docs: DataFrame, least: int = 20, least_docs: int = 3, batches: int = 3,
+                           fan: int = 2) -> DataFrame:
+    """The rows of ``docs`` with texts as in :func:`dedup_lines`; n_chars, if there, is counted anew.
+
+    A null text becomes an empty one.
+    """
+    found = _deduped(docs, least, least_docs, batches, fan)
+    kinds = dict(docs.dtypes)
+
+    def column(name: str) -> Column:
+        if name == "text" or name == "doc_id":
+            return F.col(name)
+        if name == "n_chars":
+            return F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(
+                F.col("rest.n_chars")).cast(kinds[name]).alias(name)
+        return F.col(f"rest.`{name}`").alias(name)
+
+    return found.select(*[column(c) for c in docs.columns])
 
 
 def op7_line_dedup(spark, folder: str) -> DataFrame:

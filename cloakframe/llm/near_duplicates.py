@@ -215,5 +215,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, bands:
                         F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` but for documents that are not the least doc_id of their component.
+
+    Rows without a doc_id stay; rows that repeat a doc_id are one document and stay or go together
+    by any of their texts.
+    """
+    found = near_duplicates(docs, shingle, percent).filter("not kept and doc_id is not null")
+    gone = stored(found.select("doc_id").distinct(), "copies")
+    return only_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op2_near_duplicates(spark, folder: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{folder}/documents.parquet"))

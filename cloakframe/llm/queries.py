@@ -6,11 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+from cloakframe.llm.decontamination import OP3_SQL, op3_decontamination
+from cloakframe.llm.disclosure import op5_personal_data
+from cloakframe.llm.licenses import OP9_SQL, op9_licenses
 from cloakframe.llm.line_dedup import OP7_SQL, op7_line_dedup
 from cloakframe.llm.near_duplicates import op2_near_duplicates
+from cloakframe.llm.neighbours import op8_nearest
 from cloakframe.llm.packing import op4_packing
+from cloakframe.llm.quality import op6_quality
+from cloakframe.llm.secrets import op1_secrets
+from cloakframe.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_near_duplicates, op4_packing, op7_line_dedup)
+    f.__name__: f for f in (
+        op1_secrets, op2_near_duplicates, op3_decontamination, op4_packing, op5_personal_data, op6_quality,
+        op7_line_dedup, op8_nearest, op9_licenses, op10_toxicity)
+} | {"pipeline": corpus_pipeline.run}
+ORACLES: dict[str, str] = {
+    "op3_decontamination": OP3_SQL, "op7_line_dedup": OP7_SQL, "op9_licenses": OP9_SQL,
 }
-ORACLES: dict[str, str] = {"op7_line_dedup": OP7_SQL}

@@ -22,15 +22,17 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
                        F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def only_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+def only_ids(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
     """The rows of ``df`` whose ``column`` is in the stored, duplicate-free table ``ids``.
 
+    ``how`` "left_anti": those whose ``column`` is not in it, also where it is null.
+
     A short list of ids is broadcast after counting it; a longer one is joined by
     shuffling.  Both give the same rows.
     """
     if ids.count() <= MOST_SENT_IDS:
         ids = F.broadcast(ids)
-    return df.join(ids, column, "left_semi")
+    return df.join(ids, column, how)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -1,0 +1,60 @@
+"""Every stage against a brute-force version, on what its predecessor kept."""
+
+import sys
+from pathlib import Path
+
+import corpus_pipeline
+from cloakframe.llm.packing import tokenizer_file
+from cloakframe.llm.tables import stored
+from cloakframe.llm.toxicity import score_toxicity
+
+sys.path.insert(0, str(Path(__file__).parent))
+
+import test_decontamination as leaks  # noqa: E402
+import test_line_dedup as lines  # noqa: E402
+import test_near_duplicates as near  # noqa: E402
+import test_packing as packs  # noqa: E402
+
+
+def test_stages(spark, small):
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        before = [(r.doc_id, r.text) for r in docs.collect()]
+        after = stored(stage(spark, docs, small), f"test-{name}")
+        if name != "packing":
+            assert after.columns == docs.columns and dict(after.dtypes) == dict(docs.dtypes)
+        rows = after.collect()
+        got = sorted((r.doc_id, r.text) for r in rows) if name != "packing" else None
+        if name == "toxicity":
+            keep = {r.doc_id for r in score_toxicity(docs, labels).filter("predicted = 0").collect()}
+            assert got == sorted(x for x in before if x[0] in keep)
+        elif name == "line_dedup":
+            assert got == sorted((k, t) for k, t, *_ in lines.brute(before))
+            assert all(r.n_chars == len(r.text) for r in rows)
+        elif name == "near_dedup":
+            keep = {k for k, _, _, kept in near.brute(before, 5) if kept}
+            assert got == sorted(x for x in before if x[0] in keep)
+        elif name == "decontamination":
+            bad = {k for k, *_ in leaks.brute(before, bench)}
+            assert got == sorted(x for x in before if x[0] not in bad)
+        else:
+            packs.check(rows, dict(before), Tokenizer.from_file(tokenizer_file()))
+        docs = after
+    assert [n for n, _ in corpus_pipeline.STAGES] == [
+        "toxicity", "line_dedup", "near_dedup", "decontamination", "packing"]
+
+
+def test_odd_documents(spark, docs_of, folder_of):
+    x = "a line that is long enough to count"
+    docs = docs_of([(1, x), (2, x), (3, x), (3, x), (4, None), (5, ""), (None, "no id here at all"), (6, "y " * 9000)])
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "one two three four five six"), (2, None)], "item_id long, text string")
+    folder = folder_of(documents=docs, labels=labels, benchmark=bench)
+    pieces = corpus_pipeline.run(spark, folder).collect()  # without labels nothing is toxic
+    assert sorted({r.doc_id or 0 for r in pieces}) == [0, 1, 2, 3, 4, 5, 6]
+    empty = folder_of(documents=docs.limit(0), labels=labels, benchmark=bench)
+    assert corpus_pipeline.run(spark, empty).count() == 0
