@@ -5,7 +5,7 @@
 2. A generative label model estimates from the votes alone, by expectation maximization,
    how often each voter speaks in either class, and from what the classes leave unexplained
    how the voters hang together; evidence of voters that move together is shared
-   out among them.  Mining and its starting values are all that labels are used for.
+   out among them.  Labels serve for mining, for its starting values, and as one voter of known reliability where they are known.
 3. The posterior labels of a bounded sample train a linear classifier on the hashed words
    and word beginnings that tell the classes apart; it scores every document.
 """
@@ -32,6 +32,8 @@ MOST_TRAINED = 8000
 MOST_MINED = 150
 BUCKETS = 1 << 18
 _KEPT = 300_000
+#: Log odds of a label being right.
+_LABEL_ODDS = 4.0
 _WORD = regex.compile(r"[^\W\d_]+")
 
 LEXICON = {
@@ -138,10 +140,12 @@ def vote(found: pd.DataFrame, mined: np.ndarray) -> np.ndarray:
         -((hits == 0) & (n_mined * 400 < n_words)).astype(int)]).astype(np.int8)
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """P(toxic) of each row of ``votes``; ``start`` holds first guesses of it.
+def label_model(votes: np.ndarray, start: np.ndarray, given: np.ndarray | float = 0.0,
+                rounds: int = 25) -> np.ndarray:
+    """P(toxic) of each row of ``votes``; ``start`` holds first guesses of it and
+    ``given`` evidence from outside, as log odds.
 
-    Estimates how often each voter says what in either class.  The weights come from the
+    Estimates how often each voter says what in either class; silence is no evidence.  The weights come from the
     correlations that remain within the classes: a voter's evidence is divided by one plus
     the sum of its positive correlations with all others.
     """
@@ -159,8 +163,8 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> np.nd
             together = (rest.T @ rest) / len(rest) / np.outer(scale, scale)
             np.fill_diagonal(together, 0)
             weights = 1 / (1 + np.clip(together, 0, 1).sum(1))
-        logit = np.log(n1 / n0) + sum(
-            s @ (weights * (np.log(a) - np.log(b))) for s, a, b in zip(said, rates1, rates0))
+        logit = np.log(n1 / n0) + given + sum(
+            s @ (weights * (np.log(a) - np.log(b))) for s, a, b in list(zip(said, rates1, rates0))[::2])
         p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return p
 
@@ -198,7 +202,7 @@ def best_shift(logits: np.ndarray, labels: np.ndarray) -> float:
 def learn(found: pd.DataFrame) -> tuple[np.ndarray, float]:
     """Voters, label model and classifier from featured, labelled documents.
 
-    A label is one more voter, whose reliability is estimated like that of the others.
+    A label is one more voter, of known reliability.
     """
     if not len(found):
         return np.zeros(BUCKETS), -1.0
@@ -206,8 +210,7 @@ def learn(found: pd.DataFrame) -> tuple[np.ndarray, float]:
     buckets = list(found["buckets"])
     telling, likelier = mine(buckets, labels)
     voters = np.sort(telling[likelier >= 8][:MOST_MINED])
-    votes = np.column_stack([vote(found, voters), 2 * labels - 1])
-    p = label_model(votes, labels.astype(np.float64))
+    p = label_model(vote(found, voters), labels.astype(np.float64), (2 * labels - 1) * _LABEL_ODDS)
     told = np.zeros(BUCKETS, bool)
     told[telling] = True
     rows = [(b[told[b]], scaled(c[told[b]], n)) for b, c, n in zip(buckets, found["counts"], found["n_words"])]
