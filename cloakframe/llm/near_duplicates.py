@@ -24,22 +24,17 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from cloakframe.llm.components import connected_components
-from cloakframe.llm.tables import keyed_texts, only_ids, stored
+from cloakframe.llm.tables import Kept, kept_in_process, keyed_texts, only_ids, stored
 from cloakframe.operators.spread import spread_join
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_WORDS_KEPT = 400_000
 _CHUNK = 4096
 #: Classes of a bucket that one task compares at once.
 BLOCK = 1024
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _WORDS_KEPT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def word_hashes() -> Kept:
+    return kept_in_process("words", None, lambda: xxhash.xxh3_64_intdigest)
 
 
 def shingle_hashes(text: str, size: int, words: dict) -> np.ndarray:
@@ -84,7 +79,7 @@ def _signatures(size: int, bands: int, rows: int):
     family = hash_family(bands * rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, known = _WordHashes(), {}
+        words, known = word_hashes(), {}
         for batch in batches:
             out = {"doc_id": batch["doc_id"], "n_shingles": [], "set_a": [], "set_b": [], "bands": []}
             for text in batch["text"]:
@@ -107,7 +102,7 @@ def _signatures(size: int, bands: int, rows: int):
 
 def _sets(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _WordHashes()
+        words = word_hashes()
         for batch in batches:
             yield pd.DataFrame({
                 "node": batch["doc_id"],

@@ -38,3 +38,33 @@ def only_ids(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi")
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from training: crc32 of its id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+class Kept(dict):
+    """Values of keys met before, up to ``most``; later keys are worked out each time.
+
+    Frequent keys come early, so nothing has to make room.
+    """
+
+    def __init__(self, make, most: int = 700_000):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(self) < self.most:
+            self[key] = value
+        return value
+
+
+_in_process: dict = {}
+
+
+def kept_in_process(purpose: str, mark, make) -> Kept:
+    """The one :class:`Kept` of a worker process for ``purpose``, begun anew when ``mark`` changes.
+
+    A worker runs many tasks one after another; what it has met serves the next one.
+    """
+    if purpose not in _in_process or _in_process[purpose][0] != mark:
+        _in_process[purpose] = mark, Kept(make())
+    return _in_process[purpose][1]
