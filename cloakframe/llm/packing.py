@@ -14,19 +14,20 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, functions as F
 
 from cloakframe.llm.tables import keyed_texts, stored
 
 WINDOW = 1024
-_PIECE = regex.compile(r"\s*\S+|\s+")
-_KEPT = 300_000
+_PIECE = re.compile(r"\s*[^\W_]+(?=[.,])|\s*\S+|\s+")
 
 
 def best_fill(counts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -79,35 +80,47 @@ def fill_plan(counts: np.ndarray, window: int) -> pd.DataFrame:
         "int64").sort_values(["length", "first"], ignore_index=True)
 
 
-class _Encoder(dict):
-    """Token bytes of runs of blanks with the word behind them.
+class _Encoder:
+    """Token bytes of texts, from runs of blanks with the word behind them.
 
-    A byte-level pre-tokenizer never joins characters over such a border, so a
-    text has the ids of its runs, one after another.  Runs met before are looked up.
+    A byte-level pre-tokenizer never joins characters over the border in front of a run, nor over
+    that between a letter or number and a full stop or comma, so a text has the ids of
+    its runs, one after another.  Runs met before are looked up, new ones encoded together.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 700_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallel part
         from tokenizers import Tokenizer
 
-        super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, run: str) -> bytes:
-        if len(self) >= _KEPT:
-            self.clear()
-        ids = self._tokenizer.encode(run, add_special_tokens=False).ids
-        value = self[run] = np.array(ids, "<u4").tobytes()
-        return value
+        self._known: dict[str, bytes] = {}
+        self._most = most
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _PIECE.findall(text)))
+        runs = _PIECE.findall(text)
+        known = self._known
+        new = list(set(runs).difference(known))
+        if new:
+            found = self._tokenizer.encode_batch_fast(new, add_special_tokens=False)
+            fresh = {run: np.array(e.ids, "<u4").tobytes() for run, e in zip(new, found)}
+            if len(known) + len(fresh) > self._most:  # frequent runs came early and stay
+                known = {**fresh, **{run: known[run] for run in set(runs).intersection(known)}}
+            else:
+                known.update(fresh)
+        return b"".join(map(known.__getitem__, runs))
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> _Encoder:
+    """One for all tasks of a worker process."""
+    return _Encoder(path)
 
 
 def _tokenized(path: str, window: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _Encoder(path)
+        encoder = _encoder(path)
         met = np.zeros(window + 1, np.int64)
         part = None
         for batch in batches:
