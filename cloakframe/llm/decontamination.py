@@ -16,16 +16,16 @@ items means more passes over the documents, nothing else.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, functions as F
 
-from cloakframe.llm.near_duplicates import _WordHashes, hash_family
+from cloakframe.llm.near_duplicates import word_hashes, hash_family
 from cloakframe.llm.tables import keyed_texts, only_ids, stored
 
 SHINGLE = 5
@@ -34,9 +34,10 @@ HASHES = 64
 BLOCK_SHINGLES = 200_000
 _LEAST_UNIT = 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
+_WORD = re.compile(r"[^\W_]+")
 _TABLE = 1 << 20
-_SLICE = 1 << 13
+_TABLE_BITS = 14
+_SLICE = 1 << 12
 
 
 def sequence(text: str, words: dict, size: int = SHINGLE) -> np.ndarray:
@@ -71,7 +72,7 @@ class Items:
     percent: int
 
     def __post_init__(self):
-        family = hash_family(HASHES)
+        family = _family()
         self.units = np.array([unit_of(len(s)) for s in self.sets])
         self.classes = {}
         small = np.flatnonzero(self.units == 1)
@@ -83,25 +84,31 @@ class Items:
         self.single_table[(values & np.uint64(_TABLE - 1)).astype(np.int64)] = True
         for unit in sorted(set(self.units.tolist()) - {1}):
             at = np.flatnonzero(self.units == unit)
-            lows = np.array([_block_minima(self.sets[i], len(self.sets[i]), family)[0] for i in at])
-            table = np.zeros((HASHES, _TABLE // 8), np.uint8)
+            lows = np.array([_block_minima(self.sets[i], len(self.sets[i]), family)[:, 0] for i in at])
+            table = np.zeros((HASHES, 1 << _TABLE_BITS), bool)
             for h in range(HASHES):
-                slots = lows[:, h] & (_TABLE - 1)
-                np.bitwise_or.at(table[h], slots >> 3, (1 << (slots & 7)).astype(np.uint8))
+                table[h, lows[:, h] & np.uint32((1 << _TABLE_BITS) - 1)] = True
             order = np.argsort(lows, axis=0, kind="stable")
             self.classes[unit] = (at, table, np.take_along_axis(lows, order, 0), order)
 
 
+def _family() -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers and offsets of the hashes, 32 bits wide: their values are compared by the high bits."""
+    a, b = hash_family(HASHES)
+    return (a >> np.uint64(31)).astype(np.uint32)[:, None] | np.uint32(1), b.astype(np.uint32)[:, None]
+
+
 def _block_minima(hashes: np.ndarray, unit: int, family) -> np.ndarray:
-    """The minima of all hashes over each run of ``unit`` shingles, as uint32."""
+    """The minima over each run of ``unit`` shingles, a row per hash."""
     a, b = family
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
     out = []
     step = max(unit, _SLICE // unit * unit)
-    for at in range(0, len(hashes), step):
-        part = hashes[at:at + step]
-        values = ((part[:, None] * a + b) >> np.uint64(32)).astype(np.uint32)
-        out.append(np.minimum.reduceat(values, np.arange(0, len(part), unit), axis=0))
-    return np.concatenate(out)
+    for at in range(0, len(short), step):
+        values = short[None, at:at + step] * a
+        values += b
+        out.append(np.minimum.reduceat(values, np.arange(0, values.shape[1], unit), axis=1))
+    return np.concatenate(out, axis=1)
 
 
 def _candidates(hashes: np.ndarray, items: Items, family) -> set[int]:
@@ -113,19 +120,18 @@ def _candidates(hashes: np.ndarray, items: Items, family) -> set[int]:
         for x, y in zip(left, right):
             found.update(items.single_of[x:y].tolist())
     lows, unit = None, _LEAST_UNIT
-    hash_no = np.arange(HASHES)
+    hash_no = np.arange(HASHES)[:, None]
     for wanted in sorted(items.classes):
         if lows is None:
             lows = _block_minima(hashes, unit, family)
         while unit < wanted:  # minima of longer blocks from those of shorter ones
-            lows = np.minimum.reduceat(lows, np.arange(0, len(lows), 2), axis=0)
+            lows = np.minimum.reduceat(lows, np.arange(0, lows.shape[1], 2), axis=1)
             unit *= 2
-        windows = np.minimum(lows[:-1], lows[1:]) if len(lows) > 1 else lows
+        windows = np.minimum(lows[:, :-1], lows[:, 1:]) if lows.shape[1] > 1 else lows
         at, table, ordered, order = items.classes[wanted]
-        slots = windows & np.uint32(_TABLE - 1)
-        maybe = np.argwhere(table[hash_no, slots >> 3] >> (slots & 7).astype(np.uint8) & 1)
-        for h in set(maybe[:, 1].tolist()):
-            values = np.unique(windows[maybe[maybe[:, 1] == h, 0], h])
+        maybe = table[hash_no, windows & np.uint32((1 << _TABLE_BITS) - 1)]
+        for h in np.flatnonzero(maybe.any(1)):
+            values = np.unique(windows[h, maybe[h]])
             left = np.searchsorted(ordered[:, h], values, "left")
             right = np.searchsorted(ordered[:, h], values, "right")
             for x, y in zip(left, right):
@@ -134,10 +140,10 @@ def _candidates(hashes: np.ndarray, items: Items, family) -> set[int]:
 
 
 def _search(items: Items):
-    family = hash_family(HASHES)
+    family = _family()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _WordHashes()
+        words = word_hashes()
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
@@ -158,7 +164,7 @@ def _search(items: Items):
 
 
 def _item_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    words = _WordHashes()
+    words = word_hashes()
     for batch in batches:
         sets = [np.unique(sequence(t, words)).view(np.int64) for t in batch["text"]]
         yield pd.DataFrame({"item_id": batch["item_id"], "shingles": sets})
