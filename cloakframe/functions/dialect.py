@@ -23,11 +23,16 @@ _NO_BOUNDARY = rf"(?:(?<=[{_WORD}])(?=[{_WORD}])|(?<![{_WORD}])(?![{_WORD}]))"
 _STARTS_WORD = re.compile(r"(?:\((?:\?:)?)*(\\d|\[[0-9A-Za-z-]+\])")
 _ENDS_WORD = re.compile(r"(?:\\d|\[[0-9A-Za-z-]+\])(?:[+]|\{[0-9,]+\})?\)*$")
 
+_LINE_START, _LINE_END = r"(?<![^\n])", r"(?![^\n])"
+
 SPACES = rf"[{_SPACE}\n]"
 
 
 def java_pattern(pattern: str, ignore_case: bool = False, within_lines: bool = False) -> str:
-    """Java form of ``pattern``: ``.`` and ``$`` stop at line feeds only."""
+    """Java form of ``pattern``: ``.`` and ``$`` stop at line feeds only.
+
+    ``within_lines`` binds ``^ $ \\A \\Z`` to the ends of each line.
+    """
     out, i, in_class, negated = [], 0, False, False
     while i < len(pattern):
         ch = pattern[i]
@@ -51,6 +56,8 @@ def java_pattern(pattern: str, ignore_case: bool = False, within_lines: bool = F
             in_class, negated = True, pattern[i + 1 : i + 2] == "^"
             out.append("[^" if negated else "[")
             i += int(negated)
+        elif within_lines and ch in "^$":
+            out.append(_LINE_START if ch == "^" else _LINE_END)
         else:
             out.append(_plain(ch))
         i += 1
@@ -88,6 +95,10 @@ def _escape(letter: str, in_class: bool, negated: bool, within_lines: bool) -> s
         return f"[^{_WORD}" + (r"\n]" if within_lines else "]")
     if letter == "B":
         return _NO_BOUNDARY
+    if letter in "AZ" and not in_class:
+        if within_lines:
+            return _LINE_START if letter == "A" else _LINE_END
+        return r"\A" if letter == "A" else r"\z"
     return r"\x27" if letter == "'" else "\\" + letter
 
 

@@ -52,7 +52,8 @@ class Pattern:
         if self.hint_words:
             tests = [f"contains({source}, {text(w)})" for w in self.hint_words]
             return "(" + " or ".join(tests) + ")"
-        return f"{source} rlike {text(self.hint_regex or self.regex)}"
+        # Without a hint nothing is ruled out: the expression itself may be bound to the ends of a line.
+        return f"{source} rlike {text(self.hint_regex)}" if self.hint_regex else "true"
 
     def hint(self, source: str) -> str:
         """All conditions that spare running the expression itself."""

@@ -21,7 +21,6 @@ from cloakframe.sources.scratch import scratch_folder
 _HEAD = fixed.SALT_BYTES
 _SMALLEST = fixed.SALT_BYTES + fixed.NONCE_BYTES + fixed.TAG_BYTES
 _MOST_BROADCAST_KEYS = 100_000
-_MOST_SALTS = 1024
 
 
 def derive_key(password: str, salt: bytes, rounds: int = fixed.KDF_ROUNDS) -> bytes:
@@ -52,25 +51,28 @@ def encrypt(df: DataFrame, column: str, password: str, salt: bytes | None = None
             n_salts: int = 1, rounds: int = fixed.KDF_ROUNDS) -> DataFrame:
     """Encrypt a string or binary column in place.
 
-    One random salt for the whole table by default; ``n_salts`` (1,024 at most)
-    spreads the rows over several keys.  Nonces are random, so write the result
-    before reading it more than once.
+    One random salt for the whole table by default; ``n_salts`` spreads the rows
+    over several keys, which the executors derive.  A table of keys above 100,000 rows is
+    joined by shuffling.  Nonces are random, so write the result before reading it more
+    than once.
     """
-    if not 1 <= n_salts <= _MOST_SALTS:
-        raise ValueError(f"n_salts must be between 1 and {_MOST_SALTS}")
+    if n_salts < 1:
+        raise ValueError("n_salts must be at least 1")
     if salt is not None and (n_salts != 1 or len(salt) != fixed.SALT_BYTES):
         raise ValueError(f"a given salt is the only one and has {fixed.SALT_BYTES} bytes")
-    salts = [salt or secrets.token_bytes(fixed.SALT_BYTES) for _ in range(n_salts)]
-    rows = [(i, bytearray(s), bytearray(derive_key(password, s, rounds)))
-            for i, s in enumerate(salts)]
-    keys = df.sparkSession.createDataFrame(rows, "_slot bigint, _salt binary, _key binary")
-    slot = F.pmod(F.xxhash64(column), F.lit(n_salts).cast("bigint"))
-    blob = F.concat("_salt", F.aes_encrypt(F.col(column).cast("binary"), "_key", F.lit("GCM")))
-    return (
-        df.withColumn("_slot", slot)
-        .join(F.broadcast(keys), "_slot")  # at most _MOST_SALTS rows
-        .select(*[blob.alias(c) if c == column else F.col(c) for c in df.columns])
+    spark = df.sparkSession
+    rows = [(i, bytearray(salt or secrets.token_bytes(fixed.SALT_BYTES))) for i in range(n_salts)]
+    slots = spark.createDataFrame(rows, "_slot bigint, _salt binary")
+    tasks = min(n_salts, 4 * spark.sparkContext.defaultParallelism)
+    derived = derive_keys(slots.select("_salt").repartition(tasks), "_salt", password, rounds)
+    keys = slots.join(derived.select(F.col("salt").alias("_salt"), F.col("key").alias("_key")), "_salt")
+    slotted = df.withColumn("_slot", F.pmod(F.xxhash64(column), F.lit(n_salts).cast("bigint")))
+    joined = (
+        slotted.join(F.broadcast(keys), "_slot") if n_salts <= _MOST_BROADCAST_KEYS
+        else spread_join(slotted, keys, ["_slot"], "inner")
     )
+    blob = F.concat("_salt", F.aes_encrypt(F.col(column).cast("binary"), "_key", F.lit("GCM")))
+    return joined.select(*[blob.alias(c) if c == column else F.col(c) for c in df.columns])
 
 
 def decrypt(df: DataFrame, column: str, password: str, salt: bytes | None = None,

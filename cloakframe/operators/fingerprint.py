@@ -31,11 +31,15 @@ def verify(df: DataFrame, key: Sequence[str], content: str, expected: DataFrame,
     Status is MATCH, MISMATCH (with the first differing position, from 0) or
     MISSING.  Unless an algorithm is asked for, it follows from the length of the
     expected digest; the digests are computed before the join, so that contents
-    are never shuffled.
+    are never shuffled.  Only algorithms that occur are run: their names, four at most, are
+    looked up first.
     """
     wanted = expected.select(*key, F.lower(strip(F.col("expected"))).alias("expected"))
     wanted = wanted.withColumn("algorithm", algorithm_of(F.col("expected"), algorithm))
-    kinds = ALGORITHMS if algorithm == "sha256" else [algorithm]
+    kinds = [algorithm]
+    if algorithm == "sha256":
+        asked = {r.algorithm for r in wanted.select("algorithm").distinct().collect()}
+        kinds = [k for k in ALGORITHMS if k in asked] or kinds
     digests = df.select(*key, *[digest(F.col(content), k).alias(k) for k in kinds])
     joined = wanted.join(digests, list(key), "left")
     actual = F.coalesce(*[F.when(F.col("algorithm") == k, F.col(k)) for k in kinds])
@@ -53,24 +57,32 @@ def verify(df: DataFrame, key: Sequence[str], content: str, expected: DataFrame,
 
 def compare(left: DataFrame, right: DataFrame, key: Sequence[str], content: str,
             algorithm: str = "sha256") -> DataFrame:
-    """Compare two collections by key: IDENTICAL, DIFFERENT, LEFT_ONLY or RIGHT_ONLY.
+    """Compare two collections by key: IDENTICAL, DIFFERENT, LEFT_ONLY, RIGHT_ONLY or REPEATED.
 
-    Only key, size and digest of each row are shuffled, never the contents.
+    One row per key.  A key that both sides have, one of them with different contents
+    under it, is REPEATED and shows the smallest size; equal repeated rows count once.  Two null
+    contents are identical.  Only key, size and digest of each row are shuffled, never the contents.
     """
     prints = {}
     for side, df in (("left", left), ("right", right)):
-        prints[side] = df.select(
+        rows = df.select(
             *key,
-            F.octet_length(content).cast("bigint").alias(f"{side}_length"),
-            digest(F.col(content), algorithm).alias(f"{side}_digest"),
-            F.lit(True).alias(f"in_{side}"),
+            F.octet_length(content).cast("bigint").alias("length"),
+            digest(F.col(content), algorithm).alias("digest"),
         )
-    both = prints["left"].join(prints["right"], list(key), "full_outer")
-    same_size = F.col("left_length") == F.col("right_length")
+        found = F.struct("length", "digest")
+        prints[side] = rows.groupBy(*key).agg(
+            F.min(found).alias(f"in_{side}"),
+            (~F.min(found).eqNullSafe(F.max(found))).alias(f"{side}_repeated"),
+        )
+    both = prints["left"].join(prints["right"], list(key), "full_outer").withColumns({
+        f"{side}_length": F.col(f"in_{side}.length") for side in prints
+    })
     status = (
         F.when(F.col("in_right").isNull(), "LEFT_ONLY")
         .when(F.col("in_left").isNull(), "RIGHT_ONLY")
-        .when(same_size & (F.col("left_digest") == F.col("right_digest")), "IDENTICAL")
+        .when(F.col("left_repeated") | F.col("right_repeated"), "REPEATED")
+        .when(F.col("in_left") == F.col("in_right"), "IDENTICAL")
         .otherwise("DIFFERENT")
     )
     return both.select(*key, "left_length", "right_length", status.alias("status"))
@@ -80,7 +92,7 @@ def identical_groups(df: DataFrame, row_id: str, content: str,
                      algorithm: str = "sha256") -> DataFrame:
     """Contents that occur more than once: length, digest, copies, first_id.
 
-    A plain aggregate with partial sums: a content shared by a third of all rows
+    Null contents are no copies of each other.  A plain aggregate with partial sums: a content shared by a third of all rows
     is reduced before the shuffle, and no list of members is built.
     """
     return _groups(fingerprint(df, [row_id], content, algorithm), row_id)
@@ -88,7 +100,7 @@ def identical_groups(df: DataFrame, row_id: str, content: str,
 
 def _groups(prints: DataFrame, row_id: str) -> DataFrame:
     return (
-        prints.groupBy("length", "digest")
+        prints.filter("digest is not null").groupBy("length", "digest")
         .agg(F.count("*").alias("copies"), F.min(row_id).alias("first_id"))
         .filter("copies > 1")
     )

@@ -39,16 +39,21 @@ def _rank() -> Column:
     return F.when(F.col("scope") == "format", ranks).otherwise(0)
 
 
-def file_risk(props: DataFrame) -> DataFrame:
-    """Worst grade among the format properties of each path; none means low."""
+def file_risk(props: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
+    """Worst grade among the format properties of each path; none means low.
+
+    Files of ``inventory`` (column path, unique) without any property are low too.
+    """
     worst = props.groupBy("path").agg(F.max(_rank()).alias("rank"))
+    if inventory is not None:
+        worst = worst.join(inventory.select("path"), "path", "full_outer")
     name = F.when(F.col("rank") == 2, "high").when(F.col("rank") == 1, "medium").otherwise("low")
     return worst.select("path", name.alias("risk"))
 
 
-def risk_summary(props: DataFrame) -> DataFrame:
+def risk_summary(props: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
     """One row: files scanned and files by worst grade (low counts as clean)."""
-    return file_risk(props).agg(
+    return file_risk(props, inventory).agg(
         F.count("*").alias("files_scanned"),
         F.count_if(F.col("risk") == "high").alias("high_risk"),
         F.count_if(F.col("risk") == "medium").alias("medium_risk"),

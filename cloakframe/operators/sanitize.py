@@ -89,10 +89,13 @@ def sanitize(df: DataFrame, column: str, types: Iterable[str] | None = None, key
 
 def sanitize_changed(df: DataFrame, column: str, types: Iterable[str] | None = None,
                      key: str = "", mode: str = "line") -> DataFrame:
-    """Sanitized rows, only those whose text changed."""
-    both = df.withColumn("_before", F.col(column))
-    changed = sanitize(both, column, types, key, mode).filter(F.col(column) != F.col("_before"))
-    return changed.drop("_before")
+    """Sanitized rows, only those whose text changed.
+
+    The new text comes out of a generator, below which no filter is pushed, so it is worked out once.
+    """
+    after = F.explode(F.array(sanitized(column, types, key, mode))).alias("_after")
+    changed = df.select("*", after).filter(F.col(column) != F.col("_after"))
+    return changed.withColumn(column, F.col("_after")).drop("_after")
 
 
 def sanitize_noted(df: DataFrame, line: str, types: Iterable[str] | None = None,

@@ -711,7 +711,7 @@ def file_manifest(spark, sf):
 
 @query
 def read_text_lines(spark, sf):
-    lines = files.read_text_lines(spark, _text_files(spark, sf))
+    lines = files.read_text_lines(spark, _text_files(spark, sf), extensions=[".txt"])
     return lines.filter("line <> ''").groupBy("line").agg(F.count("*").alias("n"))
 
 

@@ -70,7 +70,9 @@ def manifest(spark: SparkSession, folder: str, recursive: bool = False,
     """rel_path, length, algorithm and digest of the files in a folder, by path."""
     found = files.file_inventory(spark, folder, recursive).select("path")
     spread = found.repartition(spark.sparkContext.defaultParallelism, "path")
-    return files.digest_files(spread, "path", algorithm).select(
+    # Written before sorting: sampling for the sort would read all files again.
+    digests = materialized(files.digest_files(spread, "path", algorithm), "digests")
+    return digests.select(
         _relative(folder).alias("rel_path"), "length", F.lit(algorithm).alias("algorithm"),
         "digest",
     ).orderBy("rel_path")
@@ -91,7 +93,8 @@ def compare_files(spark: SparkSession, left: str, right: str, recursive: bool =
         )
     pairs = sides["left"].join(sides["right"], "rel_path", "full_outer")
     same_size = pairs.filter("left_length = right_length")
-    wanted = same_size.select(F.explode(F.array("left_path", "right_path")).alias("path"))
+    wanted = same_size.select(F.explode(F.array("left_path", "right_path")).alias("path")).repartition(
+        4 * spark.sparkContext.defaultParallelism, "path")
     digests = materialized(
         files.digest_files(wanted, "path", algorithm).select("path", "digest"), "digests"
     )

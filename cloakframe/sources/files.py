@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cloakframe.functions.formatting import extension
@@ -57,6 +59,9 @@ def _listed(places: DataFrame) -> DataFrame:
                 found = system.get_file_info(where)
                 if found.type == fs.FileType.Directory:
                     entries = system.get_file_info(fs.FileSelector(where))
+                    if isinstance(system, fs.LocalFileSystem):  # a link may lead back up
+                        entries = [e for e in entries
+                                   if e.type != fs.FileType.Directory or not os.path.islink(e.path)]
                 else:
                     entries = [found]
                 head = place[: len(place) - len(where)] if place.endswith(where) else ""
@@ -77,7 +82,7 @@ def file_inventory(spark: SparkSession, path: str | Sequence[str], recursive: bo
     """path, length and modificationTime of files, each once, ordered by path.
 
     Executors list the directories, level by level, and contents are not read.
-    Unlike Spark's file sources this keeps empty files and names that begin with
+    Links to directories are not followed.  Unlike Spark's file sources this keeps empty files and names that begin with
     a dot or an underscore.
     """
     roots = [path] if isinstance(path, str) else list(path)
@@ -107,14 +112,26 @@ def decoded(content: Column) -> Column:
 def read_texts(spark: SparkSession, path: str | Sequence[str], recursive: bool = False,
                extensions: Iterable[str] | None = None,
                allow_no_suffix: bool = False) -> DataFrame:
-    """file and text, one row per file (below 2 GiB each).
+    """file and text, one row per file (below 2 GiB each; a larger one stops the job).
 
-    Spark's source passes over empty files and names that begin with . or _.
+    The files are those of :func:`file_inventory`: empty ones and names that begin with
+    . or _ too.  Executors read them, spread by path.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
-    files = reader.load(path if isinstance(path, str) else list(path))
-    if extensions is not None:
-        files = files.filter(has_extension(F.col("path"), extensions, allow_no_suffix))
+    resolve = _file_system_of()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place in batch.column(0).to_pylist():
+                system, where = resolve(place)
+                with system.open_input_stream(where, compression=None) as stream:
+                    content = stream.read()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([place]), pa.array([content], pa.binary())], ["path", "content"]
+                )
+
+    found = file_inventory(spark, path, recursive, extensions, allow_no_suffix).select("path")
+    spread = found.repartition(4 * spark.sparkContext.defaultParallelism, "path")
+    files = spread.mapInArrow(run, "path string, content binary")
     return files.select(F.col("path").alias("file"), decoded(F.col("content")).alias("text"))
 
 
@@ -145,7 +162,7 @@ def digest_files(paths: DataFrame, path: str = "path", algorithm: str = "sha256"
             for place in frame[path]:
                 system, where = resolve(place)
                 state, size = hashlib.new(algorithm), 0
-                with system.open_input_stream(where) as stream:
+                with system.open_input_stream(where, compression=None) as stream:
                     while block := stream.read(block_size):
                         state.update(block)
                         size += len(block)

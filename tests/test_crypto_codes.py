@@ -40,6 +40,12 @@ def test_changed_and_short_blobs_fail(spark, tmp_path):
     assert {r.id for r in plain.filter("v is not null").collect()} == {3}
 
 
+def test_more_salts_than_before(spark):
+    df = spark.range(20).select("id", F.col("id").cast("string").alias("v"))
+    made = crypto.encrypt(df, "v", "pw", n_salts=1500, rounds=1)
+    assert made.filter("length(v) > 44").count() == 20
+
+
 def test_keys(spark):
     salts = [bytes([i] * 16) for i in range(3)]
     df = spark.createDataFrame([(bytearray(s),) for s in salts], "s binary")
@@ -57,7 +63,7 @@ def test_plans_do_not_show_keys(spark):
     text = plan._jdf.queryExecution().toString().lower()
     assert crypto.derive_key("pw", salt, ROUNDS).hex() not in text
     with pytest.raises(ValueError):
-        crypto.encrypt(df, "v", "pw", n_salts=5000)
+        crypto.encrypt(df, "v", "pw", n_salts=0)
     with pytest.raises(ValueError):
         crypto.encrypt(df, "v", "pw", salt=b"short")
 

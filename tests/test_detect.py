@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloakframe.functions import fixed_values as fixed
-from cloakframe.functions.patterns import DETECTORS, Pattern, choose, register_pattern
-from cloakframe.operators import detect
+from cloakframe.functions.patterns import DETECTORS, SECRETS, Pattern, choose, register_pattern
+from cloakframe.operators import detect, sanitize
 
 KINDS = {
     "SSN": fixed.SSN, "CREDIT_CARD": fixed.CREDIT_CARD, "EMAIL": fixed.EMAIL,
@@ -160,6 +160,24 @@ def test_new_pattern(spark):
         DETECTORS.pop()
 
 
+def test_new_pattern_bound_to_line_ends(spark):
+    for i, (start, end) in enumerate((("^", "$"), (r"\A", r"\Z"))):
+        register_pattern(DETECTORS, Pattern(f"PIN{i}", start + r"\d{6}" + end))
+    register_pattern(SECRETS, Pattern("PIN", r"^pin \d{4}$", prefix="PIN"))
+    try:
+        df = spark.createDataFrame([("abc\n123456\nzz 123456\npin 1234\n654321",)], "text string")
+        found = detect.scan_text(df, "text", "PIN0,PIN1").collect()
+        assert sorted((r.type, r.value, r.line) for r in found) == [
+            (t, v, n) for t in ("PIN0", "PIN1") for v, n in (("123456", 2), ("654321", 5))]
+        assert tuple(detect.hit_counts(df, "text", "PIN0,PIN1").first()) == (2, 2)
+        text = sanitize.sanitize(df, "text").first().text
+        assert "pin 1234" not in text and text.count("[PIN_") == 1
+        assert sanitize.sanitize_stats(df, "text").first().type_counts == {"PIN": 1}
+    finally:
+        SECRETS.pop()
+        del DETECTORS[-2:]
+
+
 def test_null_and_empty_texts(spark):
     df = spark.createDataFrame([(1, None), (2, "")], "id bigint, text string")
     assert detect.scan_text(df, "text").count() == 0

@@ -60,22 +60,35 @@ def test_scan_files(spark, tmp_path):
     _tree(tmp_path)
     found = jobs.scan_files(spark, str(tmp_path), recursive=True).collect()
     assert sorted((r.file.split("/")[-1], r.value, r.line) for r in found) == [
-        ("a.txt", "1.2.3.4", 2), ("a.txt", "a@b.co", 1), ("crlf.csv", "10.0.0.1", 2),
+        ("_hidden.txt", "h@i.org", 1), ("a.txt", "1.2.3.4", 2), ("a.txt", "a@b.co", 1), ("crlf.csv", "10.0.0.1", 2),
         ("latin.LOG", "c@d.org", 1), ("n.json", "e@f.net", 1),
     ]
     row = jobs.scan_files_summary(spark, str(tmp_path), recursive=True).first()
-    assert (row.files_found, row.files_with_pii, row.total_findings) == (9, 4, 5)
+    assert (row.files_found, row.files_scanned, row.files_with_pii, row.total_findings) == (9, 6, 5, 6)
+
+
+def test_odd_folders(spark, tmp_path):
+    for name in ("a.txt", "k=1/e.txt", "x[1]/b.txt", "plain/c.txt.gz"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"mail " + name[:1].encode() + b"@b.co")
+    (tmp_path / "plain/up").symlink_to(tmp_path)
+    assert files.file_inventory(spark, str(tmp_path), True).count() == 4
+    assert _names(files.read_texts(spark, str(tmp_path)), tmp_path, "file") == ["a.txt"]
+    assert _names(files.read_texts(spark, str(tmp_path / "x[1]")), tmp_path, "file") == ["x[1]/b.txt"]
+    texts = {r.file.split("/")[-1]: r.text for r in files.read_texts(spark, str(tmp_path), True).collect()}
+    assert texts == {"a.txt": "mail a@b.co", "e.txt": "mail k@b.co", "b.txt": "mail x@b.co",
+                     "c.txt.gz": "mail p@b.co"}
 
 
 def test_sanitize_files(spark, tmp_path):
     _tree(tmp_path / "in")
     out = str(tmp_path / "out")
     row = jobs.sanitize_files(spark, str(tmp_path / "in"), out, recursive=True).first()
-    assert row.type_counts == {"EMAIL": 3, "IPV4": 3}
+    assert row.type_counts == {"EMAIL": 5, "IPV4": 3}
     written = {r.output_name.split("/in/")[1]: r.text for r in spark.read.parquet(out).collect()}
     assert set(written) == {
         "a_sanitized.txt", "crlf_sanitized.csv", "latin_sanitized.LOG", "noext_sanitized.log",
-        "sub/deep/n_sanitized.json",
+        "sub/deep/n_sanitized.json", "_hidden_sanitized.txt", ".env_sanitized.log",
     }
     assert "@" not in "".join(written.values())
 

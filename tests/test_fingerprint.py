@@ -52,6 +52,18 @@ def test_compare(spark):
     }
 
 
+def test_nulls_and_repeated_keys(spark):
+    left = spark.createDataFrame([(1, None), (2, "a"), (2, "b"), (3, "c"), (3, "c")], "k int, t string")
+    right = spark.createDataFrame([(1, None), (2, "a"), (3, "c"), (4, None)], "k int, t string")
+    rows = prints.compare(left, right, ["k"], "t").collect()
+    assert sorted((r.k, r.status) for r in rows) == [
+        (1, "IDENTICAL"), (2, "REPEATED"), (3, "IDENTICAL"), (4, "RIGHT_ONLY")
+    ]
+    both = left.union(right).withColumn("id", F.monotonically_increasing_id())
+    assert {r.copies for r in prints.identical_groups(both, "id", "t").collect()} == {2, 3}
+    assert prints.identical_members(both, "id", "t").count() == 5
+
+
 def test_hot_group_of_copies_is_spread(spark):
     df = spark.range(6000).select(
         "id", F.when(F.col("id") % 3 == 0, "same").otherwise(F.col("id").cast("string")).alias("t")
