@@ -14,7 +14,6 @@
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import zlib
@@ -24,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from cloakframe.llm.tables import keyed_texts, stored
+from cloakframe.llm.tables import in_process, keyed_texts, stored
 
 WINDOW = 1024
 _PIECE = re.compile(r"\s*[^\W_]+(?=[.,])|\s*\S+|\s+")
@@ -85,10 +84,13 @@ class _Encoder:
 
     A byte-level pre-tokenizer never joins characters over the border in front of a run, nor over
     that between a letter or number and a full stop or comma, so a text has the ids of
-    its runs, one after another.  Runs met before are looked up, new ones encoded together.
+    its runs, one after another.  Short runs met before are looked up (at most ``most``), all
+    others of a block of texts are encoded together.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    LONGEST = 64  # characters of a run that is kept
+
+    def __init__(self, path: str, most: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallel part
         from tokenizers import Tokenizer
 
@@ -96,46 +98,64 @@ class _Encoder:
         self._known: dict[str, bytes] = {}
         self._most = most
 
-    def ids(self, text: str) -> bytes:
-        runs = _PIECE.findall(text)
+    def ids(self, texts: list[str]) -> list[bytes]:
+        runs = [_PIECE.findall(text) for text in texts]
         known = self._known
-        new = list(set(runs).difference(known))
+        met = set().union(*runs)
+        new = [run for run in met if run not in known]
         if new:
-            found = self._tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            fresh = {run: np.array(e.ids, "<u4").tobytes() for run, e in zip(new, found)}
-            if len(known) + len(fresh) > self._most:  # frequent runs came early and stay
-                known = {**fresh, **{run: known[run] for run in set(runs).intersection(known)}}
-            else:
-                known.update(fresh)
-        return b"".join(map(known.__getitem__, runs))
-
-
-@functools.lru_cache(maxsize=1)
-def _encoder(path: str) -> _Encoder:
-    """One for all tasks of a worker process."""
-    return _Encoder(path)
+            fresh = {}
+            for at in range(0, len(new), _ENCODED):
+                part = new[at:at + _ENCODED]
+                found = self._tokenizer.encode_batch_fast(part, add_special_tokens=False)
+                fresh.update((run, np.array(e.ids, "<u4").tobytes()) for run, e in zip(part, found))
+            if len(known) < self._most:  # frequent runs come early and stay
+                known.update((r, x) for r, x in fresh.items() if len(r) <= self.LONGEST)
+            known = fresh | {r: known[r] for r in met if r in known}
+        return [b"".join(map(known.__getitem__, own)) for own in runs]
+
+
+#: New runs that are encoded at once, and characters of texts that are looked up together.
+_ENCODED = 20_000
+_BLOCK = 500_000
+
+
+def _blocks(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, in blocks of about :data:`_BLOCK` characters; a longer text is alone."""
+    block, size = [], 0
+    for text in texts:
+        if block and size + len(text) > _BLOCK:
+            yield block
+            block, size = [], 0
+        block.append(text)
+        size += len(text)
+    if block:
+        yield block
 
 
 def _tokenized(path: str, window: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(path)
+        encoder = in_process("tokens", path, lambda: _Encoder(path))
         met = np.zeros(window + 1, np.int64)
         part = None
         for batch in batches:
-            out = []
             part = int(batch["part"].iloc[0]) if part is None and len(batch) else part
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = encoder.ids(text) + end
-                tokens = len(ids) // 4
-                for start in range(0, tokens, window):
-                    piece = ids[4 * start:4 * (start + window)]
-                    length = len(piece) // 4
-                    out.append((doc_id, start, length, zlib.crc32(piece), tokens, part, met[length]))
-                    met[length] += 1
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens",
-                                             "part", "rank"]).astype({"doc_id": "Int64"})
+            at = 0
+            for block in _blocks(batch["text"].tolist()):
+                out = []
+                for doc_id, ids in zip(batch["doc_id"].iloc[at:at + len(block)], encoder.ids(block)):
+                    ids += end
+                    tokens = len(ids) // 4
+                    for start in range(0, tokens, window):
+                        piece = ids[4 * start:4 * (start + window)]
+                        length = len(piece) // 4
+                        out.append((doc_id, start, length, zlib.crc32(piece), tokens, part, met[length]))
+                        met[length] += 1
+                at += len(block)
+                yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens",
+                                                 "part", "rank"]).astype({"doc_id": "Int64"})
 
     return run
 

@@ -41,18 +41,21 @@ def held_out(doc_id: Column) -> Column:
 
 
 class Kept(dict):
-    """Values of keys met before, up to ``most``; later keys are worked out each time.
+    """Values of keys met before, up to ``most``; later and longer keys are worked out each time.
 
     Frequent keys come early, so nothing has to make room.
     """
 
-    def __init__(self, make, most: int = 700_000):
+    #: Longer keys are not kept, so ``most`` bounds the bytes too.
+    LONGEST = 64
+
+    def __init__(self, make, most: int = 250_000):
         super().__init__()
         self.make, self.most = make, most
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(self) < self.most:
+        if len(self) < self.most and len(key) <= self.LONGEST:
             self[key] = value
         return value
 
@@ -60,11 +63,18 @@ class Kept(dict):
 _in_process: dict = {}
 
 
-def kept_in_process(purpose: str, mark, make) -> Kept:
-    """The one :class:`Kept` of a worker process for ``purpose``, begun anew when ``mark`` changes.
+def in_process(purpose: str, mark, make):
+    """What ``make`` gives, kept for later tasks of the worker process while ``mark`` stays.
 
-    A worker runs many tasks one after another; what it has met serves the next one.
+    Only one purpose is kept at a time: another one takes its place, so a worker that lives
+    through many stages holds what the present one needs.
     """
-    if purpose not in _in_process or _in_process[purpose][0] != mark:
-        _in_process[purpose] = mark, Kept(make())
+    if _in_process.get(purpose, (None,))[0] != mark or purpose not in _in_process:
+        _in_process.clear()
+        _in_process[purpose] = mark, make()
     return _in_process[purpose][1]
+
+
+def kept_in_process(purpose: str, mark, make) -> Kept:
+    """The :class:`Kept` of a worker process for ``purpose``, begun anew when ``mark`` changes."""
+    return in_process(purpose, mark, lambda: Kept(make()))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from cloakframe.llm.packing import _Encoder, best_fill, fill_plan, op4_packing, pack, tokenizer_file
+from cloakframe.llm.packing import _blocks, _Encoder, best_fill, fill_plan, op4_packing, pack, tokenizer_file
 
 
 @pytest.fixture(scope="module")
@@ -56,7 +56,20 @@ def test_encoder_on_random_text(tokenizer):
     signs = "ab1 '  \n\t.!é漢  \x1c\x85<|>endoftext"
     for _ in range(3000):
         text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 25)))
-        assert encoder.ids(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert encoder.ids([text]) == [np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+
+
+def test_encoder_without_room(tokenizer):
+    """Runs beyond the kept ones, and runs too long to be kept, are encoded each time."""
+    rng, encoder = random.Random(3), _Encoder(tokenizer_file(), most=5)
+    texts = [" ".join("".join(rng.choice("abcé") for _ in range(rng.choice([1, 3, 200]))) for _ in range(30))
+             for _ in range(50)]
+    for at in range(0, 50, 10):
+        assert encoder.ids(texts[at:at + 10]) == [
+            np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[at:at + 10]]
+    assert len(encoder._known) < 400 and max(map(len, encoder._known)) <= 64
+    assert [len(b) for b in _blocks(["a" * 600_000, "b", "c" * 499_999, "d", ""])] == [1, 2, 2]
+    assert list(_blocks([])) == []
 
 
 def test_best_fill_is_closest():
