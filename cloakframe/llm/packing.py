@@ -90,7 +90,7 @@ class _Encoder:
 
     LONGEST = 64  # characters of a run that is kept
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallel part
         from tokenizers import Tokenizer
 
@@ -101,23 +101,21 @@ class _Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         runs = [_PIECE.findall(text) for text in texts]
         known = self._known
-        met = set().union(*runs)
-        new = [run for run in met if run not in known]
-        if new:
-            fresh = {}
-            for at in range(0, len(new), _ENCODED):
-                part = new[at:at + _ENCODED]
-                found = self._tokenizer.encode_batch_fast(part, add_special_tokens=False)
-                fresh.update((run, np.array(e.ids, "<u4").tobytes()) for run, e in zip(part, found))
-            if len(known) < self._most:  # frequent runs come early and stay
-                known.update((r, x) for r, x in fresh.items() if len(r) <= self.LONGEST)
-            known = fresh | {r: known[r] for r in met if r in known}
-        return [b"".join(map(known.__getitem__, own)) for own in runs]
+        new = [run for run in set().union(*runs) if run not in known]
+        for at in range(0, len(new), _ENCODED):
+            part = new[at:at + _ENCODED]
+            found = self._tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            known.update((run, np.array(e.ids, "<u4").tobytes()) for run, e in zip(part, found))
+        out = [b"".join(map(known.__getitem__, own)) for own in runs]
+        for run in new:  # frequent runs come early and stay
+            if len(known) > self._most or len(run) > self.LONGEST:
+                del known[run]
+        return out
 
 
 #: New runs that are encoded at once, and characters of texts that are looked up together.
 _ENCODED = 20_000
-_BLOCK = 500_000
+_BLOCK = 3_000_000
 
 
 def _blocks(texts: list[str]) -> Iterator[list[str]]:
