@@ -13,6 +13,7 @@ from cloakframe.llm.decontamination import OP3_SQL, op3_decontamination
 from cloakframe.llm.disclosure import op5_personal_data
 from cloakframe.llm.licenses import OP9_SQL, op9_licenses
 from cloakframe.llm.line_dedup import OP7_SQL, op7_line_dedup
+from cloakframe.llm.maxent import op13_lm_scores
 from cloakframe.llm.near_duplicates import op2_near_duplicates
 from cloakframe.llm.neighbours import op8_nearest
 from cloakframe.llm.packing import op4_packing
@@ -23,7 +24,7 @@ from cloakframe.llm.toxicity import op10_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_secrets, op2_near_duplicates, op3_decontamination, op4_packing, op5_personal_data, op6_quality,
-        op7_line_dedup, op8_nearest, op9_licenses, op10_toxicity, op11_centroids, op12_collocations)
+        op7_line_dedup, op8_nearest, op9_licenses, op10_toxicity, op11_centroids, op12_collocations, op13_lm_scores)
 } | {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {
     "op3_decontamination": OP3_SQL, "op7_line_dedup": OP7_SQL, "op9_licenses": OP9_SQL,
