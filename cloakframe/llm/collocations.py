@@ -7,11 +7,11 @@
    a thousand copies is looked at once from here on.
 2. Words and phrases are counted inside the different chunks, weighted.  A phrase belongs
    to the chunk in which it ends behind the overlap, so each occurrence counts once.
-3. Two passes keep rare phrases out of the shuffle.  The first counts 64-bit hashes of pairs of words; a pair
-   can be frequent only if its hash is.  The frequent hashes make a Bloom filter of a stated
-   largest size, and the second pass counts, as text, words, pairs and triples whose pairs
-   may be frequent.  The filter saves work and decides nothing: what passes it by
-   chance has its exact count.
+3. Rare phrases are kept out of the shuffle level by level: first 64-bit hashes of words and pairs are counted, then
+   those of triples whose pairs are frequent, in blocks of numbers.  A phrase can be
+   frequent only if its hash is.  Frequent hashes make Bloom filters of a stated largest size, and a last pass
+   counts, as text, the phrases that may be frequent.  Filters save work and decide
+   nothing: what passes by chance has its exact count.
 4. Counts of the parts are joined to the candidates, hot parts spread over several tasks.
 """
 
@@ -22,12 +22,13 @@ from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cloakframe.llm.tables import kept_in_process, stored
-from cloakframe.operators.spread import spread_join
+from cloakframe.operators.spread import heavy_join
 
 LEAST = 10
 KEEP_PERCENT = 50
@@ -39,9 +40,11 @@ _OVERLAP = _LONGEST - 1
 TRIGGER = 16
 #: Bits of the filter of frequent pairs: 16 for each of them, at least and at most so many.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
-#: Different chunks or phrases, and pairs of words, that a task counts before it passes them on.
+#: Different chunks or phrases, and hashes, that a task counts before it passes them on.
 _COUNTED = 300_000
-_PAIRS = 2_000_000
+_HASHED = 3_000_000
+#: Hashes, on average, that one task puts together from all others.
+_MERGED = 1_000_000
 _BREAK = b"\xff"  # never part of UTF-8
 _SIGNS = bytes(ord(_BREAK) if chr(c) in ".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -74,6 +77,7 @@ def _parse(trigger: int):
             "lang": pa.array([lang for lang, _, _ in met], pa.string()),
             "chunk": pa.array([chunk for _, chunk, _ in met], pa.binary()),
             "first": pa.array([first for _, _, first in met], pa.bool_()),
+            "size": pa.array([chunk.count(b" ") + 1 for _, chunk, _ in met], pa.int64()),
             "n": pa.array(list(met.values()), pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,42 +96,50 @@ def _parse(trigger: int):
 
 
 def dictionary(docs: DataFrame, trigger: int = TRIGGER) -> DataFrame:
-    """lang, chunk, first and n: the different chunks and how often each occurs."""
+    """lang, chunk, first, size (words and breaks) and n: the different chunks and how often each occurs."""
     texts = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"),
                         F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    parts = texts.mapInArrow(_parse(trigger), "lang string, chunk binary, first boolean, n long")
-    return stored(parts.groupBy("lang", "chunk", "first").agg(F.sum("n").alias("n")), "chunks")
+    parts = texts.mapInArrow(_parse(trigger), "lang string, chunk binary, first boolean, size long, n long")
+    return stored(parts.groupBy("lang", "chunk", "first", "size").agg(F.sum("n").alias("n")), "chunks")
 
 
 def _hash_of(word: bytes) -> int:
     return 0 if word == _BREAK else xxhash.xxh3_64_intdigest(word) | 1
 
 
-def _pair_hashes(words: np.ndarray, lang: int) -> np.ndarray:
-    """Hashes of neighbours; 0 where one of them is a break."""
-    left, right = words[:-1], words[1:]
+def _mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Odd hashes of the couples; 0 where one of them is 0."""
     with np.errstate(over="ignore"):
-        mixed = (left ^ np.uint64(lang)) * _MIX
-        mixed = ((mixed ^ (mixed >> np.uint64(31))) + right) * _MIX
-        mixed ^= mixed >> np.uint64(29)
-    return np.where((left != 0) & (right != 0), mixed | np.uint64(1), np.uint64(0))
+        out = left * _MIX
+        out = ((out ^ (out >> np.uint64(31))) + right) * _MIX
+        out ^= out >> np.uint64(29)
+    return np.where((left != 0) & (right != 0), out | np.uint64(1), np.uint64(0))
 
 
 class _Sequence:
-    """All chunks of one language in a batch, one behind the other, with breaks between them."""
+    """All chunks of one language in a batch, one behind the other, with breaks between them.
+
+    ``words``, ``pairs`` and ``triples`` hold the hashes of the phrases that end at a place, 0 if there is none;
+    ``weight`` how often they count.
+    """
 
     def __init__(self, lang: str, chunks: list[bytes], first: np.ndarray, n: np.ndarray, known: dict):
         self.tokens = b" \xff ".join(chunks).split()
-        words = np.fromiter(map(known.__getitem__, self.tokens), np.uint64, len(self.tokens))
-        #: pairs[i] is the hash of the words i - 1 and i, or 0
-        self.pairs = np.concatenate((np.zeros(1, np.uint64), _pair_hashes(words, xxhash.xxh3_64_intdigest(lang))))
+        own = np.fromiter(map(known.__getitem__, self.tokens), np.uint64, len(self.tokens))
+        self.words = _mixed(own, np.full(len(own), xxhash.xxh3_64_intdigest(lang) | 1, np.uint64))
+        self.pairs = np.zeros_like(own)
+        self.pairs[1:] = _mixed(self.words[:-1], own[1:])
         sizes = np.array([c.count(b" ") + 2 for c in chunks])
         sizes[-1] -= 1
         begins = np.cumsum(sizes) - sizes
-        #: how often the phrases that end here count
         self.weight = np.repeat(n, sizes)
-        place = np.arange(len(words)) - np.repeat(begins, sizes)
-        self.weight[(place < np.repeat(np.where(first, 0, _OVERLAP), sizes)) | (words == 0)] = 0
+        place = np.arange(len(own)) - np.repeat(begins, sizes)
+        self.weight[(place < np.repeat(np.where(first, 0, _OVERLAP), sizes)) | (own == 0)] = 0
+
+    def triples(self) -> np.ndarray:
+        out = np.zeros_like(self.pairs)
+        out[1:] = _mixed(self.pairs[:-1], self.pairs[1:])
+        return out
 
 
 def _sequences(batch: pa.RecordBatch, known: dict) -> Iterator[tuple[str, _Sequence]]:
@@ -139,29 +151,67 @@ def _sequences(batch: pa.RecordBatch, known: dict) -> Iterator[tuple[str, _Seque
         yield lang, _Sequence(lang, texts[own].tolist(), first[own], n[own], known)
 
 
-def _summed(hashes: list[np.ndarray], weights: list[np.ndarray]) -> pa.RecordBatch:
+def _summed(hashes: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different hashes, ascending, with their sums; none of them is 0."""
     every, weight = np.concatenate(hashes), np.concatenate(weights)
-    order = np.argsort(every, kind="stable")
+    order = np.argsort(every)
     every, weight = every[order], weight[order]
-    begins = np.flatnonzero(np.diff(every, prepend=np.uint64(0)))  # no hash is 0
-    return pa.RecordBatch.from_pydict({
-        "hash": pa.array(every[begins].view(np.int64), pa.int64()),
-        "n": pa.array(np.add.reduceat(weight, begins) if len(begins) else weight, pa.int64())})
-
-
-def _hashed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = kept_in_process("word hashes", None, lambda: _hash_of)
-    hashes, weights, held = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
-    for batch in batches:
-        for _, own in _sequences(batch, known):
-            counts = (own.weight > 0) & (own.pairs != 0)
-            hashes.append(own.pairs[counts])
-            weights.append(own.weight[counts])
-            held += len(hashes[-1])
-        if held >= _PAIRS:
-            yield _summed(hashes, weights)
-            hashes, weights, held = hashes[:1], weights[:1], 0
-    yield _summed(hashes, weights)
+    begins = np.flatnonzero(np.diff(every, prepend=np.uint64(0)))
+    return every[begins], np.add.reduceat(weight, begins) if len(begins) else weight
+
+
+def _hashes(bits: int, lower: np.ndarray | None):
+    """Blocks of counted hashes by their first ``bits``: words and pairs, or with ``lower``, the filter
+    of frequent pairs, triples of frequent pairs."""
+    def block(hashes: list[np.ndarray], weights: list[np.ndarray]) -> pa.RecordBatch:
+        every, weight = _summed(hashes, weights)
+        bucket = (every >> np.uint64(64 - bits)).astype(np.int64)
+        begins = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = np.append(begins[1:], len(bucket))
+        return pa.RecordBatch.from_pydict({
+            "bucket": pa.array(bucket[begins], pa.int64()),
+            "hashes": pa.array([every[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary()),
+            "counts": pa.array([weight[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = kept_in_process("word hashes", None, lambda: _hash_of)
+        hashes, weights, held = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+        for batch in batches:
+            for _, own in _sequences(batch, known):
+                if lower is None:
+                    levels = [own.words, own.pairs]
+                else:
+                    often = _may_be_frequent(own.pairs, lower)
+                    levels = [np.where(often & np.roll(often, 1), own.triples(), np.uint64(0))]
+                for level in levels:
+                    counts = (own.weight > 0) & (level != 0)
+                    hashes.append(level[counts])
+                    weights.append(own.weight[counts])
+                    held += len(hashes[-1])
+            if held >= _HASHED:
+                yield block(hashes, weights)
+                hashes, weights, held = hashes[:1], weights[:1], 0
+        yield block(hashes, weights)
+
+    return run
+
+
+def _frequent(least: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        every, total = _summed([np.frombuffer(x, np.uint64) for x in group["hashes"]],
+                               [np.frombuffer(x, np.int64) for x in group["counts"]])
+        return pd.DataFrame({"hash": every[total >= least].view(np.int64)})
+
+    return run
+
+
+def frequent_filter(chunked: DataFrame, least: int, most_bits: int, lower: np.ndarray | None = None) -> np.ndarray:
+    """The Bloom filter of words and pairs, or of triples of frequent pairs, that occur ``least`` times."""
+    words = chunked.agg(F.sum("size")).first()[0] or 0
+    bits = max(4, (words // _MERGED).bit_length())
+    blocks = chunked.mapInArrow(_hashes(bits, lower), "bucket long, hashes binary, counts binary")
+    found = stored(blocks.groupBy("bucket").applyInPandas(_frequent(least), "hash long"), "frequent-hashes")
+    return bloom_filter(found, most_bits=most_bits)
 
 
 def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +263,8 @@ def _add(met: Counter, phrases: list[bytes], weights: list[int]) -> None:
             met[phrase] += n
 
 
-def _phrases(filter_bits: np.ndarray):
+def _phrases(short: np.ndarray, long: np.ndarray):
+    """Counts of the phrases that pass the filters, and of all words together, as the empty phrase."""
     def rows(met: dict[str, Counter]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({
             "lang": pa.array([lang for lang, own in met.items() for _ in own], pa.string()),
@@ -225,14 +276,15 @@ def _phrases(filter_bits: np.ndarray):
         met: dict[str, Counter] = {}
         for batch in batches:
             for lang, own in _sequences(batch, known):
-                tokens, counter = own.tokens, met.setdefault(lang, Counter())
-                _add(counter, tokens, own.weight.tolist())
-                pairs = _may_be_frequent(own.pairs, filter_bits)
-                ends = np.flatnonzero(pairs & (own.weight > 0))
-                _add(counter, [b"%b %b" % (tokens[i - 1], tokens[i]) for i in ends.tolist()], own.weight[ends].tolist())
-                ends = ends[pairs[ends - 1]]
-                _add(counter, [b"%b %b %b" % (tokens[i - 2], tokens[i - 1], tokens[i]) for i in ends.tolist()],
-                     own.weight[ends].tolist())
+                tokens, weight, counter = own.tokens, own.weight, met.setdefault(lang, Counter())
+                counter[b""] += int(weight.sum())
+                at = np.flatnonzero(_may_be_frequent(own.words, short) & (weight > 0))
+                _add(counter, [tokens[i] for i in at.tolist()], weight[at].tolist())
+                at = np.flatnonzero(_may_be_frequent(own.pairs, short) & (weight > 0))
+                _add(counter, [b"%b %b" % (tokens[i - 1], tokens[i]) for i in at.tolist()], weight[at].tolist())
+                at = np.flatnonzero(_may_be_frequent(own.triples(), long) & (weight > 0))
+                _add(counter, [b"%b %b %b" % (tokens[i - 2], tokens[i - 1], tokens[i]) for i in at.tolist()],
+                     weight[at].tolist())
             if sum(map(len, met.values())) >= _COUNTED:
                 yield rows(met)
                 met = {}
@@ -243,16 +295,17 @@ def _phrases(filter_bits: np.ndarray):
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, trigger: int = TRIGGER,
                   most_bits: int = MOST_BITS) -> DataFrame:
-    """lang, phrase and n: all words, and all phrases of two or three words that occur ``least`` times.
+    """lang, phrase and n: all phrases of one to three words that occur ``least`` times.
 
-    Exact counts within pieces, overlapping occurrences included.
+    Exact counts within pieces, overlapping occurrences included.  The empty phrase counts all words
+    of a language.
     """
     chunked = dictionary(docs, trigger)
-    hashed = chunked.mapInArrow(_hashed_pairs, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    frequent = stored(hashed.filter(F.col("n") >= least).select("hash"), "frequent-pairs")
-    counted = chunked.mapInArrow(_phrases(bloom_filter(frequent, most_bits=most_bits)),
-                                 "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return stored(counted.filter((F.col("n") >= least) | ~F.contains("phrase", F.lit(" "))), "phrases")
+    short = frequent_filter(chunked, least, most_bits)
+    long = frequent_filter(chunked, least, most_bits, short)
+    counted = chunked.mapInArrow(_phrases(short, long), "lang string, phrase string, n long").groupBy(
+        "lang", "phrase").agg(F.sum("n").alias("n"))
+    return stored(counted.filter((F.col("n") >= least) | (F.col("phrase") == "")), "phrases")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, keep_percent: int = KEEP_PERCENT, top: int = TOP,
@@ -267,11 +320,10 @@ def collocations(docs: DataFrame, least: int = LEAST, keep_percent: int = KEEP_P
     ignored; an empty table gives no rows.  Scores need a * a * 1000000 below 10**38.
     """
     counts = phrase_counts(docs, least, trigger, most_bits)
-    single = ~F.contains("phrase", F.lit(" "))
     three = F.expr("length(phrase) - length(replace(phrase, ' ', '')) = 2")
-    totals = counts.filter(single).groupBy("lang").agg(F.sum("n").alias("total"))
-    often = counts.filter(F.col("n") >= least)  # parts of a candidate are as frequent as itself
-    found = often.filter(~single).withColumnRenamed("n", "a")
+    totals = counts.filter("phrase = ''").select("lang", F.col("n").alias("total"))
+    often = counts.filter("phrase != ''")  # parts of a candidate are as frequent as itself
+    found = often.filter(F.contains("phrase", F.lit(" "))).withColumnRenamed("n", "a")
 
     def part(count: int) -> Column:
         """That many of the first or (negative) last words."""
@@ -281,8 +333,8 @@ def collocations(docs: DataFrame, least: int = LEAST, keep_percent: int = KEEP_P
                         F.when(three, part(-2)).otherwise(part(-1)).alias("right")).union(
         found.filter(three).select("lang", "phrase", "a", F.lit(2), part(2), part(-1)))
     for side, name in (("left", "l"), ("right", "r")):
-        cuts = spread_join(cuts, often.select("lang", F.col("phrase").alias(side), F.col("n").alias(name)),
-                           ["lang", side], "inner")
+        cuts = heavy_join(stored(cuts, "cuts"), often.select("lang", F.col("phrase").alias(side), F.col("n").alias(name)),
+                          ["lang", side], "inner")
     whole = {c: f"cast({c} as decimal(38,0))" for c in ("a", "l", "r")}
     scored = cuts.withColumn("score", F.expr(f"({whole['a']} * {whole['a']} * 1000000) div ({whole['l']} * {whole['r']})"))
     weakest = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "cut", "a", "l", "r")).alias("w")).select(

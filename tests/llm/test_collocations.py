@@ -22,6 +22,13 @@ def count(rows):
     return out
 
 
+def totals(counted):
+    out = Counter()
+    for (lang, p), n in counted.items():
+        out[lang, ""] += n * (len(p) == 1)
+    return dict(out)
+
+
 def brute(rows, least=10, keep=50, top=2000):
     f = count(rows)
     out = []
@@ -71,7 +78,7 @@ def test_random_texts(spark, monkeypatch, seed, trigger, bits):
     docs = spark.createDataFrame([(1, lang, text, "x", 0, 1) for lang, text in rows],
                                  "doc_id long, lang string, text string, phrase string, n long, rank int")
     counts = phrase_counts(docs, 10, trigger, bits)
-    wanted = {(lang, " ".join(p)): n for (lang, p), n in count(rows).items() if n >= 10 or len(p) == 1}
+    wanted = {(lang, " ".join(p)): n for (lang, p), n in count(rows).items() if n >= 10} | totals(count(rows))
     assert {(r.lang, r.phrase): r.n for r in counts.collect()} == wanted
     for least, keep, top in ((10, 50, 2000), (3, 90, 7)):
         got = collocations(docs, least, keep, top, trigger, bits).collect()
@@ -88,10 +95,31 @@ def test_small_counters_are_passed_on(spark, monkeypatch):
     parsed = list(c._parse(4)(iter(batches)))
     assert len(parsed) > 20
     total = Counter()
-    for batch in c._phrases(_all_bits())(iter(parsed)):
+    for batch in c._phrases(_all_bits(), _all_bits())(iter(parsed)):
         for r in batch.to_pylist():
-            total[r["lang"], tuple(r["phrase"].split(" "))] += r["n"]
-    assert total == count(rows)
+            total[r["lang"], tuple(r["phrase"].split(" ")) if r["phrase"] else ()] += r["n"]
+    wanted = count(rows)
+    assert total == wanted | {(lang, ()): n for (lang, _), n in totals(wanted).items()} | {(x, ()): 0 for x, _ in rows if (x, '') not in totals(wanted)}
+
+
+def test_filters_hold_every_frequent_phrase(monkeypatch):
+    """Blocks of hashes put together again give exact counts (run in this process)."""
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    monkeypatch.setattr(c, "_HASHED", 50)
+    rows = [(lang or "und", text) for lang, text in texts(11, 60)]
+    parsed = list(c._parse(4)(iter([pa.RecordBatch.from_pydict({"lang": [x for x, _ in rows], "text": [t for _, t in rows]})])))
+    batches = [parsed[0].slice(i, 7) for i in range(0, parsed[0].num_rows, 7)]
+    wanted = count(rows)
+    for lower, lengths in ((None, (1, 2)), (_all_bits(), (3,))):
+        blocks = pd.concat([b.to_pandas() for b in c._hashes(3, lower)(iter(batches))])
+        assert set(blocks["bucket"]) <= set(range(8))
+        for least in (1, 10):
+            found = pd.concat([c._frequent(least)(g) for _, g in blocks.groupby("bucket")])
+            hashes = found["hash"].to_numpy().view(np.uint64)
+            assert len(hashes) == len(set(hashes.tolist())) == sum(n >= least for (_, p), n in wanted.items() if len(p) in lengths)
 
 
 def _all_bits():
