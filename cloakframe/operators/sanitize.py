@@ -67,18 +67,21 @@ def sanitized(column: str, types: Iterable[str] | None = None, key: str = "",
     return F.expr(f"if({may_occur_sql(name(column), patterns)}, {result}, {name(column)})")
 
 
-def sanitized_with_notes(column: str, types: Iterable[str] | None = None,
-                         key: str = "") -> Column:
-    """For single lines: struct of the new text and the replacements in order."""
-    patterns = choose(SECRETS, types)
-    clean = (
-        f"named_struct('text', {name(column)}, 'replacements', cast(array() as "
-        "array<struct<type:string,original_length:int,placeholder:string>>))"
-    )
+_NOTES = "array<struct<type:string,original_length:int,placeholder:string>>"
+
+
+def _noted_sql(source: str, patterns: list[Pattern], key: str) -> str:
+    clean = f"named_struct('text', {source}, 'replacements', cast(array() as {_NOTES}))"
     result = clean
     for i, p in enumerate(patterns):
         result = let(result, f"s{i}", _replace_noted(f"s{i}", p, key))
-    return F.expr(f"if({may_occur_sql(name(column), patterns)}, {result}, {clean})")
+    return f"if({may_occur_sql(source, patterns)}, {result}, {clean})"
+
+
+def sanitized_with_notes(column: str, types: Iterable[str] | None = None,
+                         key: str = "") -> Column:
+    """For single lines: struct of the new text and the replacements in order."""
+    return F.expr(_noted_sql(name(column), choose(SECRETS, types), key))
 
 
 def sanitize(df: DataFrame, column: str, types: Iterable[str] | None = None, key: str = "",
@@ -159,3 +162,33 @@ def sanitize_stats(df: DataFrame, body: str, types: Iterable[str] | None = None)
         "total_lines", "lines_modified", "total_replacements",
         f"map_filter(map({by_type}), (k, n) -> n > 0) as type_counts",
     )
+
+
+def sanitize_pieces(df: DataFrame, body: str, types: Iterable[str] | None = None, key: str = "") -> DataFrame:
+    """``df`` sanitized, with total_lines, lines_modified and ``kinds``, the type of each replacement.
+
+    One pass for texts and counts; lines are looked at singly only in texts that may hold a secret.
+    """
+    patterns, source = choose(SECRETS, types), name(body)
+    noted = f"transform(split({source}, '\n', -1), line -> {_noted_sql('line', patterns, key)})"
+    notes = df.select("*", F.explode(F.array(F.expr(
+        f"if({may_occur_sql(source, patterns)}, {noted}, null)"))).alias("_notes"))
+    return notes.withColumns({
+        "total_lines": F.expr(f"cast(length({source}) - length(replace({source}, '\n')) + 1 as bigint)"),
+        "lines_modified": F.expr("cast(coalesce(size(filter(_notes, n -> size(n.replacements) > 0)), 0) as bigint)"),
+        "kinds": F.expr("coalesce(flatten(transform(_notes, n -> n.replacements.type)), cast(array() as array<string>))"),
+        body: F.expr(f"if(_notes is null, {source}, array_join(transform(_notes, n -> n.text), '\n'))"),
+    }).drop("_notes")
+
+
+def pieces_stats(pieces: DataFrame, types: Iterable[str] | None = None) -> DataFrame:
+    """The row of :func:`sanitize_stats` from what :func:`sanitize_pieces` counted."""
+    names = [p.name for p in choose(SECRETS, types)]
+    sums = pieces.agg(
+        F.coalesce(F.sum("total_lines"), F.lit(0).cast("bigint")).alias("total_lines"),
+        F.coalesce(F.sum("lines_modified"), F.lit(0).cast("bigint")).alias("lines_modified"),
+        F.coalesce(F.sum(F.size("kinds")), F.lit(0).cast("bigint")).alias("total_replacements"),
+        *[F.expr(f"coalesce(sum(size(filter(kinds, k -> k = {text(n)}))), 0L)").alias(n) for n in names])
+    by_type = F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])
+    return sums.select("total_lines", "lines_modified", "total_replacements",
+                       F.map_filter(by_type, lambda _, n: n > 0).alias("type_counts"))

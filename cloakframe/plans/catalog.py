@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cloakframe.functions import fixed_values as fixed, formatting, masks, strength, validators
 from cloakframe.functions.digests import digest
@@ -16,7 +16,7 @@ from cloakframe.operators import (
     redact as red, sanitize as san,
 )
 from cloakframe.plans import inputs, jobs, oracle
-from cloakframe.sources import files, tables
+from cloakframe.sources import files, ranges, tables
 from cloakframe.sources.scratch import scratch_folder
 from cloakframe.streaming import streams
 
@@ -686,12 +686,23 @@ def issue_pins(spark, sf):
 # --- files -------------------------------------------------------------------
 
 
-def _text_files(spark: SparkSession, sf: str) -> str:
+#: Small byte ranges, so that files of the test tables are cut too.
+_CUT = 1 << 16
+
+
+def _source_files(spark: SparkSession, sf: str) -> str:
+    """A tree with one text file per source: its documents in order of their ids."""
     path = scratch_folder(spark, "texts")
-    table(spark, sf, "pages").select("html").write.text(path)
+    docs = table(spark, sf, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "text").write.option(
+        "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").partitionBy("source").text(path)
     return path
 
 
+def _source(file: str) -> Column:
+    return F.regexp_extract(file, "source=([^/]+)/", 1).alias("source")
+
+
 @query
 def file_inventory(spark, sf):
     found = files.file_inventory(spark, sf, extensions=[".parquet"])
@@ -711,29 +722,37 @@ def file_manifest(spark, sf):
 
 @query
 def read_text_lines(spark, sf):
-    lines = files.read_text_lines(spark, _text_files(spark, sf), extensions=[".txt"])
-    return lines.filter("line <> ''").groupBy("line").agg(F.count("*").alias("n"))
+    lines = ranges.read_text_lines(spark, _source_files(spark, sf), True, [".txt"], range_bytes=_CUT, piece_bytes=1 << 12)
+    return lines.select(_source("file"), "line_no", "line")
 
 
 @query
 def scan_files(spark, sf):
-    found = jobs.scan_files(spark, _text_files(spark, sf))
-    return found.groupBy("type", "value").agg(F.count("*").alias("n"))
+    found = jobs.scan_files(spark, _source_files(spark, sf), True, range_bytes=_CUT)
+    return found.select(_source("file"), "type", "description", "value", "line", "column", "context")
 
 
 @query
 def scan_files_summary(spark, sf):
-    summary = jobs.scan_files_summary(spark, _text_files(spark, sf))
+    summary = jobs.scan_files_summary(spark, _source_files(spark, sf), True, range_bytes=_CUT)
     return summary.select(
-        (F.col("files_found") >= F.col("files_scanned")).alias("all_scanned"), "total_findings"
-    )
+        (F.col("files_found") >= F.col("files_scanned")).alias("all_scanned"), "files_scanned", "files_with_pii",
+        "total_findings")
 
 
 @query
 def sanitize_files(spark, sf):
     out = scratch_folder(spark, "clean")
-    stats = jobs.sanitize_files(spark, _text_files(spark, sf), out, types="all")
-    return _flat_stats(stats).drop("total_lines")
+    stats = jobs.sanitize_files(spark, _source_files(spark, sf), out, True, types="all", range_bytes=_CUT)
+    return _flat_stats(stats)
+
+
+@query
+def sanitized_files(spark, sf):
+    out = scratch_folder(spark, "clean")
+    jobs.sanitize_files(spark, _source_files(spark, sf), out, True, types="all", range_bytes=_CUT)
+    lines = detect.explode_lines(spark.read.parquet(out), "text")
+    return lines.select(_source("file"), (F.col("first_line") + F.col("line_no") - 1).alias("line_no"), "line")
 
 
 @query
@@ -754,6 +773,14 @@ def csv_round_trip(spark, sf):
     return tables.read_csv_strings(spark, path)
 
 
+@query
+def csv_texts(spark, sf):
+    """Whole documents as values, with their line ends, read in byte ranges."""
+    path = scratch_folder(spark, "csv")
+    tables.write_csv(table(spark, sf, "documents").select("doc_id", "lang", "text"), path)
+    return tables.read_csv_strings(spark, path, range_bytes=_CUT)
+
+
 @query
 def anonymize_csv(spark, sf):
     source, out = scratch_folder(spark, "csv"), scratch_folder(spark, "csv")

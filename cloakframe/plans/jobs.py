@@ -8,45 +8,72 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cloakframe.functions import fixed_values as fixed
 from cloakframe.operators.anonymize import anonymize, infer_column_plan
-from cloakframe.operators.detect import scan_summary, scan_text
+from cloakframe.operators.detect import hit_counts, scan_text
 from cloakframe.operators.properties import os_properties
-from cloakframe.operators.sanitize import sanitize_changed, sanitize_stats
-from cloakframe.sources import files, tables
+from cloakframe.operators.sanitize import pieces_stats, sanitize_changed, sanitize_pieces, sanitize_stats
+from cloakframe.sources import files, ranges, tables
 from cloakframe.sources.scratch import materialized
 
 
 def scan_files(spark: SparkSession, path: str | Sequence[str], recursive: bool = False,
-               types: Iterable[str] | None = None) -> DataFrame:
-    """Findings in all files of scannable types: file and the finding columns."""
-    texts = files.read_texts(spark, path, recursive, fixed.SCANNABLE_EXTENSIONS)
-    return scan_text(texts, "text", types, keep=["file"])
+               types: Iterable[str] | None = None, range_bytes: int = ranges.RANGE) -> DataFrame:
+    """Findings in all files of scannable types: file and the finding columns.
+
+    Large files are read in byte ranges by many tasks; lines are those of the whole file.
+    """
+    pieces = ranges.read_text_pieces(spark, path, recursive, fixed.SCANNABLE_EXTENSIONS, range_bytes=range_bytes)
+    found = scan_text(pieces, "text", types, keep=["file", "first_line"])
+    return found.withColumn("line", (F.col("first_line") + F.col("line") - 1).cast("bigint")).drop("first_line")
 
 
 def scan_files_summary(spark: SparkSession, path: str | Sequence[str], recursive: bool = False,
-                       types: Iterable[str] | None = None) -> DataFrame:
+                       types: Iterable[str] | None = None, range_bytes: int = ranges.RANGE) -> DataFrame:
     """One row: files found, files scanned, files with hits, findings, and per type."""
-    texts = files.read_texts(spark, path, recursive, fixed.SCANNABLE_EXTENSIONS)
+    pieces = ranges.read_text_pieces(spark, path, recursive, fixed.SCANNABLE_EXTENSIONS, range_bytes=range_bytes)
     found = files.file_inventory(spark, path, recursive).count()
-    return scan_summary(texts, "text", types).select(
-        F.lit(found).alias("files_found"),
-        F.col("rows_scanned").alias("files_scanned"),
-        F.col("rows_with_hits").alias("files_with_pii"),
-        "total_findings", "types_found",
-    )
+    counts = hit_counts(pieces, "text", types, keep=["file"])
+    kinds = [c for c in counts.columns if c != "file"]
+    total = sum((F.col(c) for c in kinds), F.lit(0).cast("bigint"))
+    in_files = counts.groupBy("file").agg(*[F.sum(c).alias(c) for c in kinds])
+    sums = in_files.select("*", total.alias("n")).agg(
+        F.count("*").alias("files_scanned"), F.count_if(F.col("n") > 0).alias("files_with_pii"),
+        F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("total_findings"),
+        *[F.sum(c).alias(c) for c in kinds])
+    by_type = F.create_map(*[x for c in kinds for x in (F.lit(c.upper()), F.col(c))])
+    return sums.select(
+        F.lit(found).alias("files_found"), "files_scanned", "files_with_pii", "total_findings",
+        F.map_filter(by_type, lambda _, n: n > 0).alias("types_found"))
 
 
 def sanitize_files(spark: SparkSession, path: str | Sequence[str], out: str | None = None,
                    recursive: bool = False, types: Iterable[str] | None = None,
-                   key: str = "", mode: str = "line") -> DataFrame:
+                   key: str = "", mode: str = "line", range_bytes: int = ranges.RANGE) -> DataFrame:
     """Sanitize log files; the stats row is returned.
 
-    With ``out``, changed files are written as rows (file, text, output_name).
+    With ``out``, the changed files are written as rows (file, first_line, text, output_name): pieces of
+    whole lines, a small file in one piece.  Texts are read and sanitized once, for both; all sanitized
+    pieces stay in ``out/_pieces``, which readers of ``out`` skip, and may be deleted.
+    With ``mode='document'``, for private keys over several lines, every file is one piece (below 2 GiB).
     """
-    texts = files.read_texts(spark, path, recursive, fixed.LOG_EXTENSIONS, allow_no_suffix=True)
-    if out:
-        changed = sanitize_changed(texts, "text", types, key, mode)
-        changed.withColumn("output_name", output_name(F.col("file"), "_sanitized")).write.parquet(out)
-    return sanitize_stats(texts, "text", types)
+    log = dict(extensions=fixed.LOG_EXTENSIONS, allow_no_suffix=True)
+    if mode == "document":
+        texts = files.read_texts(spark, path, recursive, **log).withColumn("first_line", F.lit(1).cast("bigint"))
+        if out:
+            _named(sanitize_changed(texts, "text", types, key, mode)).write.parquet(out)
+        return sanitize_stats(texts, "text", types)
+    pieces = ranges.read_text_pieces(spark, path, recursive, **log, range_bytes=range_bytes)
+    if not out:
+        return sanitize_stats(pieces, "text", types)
+    done = sanitize_pieces(pieces, "text", types, key)
+    done.write.parquet(f"{out}/_pieces")
+    done = spark.read.schema(done.schema).parquet(f"{out}/_pieces")
+    changed = done.filter("lines_modified > 0").select("file").distinct()
+    _named(done.join(changed, "file", "left_semi")).write.mode("append").parquet(out)
+    return pieces_stats(done, types)
+
+
+def _named(pieces: DataFrame) -> DataFrame:
+    return pieces.select("file", "first_line", "text", output_name(F.col("file"), "_sanitized").alias("output_name"))
 
 
 def output_name(path: Column, suffix: str) -> Column:

@@ -563,25 +563,27 @@ def oracles() -> dict[str, str]:
                        "digit, true AS symbol FROM customer",
         "issue_passphrases": "SELECT c_custkey, 4 AS n_words FROM customer",
         "issue_pins": "SELECT c_custkey, true AS ok FROM customer",
-        "read_text_lines": "SELECT line, count(*)::BIGINT AS n FROM "
-                           f"({lines('SELECT page_id, html FROM pages', 'page_id', 'html')}) "
-                           "WHERE line <> '' GROUP BY line",
+        "csv_texts": "SELECT doc_id::VARCHAR AS doc_id, lang, text FROM documents",
         "csv_round_trip": f"SELECT c_custkey::VARCHAR AS c_custkey, c_name, contact, line "
                           f"FROM ({inputs.PEOPLE})",
         "anonymize_csv": f"SELECT c_custkey::VARCHAR AS c_custkey, {fake('name', 'c_name')} AS "
                          f"c_name, {fake('email', 'contact')} AS contact, "
                          f"{fake('ip_address', 'host')} AS host FROM ({inputs.PEOPLE})",
     }
-    page_lines = lines("SELECT page_id, html FROM pages", "page_id", "html")
-    page_findings = findings(page_lines, "page_id")
-    found["scan_files"] = (
-        f"SELECT type, value, count(*)::BIGINT AS n FROM ({page_findings}) GROUP BY type, value"
-    )
+    source_lines = lines(
+        "SELECT source, string_agg(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), chr(10) "
+        "ORDER BY doc_id) || chr(10) AS text FROM documents GROUP BY source", "source")
+    source_findings = findings(source_lines, "source")
+    found["read_text_lines"] = f"SELECT source, line_no::BIGINT AS line_no, line FROM ({source_lines})"
+    found["scan_files"] = f"SELECT * REPLACE (line::BIGINT AS line) FROM ({source_findings})"
     found["scan_files_summary"] = (
-        f"SELECT true AS all_scanned, count(*)::BIGINT AS total_findings FROM ({page_findings})"
+        "SELECT true AS all_scanned, (SELECT count(DISTINCT source) FROM documents)::BIGINT AS files_scanned, "
+        f"count(DISTINCT source)::BIGINT AS files_with_pii, count(*)::BIGINT AS total_findings FROM ({source_findings})"
     )
-    found["sanitize_files"] = (
-        f"SELECT * EXCLUDE (total_lines) FROM ({stats_of(page_lines, ALL)})"
+    found["sanitize_files"] = stats_of(source_lines, ALL)
+    found["sanitized_files"] = (
+        f"SELECT source, line_no::BIGINT AS line_no, line FROM (SELECT source, line_no, t AS line, bool_or(len(r) > 0) "
+        f"OVER (PARTITION BY source) AS changed FROM ({sanitized(source_lines, ALL)})) WHERE changed"
     )
     found["findings_json"] = found["scan_masked"]
     for kind in ("CREDIT_CARD", "EMAIL", "PHONE", "IP_ADDRESS"):

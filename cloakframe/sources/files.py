@@ -12,13 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cloakframe.functions.formatting import extension
-from cloakframe.operators.detect import explode_lines
 from cloakframe.sources.scratch import materialized
 
 _BLOCK = 1 << 20
 
 
-def _file_system_of() -> Callable[[str], tuple]:
+def file_system_of() -> Callable[[str], tuple]:
     """Function from a location to its file system and path there.
 
     Made anew, so that it is shipped by value: workers need not have this package.
@@ -47,7 +46,7 @@ def has_extension(path: Column, extensions: Iterable[str], allow_no_suffix: bool
 
 def _listed(places: DataFrame) -> DataFrame:
     """Files among the places and entries of the directories among them."""
-    resolve = _file_system_of()
+    resolve = file_system_of()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -117,7 +116,7 @@ def read_texts(spark: SparkSession, path: str | Sequence[str], recursive: bool =
     The files are those of :func:`file_inventory`: empty ones and names that begin with
     . or _ too.  Executors read them, spread by path.
     """
-    resolve = _file_system_of()
+    resolve = file_system_of()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,12 +134,6 @@ def read_texts(spark: SparkSession, path: str | Sequence[str], recursive: bool =
     return files.select(F.col("path").alias("file"), decoded(F.col("content")).alias("text"))
 
 
-def read_text_lines(spark: SparkSession, path: str | Sequence[str], recursive: bool = False,
-                    extensions: Iterable[str] | None = None) -> DataFrame:
-    """file, line_no and line."""
-    return explode_lines(read_texts(spark, path, recursive, extensions), "text", ["file"])
-
-
 def read_log_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """file and line of UTF-8 logs of any size, split within files; no line numbers."""
     lines = spark.read.text(path if isinstance(path, str) else list(path))
@@ -154,7 +147,7 @@ def digest_files(paths: DataFrame, path: str = "path", algorithm: str = "sha256"
     contents into rows would be too much.  Paths are spread over the executors.
     """
 
-    resolve, block_size = _file_system_of(), _BLOCK
+    resolve, block_size = file_system_of(), _BLOCK
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -10,6 +10,8 @@ from cloakframe.operators.detect import without_raw_values, with_masks
 from cloakframe.operators.properties import with_risk
 from cloakframe.operators.sanitize import sanitize_changed
 from cloakframe.operators.spread import spread_join
+from cloakframe.sources.files import file_inventory
+from cloakframe.sources.ranges import RANGE, read_csv_ranges
 
 _PROPERTIES_PER_LINE = 4096
 
@@ -30,10 +32,19 @@ def read_table(spark: SparkSession, folder: str, name: str, spread: bool = False
 
 
 def read_csv_strings(spark: SparkSession, path: str, encoding: str = "UTF-8",
-                     na_values: Sequence[str] = ()) -> DataFrame:
-    """CSV with a header, every column as a string; ``na_values`` become null."""
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"',
-                        encoding=encoding)
+                     na_values: Sequence[str] = (), range_bytes: int = RANGE) -> DataFrame:
+    """CSV with a header, every column as a string; ``na_values`` become null.
+
+    Files of any size are read in byte ranges, as UTF-8 or else Latin-1 (see
+    :func:`~cloakframe.sources.ranges.read_csv_ranges`).  Compressed files, and other encodings
+    named, are read by Spark's own reader, a file a task.
+    """
+    packed = F.lower("path").rlike(r"\.(gz|bz2|zst|lz4|snappy|deflate)$")
+    if encoding.upper() == "UTF-8" and file_inventory(spark, path, True).filter(packed).isEmpty():
+        df = read_csv_ranges(spark, path, range_bytes)
+    else:
+        df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"',
+                            encoding=encoding)
     if na_values:
         df = df.withColumns({
             c: F.when(~F.col(c).isin(*na_values), F.col(c)) for c in df.columns
@@ -47,8 +58,8 @@ def column_names(df: DataFrame) -> list[str]:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV files with a header; quotes inside values are doubled."""
-    df.write.option("header", True).option("escape", '"').csv(path)
+    """CSV files with a header; quotes inside values are doubled, outer blanks stay."""
+    df.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_findings_json(findings: DataFrame, summary: DataFrame, path: str,

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cloakframe.functions import fixed_values as fixed
 from cloakframe.operators import detect
 from cloakframe.plans import jobs
-from cloakframe.sources import files, tables
+from cloakframe.sources import files, ranges, tables
 
 
 def _tree(root):
@@ -50,7 +50,7 @@ def test_texts_and_lines(spark, tmp_path):
     texts = {r.file.split("/")[-1]: r.text for r in files.read_texts(spark, str(tmp_path)).collect()}
     assert texts["latin.LOG"] == "mail é c@d.org"
     assert texts["crlf.csv"] == "x\n10.0.0.1\ny\n"
-    lines = files.read_text_lines(spark, str(tmp_path / "crlf.csv")).orderBy("line_no").collect()
+    lines = ranges.read_text_lines(spark, str(tmp_path / "crlf.csv")).orderBy("line_no").collect()
     assert [(r.line_no, r.line) for r in lines] == [(1, "x"), (2, "10.0.0.1"), (3, "y"), (4, "")]
     logs = files.read_log_lines(spark, str(tmp_path / "a.txt")).collect()
     assert [r.line for r in logs] == ["mail é a@b.co", "ip 1.2.3.4"]
