@@ -30,7 +30,7 @@ _REPEAT = 0  # the bucket of "the same word again"
 
 def units(word: str, buckets: int = BUCKETS) -> list[int]:
     """Buckets of a word and its n-grams of three and four characters, ends marked."""
-    marked = f"<{word[:60]}>"
+    marked = f"<{word}>"
     grams = [marked]
     for n in (3, 4):
         grams += [marked[i:i + n] for i in range(len(marked) - n + 1)]
@@ -81,7 +81,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 6, rate:
             back = soft @ p
             soft -= now * mean[:, None] * p
             offset -= 0.1 * now * p
-            vectors[buckets] -= (now * 20) * share * back
+            vectors[buckets] -= (now * 20) * np.minimum(share, 0.05) * back  # few units must not overshoot
     return (vectors @ (soft[:, 1] - soft[:, 0])).astype(np.float64), float(offset[1] - offset[0])
 
 

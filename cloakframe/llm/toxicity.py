@@ -2,12 +2,14 @@
 
 1. Voters say "toxic", "clean" or nothing about a document: themes of a lexicon, patterns of
    shape and density, and word beginnings mined from labelled training documents.
-2. A generative label model estimates from the votes alone, by expectation maximization,
-   how often each voter speaks in either class, and from what the classes leave unexplained
-   how the voters hang together; evidence of voters that move together is shared
-   out among them.  Labels serve for mining, for its starting values, and as one voter of known reliability where they are known.
-3. The posterior labels of a bounded sample train a linear classifier on the hashed words
-   and word beginnings that tell the classes apart; it scores every document.
+2. A generative label model estimates from the votes alone how often each voter says what in
+   either class.  It begins with a majority over groups of voters that speak alike and goes on by expectation
+   maximization; what the classes leave unexplained gives the correlations of the voters, and
+   evidence of voters that move together is shared out among them.  Labels choose the voters and give
+   the share of toxic documents, which is held; no posterior sees the label of its document.
+3. The posteriors of a bounded sample train a linear classifier on the hashed words and word
+   beginnings that tell the classes apart.  Labels set its threshold, on scores from folds that a
+   document was not trained in; it scores every document.
 """
 
 from __future__ import annotations
@@ -32,8 +34,11 @@ MOST_TRAINED = 8000
 MOST_MINED = 150
 BUCKETS = 1 << 18
 _KEPT = 300_000
-#: Log odds of a label being right.
-_LABEL_ODDS = 4.0
+#: Votes of one group correlate by so much; smaller correlations within the classes count as chance.
+_ALIKE, _CHANCE = 0.8, 0.1
+_FOLDS = 5
+#: Labelled toxic documents from which on labels set the threshold.
+_LEAST_TOXIC = 10
 _WORD = regex.compile(r"[^\W\d_]+")
 
 LEXICON = {
@@ -56,7 +61,7 @@ _THEME = {word: i for i, words in enumerate(LEXICON.values()) for word in words.
 
 def beginnings(word: str) -> list[str]:
     """A word as a whole and its beginnings of three to eight characters."""
-    return ["=" + word[:40]] + ["^" + word[:n] for n in range(3, min(8, len(word)) + 1)]
+    return ["=" + word] + ["^" + word[:n] for n in range(3, min(8, len(word)) + 1)]
 
 
 def bucket(unit: str) -> int:
@@ -140,31 +145,53 @@ def vote(found: pd.DataFrame, mined: np.ndarray) -> np.ndarray:
         -((hits == 0) & (n_mined * 400 < n_words)).astype(int)]).astype(np.int8)
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, given: np.ndarray | float = 0.0,
-                rounds: int = 25) -> np.ndarray:
-    """P(toxic) of each row of ``votes``; ``start`` holds first guesses of it and
-    ``given`` evidence from outside, as log odds.
+def _correlations(values: np.ndarray) -> np.ndarray:
+    rest = values - values.mean(0)
+    scale = np.sqrt((rest**2).mean(0)) + 1e-9
+    found = (rest.T @ rest) / len(rest) / np.outer(scale, scale)
+    np.fill_diagonal(found, 0)
+    return found
 
-    Estimates how often each voter says what in either class; silence is no evidence.  The weights come from the
-    correlations that remain within the classes: a voter's evidence is divided by one plus
-    the sum of its positive correlations with all others.
+
+def group_shares(votes: np.ndarray) -> np.ndarray:
+    """For each voter one over the size of its group: voters linked by votes that correlate."""
+    linked = _correlations(votes) >= _ALIKE
+    group = np.arange(len(linked))
+    while True:
+        least = np.minimum(group, np.where(linked, group, len(group)).min(1, initial=len(group)))
+        if (least == group).all():
+            return 1 / np.bincount(group, minlength=len(group))[group]
+        group = least
+
+
+def label_model(votes: np.ndarray, start: np.ndarray | None = None, share: float | None = None,
+                rounds: int = 40) -> np.ndarray:
+    """P(toxic) of each row of ``votes``, from these alone.
+
+    ``start`` holds first guesses, else a majority over groups of voters gives them.  ``share`` of
+    toxic rows is held, else it is that of the majority.  How often a voter says what, silence too, is
+    estimated in either class; its evidence is divided by one plus the sum of its
+    correlations with others within the classes.
     """
+    votes = votes.astype(np.float64)
+    weights = group_shares(votes)
+    score = votes @ weights
+    share = float(np.clip((score > 0).mean() if share is None else share, 0.005, 0.995))
+    if start is None:
+        cut = np.sort(score)[::-1][min(len(score) - 1, round(share * len(score)))]
+        start = score > cut if (score > cut).any() else score >= cut
+    p = np.where(np.asarray(start) > 0.5, 0.9, 0.1)
     said = [(votes == v).astype(np.float64) for v in (-1, 0, 1)]
-    p = np.clip(start, 0.02, 0.98)
-    weights = np.ones(votes.shape[1])
     for at in range(rounds):
         n1, n0 = p.sum() + 1, (1 - p).sum() + 1
         rates1 = [(s.T @ p + 0.2) / (n1 + 0.6) for s in said]
         rates0 = [(s.T @ (1 - p) + 0.2) / (n0 + 0.6) for s in said]
-        if at % 5 == 4:
+        if at >= 2:
             mean1, mean0 = rates1[2] - rates1[0], rates0[2] - rates0[0]
-            rest = votes - p[:, None] * mean1 - (1 - p)[:, None] * mean0
-            scale = np.sqrt((rest**2).mean(0)) + 1e-9
-            together = (rest.T @ rest) / len(rest) / np.outer(scale, scale)
-            np.fill_diagonal(together, 0)
-            weights = 1 / (1 + np.clip(together, 0, 1).sum(1))
-        logit = np.log(n1 / n0) + given + sum(
-            s @ (weights * (np.log(a) - np.log(b))) for s, a, b in list(zip(said, rates1, rates0))[::2])
+            together = _correlations(votes - p[:, None] * mean1 - (1 - p)[:, None] * mean0)
+            weights = 1 / (1 + np.where(together > _CHANCE, together, 0).sum(1))
+        logit = np.log(share / (1 - share)) + sum(
+            s @ (weights * (np.log(a) - np.log(b))) for s, a, b in zip(said, rates1, rates0))
         p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return p
 
@@ -189,39 +216,45 @@ def linear(rows: list[tuple[np.ndarray, np.ndarray]], p: np.ndarray, epochs: int
     return weights, offset
 
 
-def best_shift(logits: np.ndarray, labels: np.ndarray) -> float:
-    """What to add to the logits so that the sign agrees best with the labels (by F1)."""
+def best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
+    """The threshold of best agreement with the labels (by F1) that calls between half and
+    twice the share of toxic labels toxic."""
     order = np.argsort(-logits, kind="stable")
-    right = np.cumsum(labels[order])
-    f1 = 2 * right / (np.arange(1, len(order) + 1) + max(1, labels.sum()))
-    at = int(np.argmax(f1))
-    below = logits[order[at + 1]] if at + 1 < len(order) else logits[order[at]] - 1
-    return -float(logits[order[at]] + below) / 2
+    called = np.arange(1, len(order) + 1)
+    f1 = 2 * np.cumsum(labels[order]) / (called + max(1, labels.sum()))
+    allowed = np.flatnonzero((2 * called >= labels.sum()) & (called <= 2 * labels.sum()) & (called < len(order)))
+    if not len(allowed):
+        return 0.0
+    at = allowed[np.argmax(f1[allowed])]
+    return float(logits[order[at]] + logits[order[at + 1]]) / 2
 
 
-def learn(found: pd.DataFrame) -> tuple[np.ndarray, float]:
-    """Voters, label model and classifier from featured, labelled documents.
+def posteriors(found: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The telling units, and P(toxic) of the featured, labelled documents by their votes."""
+    labels = found["label"].to_numpy()
+    telling, likelier = mine(list(found["buckets"]), labels)
+    voters = np.sort(telling[likelier >= 8][:MOST_MINED])
+    return telling, label_model(vote(found, voters), share=labels.mean())
 
-    A label is one more voter, of known reliability.
-    """
+
+def learn(found: pd.DataFrame) -> tuple[np.ndarray, float]:
+    """Voters, label model and classifier from featured, labelled documents."""
     if not len(found):
         return np.zeros(BUCKETS), -1.0
     labels = found["label"].to_numpy()
-    buckets = list(found["buckets"])
-    telling, likelier = mine(buckets, labels)
-    voters = np.sort(telling[likelier >= 8][:MOST_MINED])
-    p = label_model(vote(found, voters), labels.astype(np.float64), (2 * labels - 1) * _LABEL_ODDS)
+    telling, p = posteriors(found)
     told = np.zeros(BUCKETS, bool)
     told[telling] = True
-    rows = [(b[told[b]], scaled(c[told[b]], n)) for b, c, n in zip(buckets, found["counts"], found["n_words"])]
-    apart = np.arange(len(rows)) % 5 == 0
-    if not 0 < p[apart].round().sum() < apart.sum() or not 0 < p.round().sum() < len(p):
-        return linear(rows, p)
-    weights, offset = linear([r for r, out in zip(rows, apart) if not out], p[~apart])
-    logits = np.array([weights[b] @ x + offset for (b, x), out in zip(rows, apart) if out])
-    shift = best_shift(logits, (p[apart] >= 0.5).astype(float))
+    rows = [(b[told[b]], scaled(c[told[b]], n)) for b, c, n in zip(found["buckets"], found["counts"], found["n_words"])]
     weights, offset = linear(rows, p)
-    return weights, offset + shift
+    if not _LEAST_TOXIC <= labels.sum() < len(labels):
+        return weights, offset
+    logits, fold = np.empty(len(rows)), np.arange(len(rows)) % _FOLDS
+    for own in range(_FOLDS):
+        apart, level = linear([r for r, f in zip(rows, fold) if f != own], p[fold != own])
+        for i in np.flatnonzero(fold == own):
+            logits[i] = apart[rows[i][0]] @ rows[i][1] + level
+    return weights, offset - best_threshold(logits, labels)
 
 
 def score(text: str, known: dict, weights: np.ndarray, offset: float) -> float:

@@ -61,6 +61,54 @@ def test_label_model_finds_reliable_voters():
     assert ((p > 0.5) == y).mean() > 0.93
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_label_model_without_a_start(seed):
+    """Close to the best possible decision, though one poor voter speaks four times."""
+    rng = np.random.default_rng(seed)
+    y = rng.random(3000) < 0.2
+    right = np.array([0.95, 0.8, 0.8, 0.8, 0.6])
+    votes = np.where(rng.random((3000, 5)) < right, y[:, None] * 2 - 1, 1 - y[:, None] * 2)
+    votes[rng.random((3000, 5)) < 0.3] = 0
+    best = (votes @ np.log(right / (1 - right)) + np.log(0.2 / 0.8) > 0) == y
+    votes = np.column_stack([votes, votes[:, 4], votes[:, 4], votes[:, 4]])
+    for share in (None, 0.2):
+        p = label_model(votes, share=share)
+        assert ((p > 0.5) == y).mean() > best.mean() - 0.01 and abs(p.mean() - 0.2) < 0.03
+    assert toxicity.group_shares(votes).tolist() == [1, 1, 1, 1, 0.25, 0.25, 0.25, 0.25]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_posteriors_from_votes_agree_with_labels(spark, sf):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    found = toxicity.with_labels(toxicity.labelled_sample(docs, labels, "toxic", toxicity.MOST_TRAINED).mapInPandas(
+        toxicity._featured, toxicity._FEATURES), labels, "toxic")
+    _, p = toxicity.posteriors(found)
+    y = found["label"].to_numpy()
+    print(sf, ((p > 0.5) == y).mean())
+    assert ((p > 0.5) == y).mean() >= 0.9
+    # a label moves no posterior of its own document but through the choice of voters
+    votes = toxicity.vote(found, np.arange(5))
+    assert (label_model(votes, share=0.1) == label_model(votes[::-1], share=0.1)[::-1]).all() or np.allclose(
+        label_model(votes, share=0.1), label_model(votes[::-1], share=0.1)[::-1])
+    scored = {r.doc_id: r for r in score_toxicity(docs, labels).collect()}
+    held = [(x.toxic, scored[x.doc_id].predicted) for x in labels.filter("toxic is not null").collect() if scored[x.doc_id].held_out]
+    right = sum(a == b for a, b in held) / len(held)
+    both = sum(a and b for a, b in held)
+    f1 = 2 * both / max(1, sum(a for a, _ in held) + sum(b for _, b in held))
+    print(sf, "held out", right, f1)
+    assert right >= 0.9 and (sf != "sf0.1" or f1 >= 0.9)
+
+
+def test_one_very_long_word(spark, docs_of):
+    """The end of a long word counts too."""
+    long = "x" * 300
+    docs = docs_of([(i, long + ("tail" if i % 2 else "other")) for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    rows = score_quality(docs, labels).collect()
+    assert min(r.score for r in rows if r.doc_id % 2) > max(r.score for r in rows if not r.doc_id % 2)
+    assert score_toxicity(docs, labels).count() == 60
+
+
 def test_filter_keeps_rows_as_they_are(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
