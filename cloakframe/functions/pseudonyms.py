@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, functions as F
 
 from cloakframe.functions.dialect import SPACES
+from cloakframe.functions.keyed import digest_sql
 from cloakframe.functions.matching import let, name, text
 
 # Fixed values the fakes are made of.
@@ -133,24 +134,25 @@ def register_generator(kind: str, generator: Generator) -> None:
     GENERATORS[kind] = generator
 
 
-def seed(column: str, key: str = "") -> Column:
+def seed(column: str, key_column: str = "") -> Column:
     """32-bit number that identifies the normalized value."""
-    return F.expr(let(_digest(column, key), "h", _slices("h")[3]))
+    return F.expr(let(_digest(column, key_column), "h", _slices("h")[3]))
 
 
-def _digest(column: str, key: str) -> str:
+def _digest(column: str, key_column: str) -> str:
     value = f"cast({name(column)} as string)"
-    bare = f"lower(regexp_replace({value}, {text(f'^{SPACES}+|{SPACES}+$')}, ''))"
-    return f"md5(concat({text(key)}, {bare}))" if key else f"md5({bare})"
+    return digest_sql(f"lower(regexp_replace({value}, {text(f'^{SPACES}+|{SPACES}+$')}, ''))", key_column)
 
 
 def _slices(digest: str) -> list[str]:
     return [f"cast(conv(substr({digest}, {i}, 8), 16, 10) as bigint)" for i in (1, 9, 17, 25)]
 
 
-def pseudonym(column: str, kind: str, key: str = "", valid_ssn: bool = False) -> Column:
+def pseudonym(column: str, kind: str, key_column: str = "", valid_ssn: bool = False) -> Column:
     """Fake of the given kind; null, blank and unknown kinds pass through.
 
+    ``key_column`` names a column that holds a secret key (see ``functions/keyed.py``).
+
     Social security numbers get an area that is never issued unless ``valid_ssn``.
     """
     generator = GENERATORS.get(kind)
@@ -158,7 +160,7 @@ def pseudonym(column: str, kind: str, key: str = "", valid_ssn: bool = False) ->
         generator = _issued_ssn
     if generator is None:
         return F.col(column)
-    fake = let(_digest(column, key), "h", generator(_slices("h")))
+    fake = let(_digest(column, key_column), "h", generator(_slices("h")))
     value = f"cast({name(column)} as string)"
     present = f"{value} rlike {text('[^' + SPACES[1:])}"
     return F.expr(f"if({present}, {fake}, {value})")

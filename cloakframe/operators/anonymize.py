@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cloakframe.functions import fixed_values as fixed
 from cloakframe.functions.dialect import java_pattern
 from cloakframe.functions.matching import strip
+from cloakframe.functions.keyed import under_key
 from cloakframe.functions.pseudonyms import GENERATORS, pseudonym
 
 Plan = Mapping[str, str]
@@ -73,19 +74,21 @@ def infer_column_plan(df: DataFrame, order_by: Sequence[str] = (),
                       sample: int = fixed.CONTENT_SAMPLE, match: str = "anywhere") -> dict[str, str]:
     """Kind by name, else by content, of each column that holds personal data.
 
-    Only ``sample`` values per undecided column reach the driver; without
-    ``order_by`` reading stops as soon as they are found.
+    One job for all undecided columns: each task keeps the first ``sample`` values of each
+    column in ``order_by``, without one in the order of their hashes, so every run takes the same.  The
+    driver gets one row per column.
     """
     plan = {c: type_of_name(c, match) for c in df.columns}
-    for c in [c for c, kind in plan.items() if kind is None]:
-        values = df.filter(F.col(c).isNotNull())
-        if order_by:
-            values = values.orderBy(*order_by)
-        rows = values.select(F.col(c).cast("string").alias("v")).limit(sample).collect()
-        for kind, p in fixed.COLUMN_VALUE_PATTERNS.items():
-            if 2 * sum(1 for r in rows if re.match(p, r.v)) > len(rows):
-                plan[c] = kind
-                break
+    undecided = [c for c, kind in plan.items() if kind is None]
+    if undecided:
+        keys = [F.col(c).alias(f"_order{i}") for i, c in enumerate(order_by)]
+        values = df.select(*keys, F.inline(F.array(*[
+            F.struct(F.lit(c).alias("_column"), F.col(c).cast("string").alias("_value")) for c in undecided])))
+        order = [f"_order{i}" for i in range(len(keys))] or ["_order", "_value"]
+        if not keys:
+            values = values.withColumn("_order", F.xxhash64("_value"))
+        found = types_by_content(values, "_column", "_value", order, sample).collect()
+        plan.update({r["_column"]: r.pii_type for r in found})
     return {c: kind for c, kind in plan.items() if kind}
 
 
@@ -118,23 +121,26 @@ def _present_columns(df: DataFrame, plan: Plan) -> dict[str, str]:
 def anonymize(df: DataFrame, plan: Plan | None = None, key: str = "") -> DataFrame:
     """Replace the planned columns by fakes; others stay.  One narrow projection."""
     plan = _present_columns(df, infer_column_plan(df) if plan is None else plan)
-    return df.withColumns({c: pseudonym(c, kind, key) for c, kind in plan.items()})
+    return under_key(df, key, lambda rows, k: rows.withColumns({c: pseudonym(c, kind, k) for c, kind in plan.items()}))
 
 
 def anonymize_preview(df: DataFrame, plan: Plan, order_by: Sequence[str], n: int = 3,
                       key: str = "") -> DataFrame:
     """First ``n`` values per planned column and their fakes: column, pii_type, rank, ..."""
     plan = _present_columns(df, plan)
-    pairs = F.array(*[
-        F.struct(
-            F.lit(c).alias("column"), F.lit(kind).alias("pii_type"),
-            F.col(c).cast("string").alias("original"), pseudonym(c, kind, key).alias("fake"),
-        )
-        for c, kind in plan.items()
-    ])
+
+    def pairs(rows: DataFrame, k: str) -> DataFrame:
+        return rows.select(*order_by, *([k] if k else []), F.inline(F.array(*[
+            F.struct(
+                F.lit(c).alias("column"), F.lit(kind).alias("pii_type"),
+                F.col(c).cast("string").alias("original"), pseudonym(c, kind, k).alias("fake"),
+            )
+            for c, kind in plan.items()
+        ])))
+
     first = Window.partitionBy("column").orderBy(*order_by)
     return (
-        df.select(*order_by, F.inline(pairs))
+        under_key(df, key, pairs)
         .filter(F.col("original").isNotNull())
         .withColumn("rank", F.row_number().over(first))
         .filter(F.col("rank") <= n)

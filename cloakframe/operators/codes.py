@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cloakframe.functions import fixed_values as fixed
+from cloakframe.operators.numbering import numbered
+from cloakframe.sources.scratch import materialized
 
 
 def _issue(df: DataFrame, output: str, make: Callable[[int], list[str]]) -> DataFrame:
@@ -83,21 +85,32 @@ def issue_codes(df: DataFrame, output: str = "code", length: int = 16,
 
 def issue_passphrases(df: DataFrame, words_df: DataFrame, word: str, n: int = 5,
                       separator: str = "-", capitalize: bool = False,
-                      output: str = "passphrase", most_words: int = 100_000) -> DataFrame:
-    """``n`` random words per row from a word table of at most ``most_words`` rows."""
+                      output: str = "passphrase") -> DataFrame:
+    """``n`` random words per row from a word table of any size.
+
+    The different words are numbered on the executors, each row draws ``n`` numbers from the system's
+    secure source, and the numbers are joined with the words.  Rows are told apart by where they lie, so
+    ``df`` should give the same rows in the same places when a task runs again.
+    """
     if n < 2:
         raise ValueError("a passphrase has at least two words")
-    rows = words_df.select(word).distinct().limit(most_words + 1).collect()
-    if not 0 < len(rows) <= most_words:
-        raise ValueError(f"the word table must have 1 to {most_words} words")
-    words = [r[0].capitalize() if capitalize else r[0] for r in rows]
+    words = materialized(numbered(words_df.select(F.col(word).alias("_word")).filter("_word is not null").distinct(), "_no"), "words")
+    count = words.count()
+    if not count:
+        raise ValueError("the word table is empty")
     draw = _uniform()
 
-    def make(count: int) -> list[str]:
-        chosen = draw(len(words), count * n).reshape(count, n)
-        return [separator.join(words[i] for i in row) for row in chosen]
-
-    return _issue(df, output, make)
+    @F.pandas_udf("array<bigint>")
+    def numbers(rows: pd.Series) -> pd.Series:
+        return pd.Series(list(draw(count, len(rows) * n).reshape(len(rows), n).astype(np.int64)))
+
+    kept = df.select(F.struct(*df.columns).alias("_kept"), F.monotonically_increasing_id().alias("_row"))
+    drawn = kept.withColumn("_nos", numbers.asNondeterministic()("_row")).select(
+        "_kept", "_row", F.posexplode("_nos").alias("_at", "_no"))
+    shown = F.concat(F.upper(F.left("_word", F.lit(1))), F.lower(F.substring("_word", 2, 2**31 - 1))) if capitalize else F.col("_word")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_shown"))), lambda x: x["_shown"])
+    return drawn.join(words, "_no").withColumn("_shown", shown).groupBy("_row").agg(
+        F.any_value("_kept").alias("_kept"), F.array_join(parts, separator).alias(output)).select("_kept.*", output)
 
 
 def issue_pins(df: DataFrame, length: int = 6, output: str = "pin") -> DataFrame:

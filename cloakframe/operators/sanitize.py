@@ -6,23 +6,23 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cloakframe.functions.keyed import digest_sql, under_key
 from cloakframe.functions.matching import gaps, hits, let, name, stitch, text
 from cloakframe.functions.patterns import SECRETS, Pattern, choose, may_occur, may_occur_sql
 from cloakframe.operators.detect import explode_lines
 
 
-def placeholder(value: Column, prefix: str, key: str = "") -> Column:
+def placeholder(value: Column, prefix: str, key: Column | None = None) -> Column:
     """``[PREFIX_xxxxxxxx]`` with eight hex digits of a digest of the value.
 
-    A secret ``key`` hinders guessing values back from their placeholders.
+    A secret ``key``, a column, hinders guessing values back from their placeholders.
     """
-    keyed = F.concat(F.lit(key), value) if key else value
-    return F.concat(F.lit(f"[{prefix}_"), F.substring(F.md5(keyed), 1, 8), F.lit("]"))
+    mark = F.md5(value) if key is None else F.sha2(F.concat(key, F.sha2(F.concat(key, value), 256)), 256)
+    return F.concat(F.lit(f"[{prefix}_"), F.substring(mark, 1, 8), F.lit("]"))
 
 
-def _placeholder_sql(value: str, prefix: str, key: str) -> str:
-    keyed = f"concat({text(key)}, {value})" if key else value
-    return f"concat({text(f'[{prefix}_')}, substr(md5({keyed}), 1, 8), ']')"
+def _placeholder_sql(value: str, prefix: str, key_column: str) -> str:
+    return f"concat({text(f'[{prefix}_')}, substr({digest_sql(value, key_column)}, 1, 8), ']')"
 
 
 def _replace(source: str, p: Pattern, key: str, whole_text: bool) -> str:
@@ -47,12 +47,13 @@ def _replace_noted(state: str, p: Pattern, key: str) -> str:
     return f"if({p.hint(source)}, {replaced}, {state})"
 
 
-def sanitized(column: str, types: Iterable[str] | None = None, key: str = "",
+def sanitized(column: str, types: Iterable[str] | None = None, key_column: str = "",
               mode: str = "line") -> Column:
     """The column with every secret replaced, kind after kind, each on the result so far.
 
     A value may have many lines; secrets are found line by line.  With
     ``mode='document'``, private key blocks over several lines are replaced first.
+    ``key_column`` names a column with a secret key (see ``functions/keyed.py``).
     """
     if mode not in ("line", "document"):
         raise ValueError(f"mode must be 'line' or 'document', not {mode!r}")
@@ -61,9 +62,9 @@ def sanitized(column: str, types: Iterable[str] | None = None, key: str = "",
     if mode == "document":
         for p in patterns:
             if p.name == "PRIVATE_KEY":
-                result = _replace(result, p, key, False)
+                result = _replace(result, p, key_column, False)
     for i, p in enumerate(patterns):
-        result = let(result, f"t{i}", _replace(f"t{i}", p, key, True))
+        result = let(result, f"t{i}", _replace(f"t{i}", p, key_column, True))
     return F.expr(f"if({may_occur_sql(name(column), patterns)}, {result}, {name(column)})")
 
 
@@ -79,15 +80,15 @@ def _noted_sql(source: str, patterns: list[Pattern], key: str) -> str:
 
 
 def sanitized_with_notes(column: str, types: Iterable[str] | None = None,
-                         key: str = "") -> Column:
+                         key_column: str = "") -> Column:
     """For single lines: struct of the new text and the replacements in order."""
-    return F.expr(_noted_sql(name(column), choose(SECRETS, types), key))
+    return F.expr(_noted_sql(name(column), choose(SECRETS, types), key_column))
 
 
 def sanitize(df: DataFrame, column: str, types: Iterable[str] | None = None, key: str = "",
              mode: str = "line") -> DataFrame:
     """Replace secrets in a text column, in place; works on streams too."""
-    return df.withColumn(column, sanitized(column, types, key, mode))
+    return under_key(df, key, lambda rows, k: rows.withColumn(column, sanitized(column, types, k, mode)))
 
 
 def sanitize_changed(df: DataFrame, column: str, types: Iterable[str] | None = None,
@@ -96,15 +97,18 @@ def sanitize_changed(df: DataFrame, column: str, types: Iterable[str] | None = N
 
     The new text comes out of a generator, below which no filter is pushed, so it is worked out once.
     """
-    after = F.explode(F.array(sanitized(column, types, key, mode))).alias("_after")
-    changed = df.select("*", after).filter(F.col(column) != F.col("_after"))
-    return changed.withColumn(column, F.col("_after")).drop("_after")
+    def change(rows: DataFrame, k: str) -> DataFrame:
+        after = F.explode(F.array(sanitized(column, types, k, mode))).alias("_after")
+        changed = rows.select("*", after).filter(F.col(column) != F.col("_after"))
+        return changed.withColumn(column, F.col("_after")).drop("_after")
+
+    return under_key(df, key, change)
 
 
 def sanitize_noted(df: DataFrame, line: str, types: Iterable[str] | None = None,
                    key: str = "") -> DataFrame:
     """Like :func:`sanitize` for single lines, plus a ``replacements`` array."""
-    state = df.withColumn("_state", sanitized_with_notes(line, types, key))
+    state = under_key(df, key, lambda rows, k: rows.withColumn("_state", sanitized_with_notes(line, types, k)))
     return state.withColumns(
         {line: F.col("_state.text"), "replacements": F.col("_state.replacements")}
     ).drop("_state")
@@ -170,9 +174,13 @@ def sanitize_pieces(df: DataFrame, body: str, types: Iterable[str] | None = None
     One pass for texts and counts; lines are looked at singly only in texts that may hold a secret.
     """
     patterns, source = choose(SECRETS, types), name(body)
-    noted = f"transform(split({source}, '\n', -1), line -> {_noted_sql('line', patterns, key)})"
-    notes = df.select("*", F.explode(F.array(F.expr(
-        f"if({may_occur_sql(source, patterns)}, {noted}, null)"))).alias("_notes"))
+
+    def noted(rows: DataFrame, k: str) -> DataFrame:
+        lines = f"transform(split({source}, '\n', -1), line -> {_noted_sql('line', patterns, k)})"
+        return rows.select("*", F.explode(F.array(F.expr(
+            f"if({may_occur_sql(source, patterns)}, {lines}, null)"))).alias("_notes"))
+
+    notes = under_key(df, key, noted)
     return notes.withColumns({
         "total_lines": F.expr(f"cast(length({source}) - length(replace({source}, '\n')) + 1 as bigint)"),
         "lines_modified": F.expr("cast(coalesce(size(filter(_notes, n -> size(n.replacements) > 0)), 0) as bigint)"),

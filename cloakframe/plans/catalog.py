@@ -13,7 +13,7 @@ from cloakframe.functions.pseudonyms import GENERATORS, pseudonym, seed
 from cloakframe.functions.sqlfuncs import register_sql_functions
 from cloakframe.operators import (
     anonymize as anon, codes, crypto, detect, fingerprint as prints, properties as props,
-    redact as red, sanitize as san,
+    redact as red, sanitize as san, unique_fakes as unique,
 )
 from cloakframe.plans import inputs, jobs, oracle
 from cloakframe.sources import files, ranges, tables
@@ -349,6 +349,24 @@ def anonymize_inferred(spark, sf):
     return anon.anonymize(part)
 
 
+_UNIQUE_PLAN = {"c_name": "name", "contact": "email", "code": "ssn", "line": "phone", "host": "ip_address"}
+
+
+@query
+def unique_fakes(spark, sf):
+    """Per column: values, different ones, their fakes, and whether equal means equal both ways."""
+    rows = people(spark, sf)
+    made = unique.anonymize_uniquely(rows, _UNIQUE_PLAN, "only for tests")
+    both = rows.join(made.select("c_custkey", *[F.col(c).alias(f"new_{c}") for c in _UNIQUE_PLAN]), "c_custkey")
+    pairs = both.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).alias("old"), F.col(f"new_{c}").alias("new")) for c in _UNIQUE_PLAN])))
+    per_old = pairs.groupBy("column", "old").agg(F.count("*").alias("n"), F.min("new").alias("new"), F.max("new").alias("high"))
+    return per_old.groupBy("column").agg(
+        F.sum("n").alias("n_values"), F.count("*").alias("n_different"), F.countDistinct("new").alias("n_fakes"),
+        F.bool_and(F.col("new") == F.col("high")).alias("consistent"),
+        F.count_if(F.col("new") == F.col("old")).alias("n_unchanged"))
+
+
 @query
 def anonymize_preview(spark, sf):
     return anon.anonymize_preview(people(spark, sf), oracle.PEOPLE_PLAN, ["c_custkey"])

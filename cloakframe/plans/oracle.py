@@ -570,6 +570,10 @@ def oracles() -> dict[str, str]:
                          f"c_name, {fake('email', 'contact')} AS contact, "
                          f"{fake('ip_address', 'host')} AS host FROM ({inputs.PEOPLE})",
     }
+    found["unique_fakes"] = " UNION ALL ".join(
+        f"SELECT {q(c)} AS \"column\", count({c})::BIGINT AS n_values, count(DISTINCT {c})::BIGINT AS n_different, "
+        f"count(DISTINCT {c})::BIGINT AS n_fakes, true AS consistent, 0::BIGINT AS n_unchanged FROM ({inputs.PEOPLE})"
+        for c in ("c_name", "contact", "code", "line", "host"))
     source_lines = lines(
         "SELECT source, string_agg(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), chr(10) "
         "ORDER BY doc_id) || chr(10) AS text FROM documents GROUP BY source", "source")

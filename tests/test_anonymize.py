@@ -129,3 +129,24 @@ def test_new_generator(spark):
         assert df.select(pseudonym("v", "color")).first()[0] in ("red", "blue")
     finally:
         GENERATORS.pop("color")
+
+
+def test_plan_takes_one_job_and_is_the_same_in_every_run(spark):
+    rows = [(i, *[f"u{i}.{j}@a.org" if j % 2 else f"10.0.{j}.{i % 250}" for j in range(12)]) for i in range(400)]
+    df = spark.createDataFrame(rows, ["k", *[f"x{j}" for j in range(12)]])
+    wanted = {f"x{j}": "email" if j % 2 else "ip_address" for j in range(12)}
+
+    def jobs(frame):
+        group = f"plan-{len(frame.columns)}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            return anon.infer_column_plan(frame), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    one, few = jobs(df.select("x0"))
+    every, many = jobs(df)
+    assert one == {"x0": "ip_address"} and every == wanted and many == few
+    mixed = spark.createDataFrame([(f"v{i}" if i % 2 else f"m{i}@b.co",) for i in range(2000)], "x string")
+    assert len({str(anon.infer_column_plan(mixed.repartition(n))) for n in (1, 3, 8)}) == 1
+    assert anon.infer_column_plan(mixed.limit(0)) == {}
