@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import compress
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -43,6 +43,8 @@ LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
 #: Different chunks or phrases, and hashes, that a task counts before it passes them on.
 _COUNTED = 300_000
 _HASHED = 3_000_000
+#: Words and breaks that are counted as text at once.
+_TOKENS = 1_500_000
 #: Hashes, on average, that one task puts together from all others.
 _MERGED = 1_000_000
 _BREAK = b"\xff"  # never part of UTF-8
@@ -120,12 +122,12 @@ class _Sequence:
     """All chunks of one language in a batch, one behind the other, with breaks between them.
 
     ``words``, ``pairs`` and ``triples`` hold the hashes of the phrases that end at a place, 0 if there is none;
-    ``weight`` how often they count.
+    ``weight`` how often they count; ``own`` the hashes of the words whatever the language.
     """
 
     def __init__(self, lang: str, chunks: list[bytes], first: np.ndarray, n: np.ndarray, known: dict):
         self.tokens = b" \xff ".join(chunks).split()
-        own = np.fromiter(map(known.__getitem__, self.tokens), np.uint64, len(self.tokens))
+        own = self.own = np.fromiter(map(known.__getitem__, self.tokens), np.uint64, len(self.tokens))
         self.words = _mixed(own, np.full(len(own), xxhash.xxh3_64_intdigest(lang) | 1, np.uint64))
         self.pairs = np.zeros_like(own)
         self.pairs[1:] = _mixed(self.words[:-1], own[1:])
@@ -141,6 +143,17 @@ class _Sequence:
         out[1:] = _mixed(self.pairs[:-1], self.pairs[1:])
         return out
 
+    def extend(self, others: list[_Sequence]) -> None:
+        """The others behind this one, with breaks between them."""
+        for x in others:
+            self.tokens += [_BREAK, *x.tokens]
+        nothing = np.zeros(1, np.uint64)
+        for field in ("own", "words", "pairs", "weight"):
+            parts = [getattr(self, field)]
+            for x in others:
+                parts += [nothing.astype(parts[0].dtype), getattr(x, field)]
+            setattr(self, field, np.concatenate(parts))
+
 
 def _sequences(batch: pa.RecordBatch, known: dict) -> Iterator[tuple[str, _Sequence]]:
     langs = np.array(batch.column("lang").to_pylist(), object)
@@ -256,39 +269,67 @@ def _may_be_frequent(hashes: np.ndarray, filter_bits: np.ndarray) -> np.ndarray:
     return yes
 
 
-def _add(met: Counter, phrases: list[bytes], weights: list[int]) -> None:
-    met.update(compress(phrases, [n == 1 for n in weights]))
-    for phrase, n in zip(phrases, weights):
-        if n > 1:
-            met[phrase] += n
+def _numbers(tokens: list[bytes], own: np.ndarray) -> np.ndarray:
+    """A number for each different token; equal hashes of different tokens are noticed."""
+    _, first, numbers = np.unique(own, return_index=True, return_inverse=True)
+    same = map(eq, tokens, map(tokens.__getitem__, first[numbers].tolist()))
+    if all(same):
+        return numbers
+    places: dict[bytes, int] = {}
+    return np.array([places.setdefault(t, len(places)) for t in tokens])
+
+
+def _texts(tokens: list[bytes], own: np.ndarray, weight: np.ndarray,
+           ends: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[list[bytes], list[int]]:
+    """The different phrases of one to three tokens that end at the given places, and the sums of their weights."""
+    numbers = _numbers(tokens, own)
+    base = int(numbers.max()) + 1 if len(numbers) else 1
+    if base >= 1 << 21:  # three numbers would not fit 64 bits
+        numbers = numbers.astype(object)
+    phrases, sums = [], []
+    for length, at in enumerate(ends):
+        codes = numbers[at]
+        for back in range(1, length + 1):
+            codes = numbers[at - back] * base ** back + codes
+        _, first, inverse = np.unique(codes, return_index=True, return_inverse=True)
+        total = np.zeros(len(first), np.int64)
+        np.add.at(total, inverse, weight[at])
+        phrases += [b" ".join(tokens[i - length:i + 1]) for i in at[first].tolist()]
+        sums += total.tolist()
+    return phrases, sums
 
 
 def _phrases(short: np.ndarray, long: np.ndarray):
     """Counts of the phrases that pass the filters, and of all words together, as the empty phrase."""
-    def rows(met: dict[str, Counter]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({
-            "lang": pa.array([lang for lang, own in met.items() for _ in own], pa.string()),
-            "phrase": pa.array([phrase for own in met.values() for phrase in own], pa.binary()).cast(pa.string()),
-            "n": pa.array([n for own in met.values() for n in own.values()], pa.int64())})
+    def rows(lang: str, held: list[_Sequence]) -> Iterator[pa.RecordBatch]:
+        phrases, sums = [b""], [sum(int(x.weight.sum()) for x in held)]
+        block = held[0]
+        block.extend(held[1:])
+        counts = block.weight > 0
+        ends = (np.flatnonzero(_may_be_frequent(block.words, short) & counts),
+                np.flatnonzero(_may_be_frequent(block.pairs, short) & counts),
+                np.flatnonzero(_may_be_frequent(block.triples(), long) & counts))
+        found, totals = _texts(block.tokens, block.own, block.weight, ends)
+        phrases += found
+        sums += totals
+        yield pa.RecordBatch.from_pydict({
+            "lang": pa.array([lang] * len(phrases), pa.string()),
+            "phrase": pa.array(phrases, pa.binary()).cast(pa.string()), "n": pa.array(sums, pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = kept_in_process("word hashes", None, lambda: _hash_of)
-        met: dict[str, Counter] = {}
+        held: dict[str, list[_Sequence]] = {}
+        size = 0
         for batch in batches:
             for lang, own in _sequences(batch, known):
-                tokens, weight, counter = own.tokens, own.weight, met.setdefault(lang, Counter())
-                counter[b""] += int(weight.sum())
-                at = np.flatnonzero(_may_be_frequent(own.words, short) & (weight > 0))
-                _add(counter, [tokens[i] for i in at.tolist()], weight[at].tolist())
-                at = np.flatnonzero(_may_be_frequent(own.pairs, short) & (weight > 0))
-                _add(counter, [b"%b %b" % (tokens[i - 1], tokens[i]) for i in at.tolist()], weight[at].tolist())
-                at = np.flatnonzero(_may_be_frequent(own.triples(), long) & (weight > 0))
-                _add(counter, [b"%b %b %b" % (tokens[i - 2], tokens[i - 1], tokens[i]) for i in at.tolist()],
-                     weight[at].tolist())
-            if sum(map(len, met.values())) >= _COUNTED:
-                yield rows(met)
-                met = {}
-        yield rows(met)
+                held.setdefault(lang, []).append(own)
+                size += len(own.tokens)
+            if size >= _TOKENS:
+                for lang in held:
+                    yield from rows(lang, held[lang])
+                held, size = {}, 0
+        for lang in held:
+            yield from rows(lang, held[lang])
 
     return run
 

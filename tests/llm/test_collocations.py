@@ -90,6 +90,7 @@ def test_small_counters_are_passed_on(spark, monkeypatch):
     import pyarrow as pa
 
     monkeypatch.setattr(c, "_COUNTED", 3)
+    monkeypatch.setattr(c, "_TOKENS", 100)
     rows = [(lang or "und", text) for lang, text in texts(9, 40)]
     batches = [pa.RecordBatch.from_pydict({"lang": [lang], "text": [t]}) for lang, t in rows]
     parsed = list(c._parse(4)(iter(batches)))
@@ -102,6 +103,17 @@ def test_small_counters_are_passed_on(spark, monkeypatch):
     assert total == wanted | {(lang, ()): n for (lang, _), n in totals(wanted).items()} | {(x, ()): 0 for x, _ in rows if (x, '') not in totals(wanted)}
 
 
+def test_equal_hashes_of_different_words():
+    import numpy as np
+
+    tokens = [b"a", b"b", b"a", b"c", b"b"]
+    assert c._numbers(tokens, np.array([5, 7, 5, 9, 7], np.uint64)).tolist() == [0, 1, 0, 2, 1]
+    assert c._numbers(tokens, np.array([5, 7, 5, 7, 7], np.uint64)).tolist() == [0, 1, 0, 2, 1]
+    ends = (np.array([0, 2]), np.array([1, 4]), np.array([2, 3, 4]))
+    found = c._texts(tokens, np.array([5, 7, 5, 7, 7], np.uint64), np.array([1, 2, 3, 4, 5]), ends)
+    assert dict(zip(*found)) == {b"a": 4, b"a b": 2, b"c b": 5, b"a b a": 3, b"b a c": 4, b"a c b": 5}
+
+
 def test_filters_hold_every_frequent_phrase(monkeypatch):
     """Blocks of hashes put together again give exact counts (run in this process)."""
     import numpy as np
