@@ -8,7 +8,8 @@ Items and windows have the minima of the same universal hashes; a window that ha
 minimum in common with an item of its class makes the document a candidate (one minimum
 per band: an item lying in a window to four fifths is missed with a
 probability below 1e-5, over the windows of a scattered item likewise).  Candidates are
-verified on the full shingle sets of item and document, in the same task.
+verified on the full shingle sets of item and document, in the same task.  A document that
+shares no shingle with any item, seen in a table of bits and then a sorted list, holds none and is not cut at all.
 
 Items are taken in blocks of bounded size, each sent to all executors; a longer list of
 items means more passes over the documents, nothing else.
@@ -23,10 +24,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from cloakframe.llm.near_duplicates import word_hashes, hash_family
-from cloakframe.llm.tables import keyed_texts, only_ids, stored
+from cloakframe.llm.near_duplicates import hash_family
+from cloakframe.llm.tables import Kept, kept_in_process, keyed_texts, only_ids, stored
 
 SHINGLE = 5
 HASHES = 64
@@ -36,17 +38,23 @@ _LEAST_UNIT = 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\W_]+")
 _TABLE = 1 << 20
+_MET = 1 << 22
 _TABLE_BITS = 14
 _SLICE = 1 << 12
 
 
+def text_words() -> Kept:
+    return kept_in_process("text words", None, lambda: lambda word: xxhash.xxh3_64_intdigest(
+        word.encode("utf-8", "surrogatepass")))
+
+
 def sequence(text: str, words: dict, size: int = SHINGLE) -> np.ndarray:
     """Hashes of a text's shingles in order; words are runs of letters and digits, lower-cased."""
     tokens = _WORD.findall(text.lower())
     n = len(tokens) - size + 1
     if n < 1:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter((words[t.encode("utf-8", "surrogatepass")] for t in tokens), np.uint64, len(tokens))
+    hashes = np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
     out = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(size):
@@ -73,6 +81,9 @@ class Items:
 
     def __post_init__(self):
         family = _family()
+        self.every = np.unique(np.concatenate(self.sets)) if self.sets else np.empty(0, np.uint64)
+        self.met = np.zeros(_MET, bool)
+        self.met[(self.every & np.uint64(_MET - 1)).astype(np.int64)] = True
         self.units = np.array([unit_of(len(s)) for s in self.sets])
         self.classes = {}
         small = np.flatnonzero(self.units == 1)
@@ -92,6 +103,15 @@ class Items:
             self.classes[unit] = (at, table, np.take_along_axis(lows, order, 0), order)
 
 
+def shares_any(hashes: np.ndarray, items: Items) -> bool:
+    """Whether any of the shingles is one of an item."""
+    maybe = hashes[items.met[(hashes & np.uint64(_MET - 1)).astype(np.int64)]]
+    if not len(maybe):
+        return False
+    at = np.minimum(np.searchsorted(items.every, maybe), len(items.every) - 1)
+    return bool((items.every[at] == maybe).any())
+
+
 def _family() -> tuple[np.ndarray, np.ndarray]:
     """Multipliers and offsets of the hashes, 32 bits wide: their values are compared by the high bits."""
     a, b = hash_family(HASHES)
@@ -143,12 +163,12 @@ def _search(items: Items):
     family = _family()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = word_hashes()
+        words = text_words()
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 hashes = sequence(text, words)
-                if not len(hashes):
+                if not len(hashes) or not shares_any(hashes, items):
                     continue
                 own = None
                 for i in _candidates(hashes, items, family):
@@ -164,7 +184,7 @@ def _search(items: Items):
 
 
 def _item_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    words = word_hashes()
+    words = text_words()
     for batch in batches:
         sets = [np.unique(sequence(t, words)).view(np.int64) for t in batch["text"]]
         yield pd.DataFrame({"item_id": batch["item_id"], "shingles": sets})
