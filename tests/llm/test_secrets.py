@@ -4,7 +4,7 @@ import re
 
 from cloakframe.llm.secrets import RULES, BlobLedger, Rule, op1_secrets, scan_secrets
 
-ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ASSIGN = re.compile(r"""(?a)((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
 def brute(text):
@@ -49,3 +49,10 @@ def test_ledger_scans_only_what_is_new(spark, docs_of):
     assert scan_secrets(docs_of([(1, "pin=1234"), (2, "nothing")]), more).select("n_pin").collect()[0][0] in (0, 1)
     assert ledger.findings().count() == 5
     assert rows(scan_secrets(docs_of([]), ledger)) == []
+
+
+def test_letters_are_those_of_ascii(docs_of):
+    """The Kelvin sign and the long s are no k and s, wherever else a keyword stands."""
+    texts = {1: "to\u212aen=abcdefgh", 2: "\u017fecret=abcdefgh", 3: "token \u017fecret=abcdefgh to\u212aen=abcdefgh", 4: "TOKEN=abcdefgh"}
+    rows = {r.doc_id: r.n_assign for r in scan_secrets(docs_of(texts.items()))}
+    assert rows == {1: 0, 2: 0, 3: 0, 4: 1}
