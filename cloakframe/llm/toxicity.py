@@ -33,7 +33,7 @@ MOST_TRAINED = 8000
 #: Most word beginnings that vote.
 MOST_MINED = 150
 BUCKETS = 1 << 18
-_KEPT = 300_000
+_KEPT = 150_000
 #: Votes of one group correlate by so much; smaller correlations within the classes count as chance.
 _ALIKE, _CHANCE = 0.8, 0.1
 _FOLDS = 5

@@ -54,5 +54,5 @@ def test_ledger_scans_only_what_is_new(spark, docs_of):
 def test_letters_are_those_of_ascii(docs_of):
     """The Kelvin sign and the long s are no k and s, wherever else a keyword stands."""
     texts = {1: "to\u212aen=abcdefgh", 2: "\u017fecret=abcdefgh", 3: "token \u017fecret=abcdefgh to\u212aen=abcdefgh", 4: "TOKEN=abcdefgh"}
-    rows = {r.doc_id: r.n_assign for r in scan_secrets(docs_of(texts.items()))}
-    assert rows == {1: 0, 2: 0, 3: 0, 4: 1}
+    found = {r.doc_id: r.n_assign for r in scan_secrets(docs_of(texts.items())).collect()}
+    assert found == {1: 0, 2: 0, 3: 0, 4: 1}
