@@ -32,8 +32,8 @@ def algorithm_of(expected: Column, algorithm: str = "sha256") -> Column:
 
 
 def first_difference(left: str, right: str) -> Column:
-    """0-based place of the first character that differs, up to the shorter length."""
+    """0-based place of the first character that differs, up to the shorter length; null if there is none."""
     return F.expr(
-        f"filter(sequence(1, least(length({left}), length({right}))), "
-        f"i -> substr({left}, i, 1) <> substr({right}, i, 1))[0] - 1"
+        f"try_element_at(filter(sequence(1, least(length({left}), length({right}))), "
+        f"i -> substr({left}, i, 1) <> substr({right}, i, 1)), 1) - 1"
     )

@@ -15,12 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cloakframe.functions import fixed_values as fixed
-from cloakframe.operators.spread import spread_join
-from cloakframe.sources.scratch import scratch_folder
+from cloakframe.operators.spread import heavy_join
+from cloakframe.sources.scratch import materialized
 
 _HEAD = fixed.SALT_BYTES
 _SMALLEST = fixed.SALT_BYTES + fixed.NONCE_BYTES + fixed.TAG_BYTES
-_MOST_BROADCAST_KEYS = 100_000
 
 
 def derive_key(password: str, salt: bytes, rounds: int = fixed.KDF_ROUNDS) -> bytes:
@@ -52,8 +51,8 @@ def encrypt(df: DataFrame, column: str, password: str, salt: bytes | None = None
     """Encrypt a string or binary column in place.
 
     One random salt for the whole table by default; ``n_salts`` spreads the rows
-    over several keys, which the executors derive.  A table of keys above 100,000 rows is
-    joined by shuffling.  Nonces are random, so write the result before reading it more
+    over several keys, which the executors derive.  Rows are joined with the keys by a hash of their
+    content; the optimizer broadcasts a small table.  Nonces are random, so write the result before reading it more
     than once.
     """
     if n_salts < 1:
@@ -67,23 +66,19 @@ def encrypt(df: DataFrame, column: str, password: str, salt: bytes | None = None
     derived = derive_keys(slots.select("_salt").repartition(tasks), "_salt", password, rounds)
     keys = slots.join(derived.select(F.col("salt").alias("_salt"), F.col("key").alias("_key")), "_salt")
     slotted = df.withColumn("_slot", F.pmod(F.xxhash64(column), F.lit(n_salts).cast("bigint")))
-    joined = (
-        slotted.join(F.broadcast(keys), "_slot") if n_salts <= _MOST_BROADCAST_KEYS
-        else spread_join(slotted, keys, ["_slot"], "inner")
-    )
+    joined = heavy_join(slotted, keys, ["_slot"], "inner") if n_salts > 1 else slotted.join(F.broadcast(keys), "_slot")
     blob = F.concat("_salt", F.aes_encrypt(F.col(column).cast("binary"), "_key", F.lit("GCM")))
     return joined.select(*[blob.alias(c) if c == column else F.col(c) for c in df.columns])
 
 
 def decrypt(df: DataFrame, column: str, password: str, salt: bytes | None = None,
-            rounds: int = fixed.KDF_ROUNDS, few_salts: bool | None = None) -> DataFrame:
+            rounds: int = fixed.KDF_ROUNDS, few_salts: bool = False) -> DataFrame:
     """Decrypt a blob column in place to binary; failures become null.
 
     A blob fails if it is too short, was changed, or the password is wrong.
     With a known single ``salt`` only one key is derived.  Otherwise the distinct
-    salts (not secret) are written to the scratch folder and counted, and their
-    keys joined back: by broadcast if they are few, else by a join that stays
-    balanced when most blobs share one salt.  ``few_salts`` overrides the choice.
+    salts (not secret) are written to the scratch folder and their keys joined back, by a join that stays
+    balanced when most blobs share one salt; ``few_salts`` says that their keys may be broadcast.
     """
     spark = df.sparkSession
     head = F.substring(F.col(column), 1, _HEAD)
@@ -92,18 +87,13 @@ def decrypt(df: DataFrame, column: str, password: str, salt: bytes | None = None
         row = (bytearray(salt), bytearray(derive_key(password, salt, rounds)))
         keys, few_salts = spark.createDataFrame([row], "salt binary, key binary"), True
     else:
-        path = scratch_folder(spark, "salts")
-        salted.filter("_salt is not null").select("_salt").distinct().write.parquet(path)
-        salts = spark.read.parquet(path)
-        n = salts.count()
-        if few_salts is None:
-            few_salts = n <= _MOST_BROADCAST_KEYS
-        tasks = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
+        salts = materialized(salted.filter("_salt is not null").select("_salt").distinct(), "salts")
+        tasks = max(1, min(salts.count(), 4 * spark.sparkContext.defaultParallelism))
         keys = derive_keys(salts.repartition(tasks), "_salt", password, rounds)
     keys = keys.select(F.col("salt").alias("_salt"), F.col("key").alias("_key"))
     joined = (
         salted.join(F.broadcast(keys), "_salt", "left") if few_salts
-        else spread_join(salted, keys, ["_salt"], "left")
+        else heavy_join(salted, keys, ["_salt"], "left")
     )
     body = F.substring(F.col(column), _HEAD + 1, 2**31 - 1 - _HEAD)
     plain = F.when(F.col("_key").isNotNull(), F.try_aes_decrypt(body, F.col("_key"), F.lit("GCM")))

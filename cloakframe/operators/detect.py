@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cloakframe.functions.matching import gaps, hits, let, name, starts, strip, text
 from cloakframe.functions.patterns import DETECTORS, Pattern, choose, may_occur, may_occur_sql
-from cloakframe.operators.spread import spread_join
-from cloakframe.sources.scratch import materialized
+from cloakframe.operators.spread import heavy_join
+from cloakframe.sources.scratch import sealed
 
 _AROUND = 20
 
@@ -166,13 +166,13 @@ def findings_report(findings: DataFrame, file: str) -> DataFrame:
 
     Rows, not one list per group: a single file may hold most of the findings.
     The masked findings are written once, as counting, joining and sorting would
-    each scan all texts again.
+    each scan all texts again; masks that show a value (addresses of hosts) lie there encrypted.
     """
-    masked = materialized(
-        with_masks(findings).select(file, "type", "line", "column", "value_masked"), "findings"
+    masked = sealed(
+        with_masks(findings).select(file, "type", "line", "column", "value_masked"), "findings", ["value_masked"]
     )
     return (
-        spread_join(masked, findings_counts(masked, file), [file, "type"], "inner")
+        heavy_join(masked, findings_counts(masked, file), [file, "type"], "inner")
         .select(file, "type", "instances", "line", "column", "value_masked")
         .orderBy(file, "type", "line", "column")
     )

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from cloakframe.functions.digests import ALGORITHMS, algorithm_of, digest, first_difference
 from cloakframe.functions.formatting import format_size
 from cloakframe.functions.matching import strip
-from cloakframe.operators.spread import spread_join
+from cloakframe.operators.expected import among, maybe_expected
+from cloakframe.operators.spread import heavy_join
 from cloakframe.sources.scratch import materialized
 
 
@@ -24,35 +25,63 @@ def fingerprint(df: DataFrame, key: Sequence[str], content: str,
     )
 
 
+def _judged(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Status of rows with ``expected``, ``actual``, ``present`` and ``same_size`` (null: no size is expected)."""
+    status = (
+        F.when(~F.coalesce("present", F.lit(False)), "MISSING")
+        .when(~F.coalesce("same_size", F.lit(True)), "MISMATCH")
+        .when(F.col("actual").isNull(), "MISSING")
+        .when(F.col("actual") == F.col("expected"), "MATCH")
+        .otherwise("MISMATCH")
+    )
+    return rows.select(
+        *key, "algorithm", "expected", "actual", status.alias("status"),
+        F.when(status == "MISMATCH", first_difference("actual", "expected")).alias("first_difference"),
+    )
+
+
+def wanted_digests(expected: DataFrame, key: Sequence[str], algorithm: str = "sha256") -> DataFrame:
+    """Key columns, expected (bare, lower case), algorithm, and expected_length where there is a ``length``."""
+    wanted = expected.select(
+        *key, F.lower(strip(F.col("expected"))).alias("expected"),
+        (F.col("length") if "length" in expected.columns else F.lit(None)).cast("bigint").alias("expected_length"))
+    return wanted.withColumn("algorithm", algorithm_of(F.col("expected"), algorithm))
+
+
 def verify(df: DataFrame, key: Sequence[str], content: str, expected: DataFrame,
            algorithm: str = "sha256") -> DataFrame:
     """Check contents against expected digests (key columns and ``expected``, unique keys).
 
     Status is MATCH, MISMATCH (with the first differing position, from 0) or
     MISSING.  Unless an algorithm is asked for, it follows from the length of the
-    expected digest; the digests are computed before the join, so that contents
+    expected digest.  Rows that nobody expects are told by a Bloom filter of the keys and neither
+    hashed nor shuffled; digests are computed before the join, so that contents
     are never shuffled.  Only algorithms that occur are run: their names, four at most, are
-    looked up first.
+    looked up first.  With a column ``length`` in ``expected``, contents of another size (in bytes)
+    are a MISMATCH without a digest.
     """
-    wanted = expected.select(*key, F.lower(strip(F.col("expected"))).alias("expected"))
-    wanted = wanted.withColumn("algorithm", algorithm_of(F.col("expected"), algorithm))
+    wanted = wanted_digests(expected, key, algorithm)
     kinds = [algorithm]
     if algorithm == "sha256":
         asked = {r.algorithm for r in wanted.select("algorithm").distinct().collect()}
         kinds = [k for k in ALGORITHMS if k in asked] or kinds
-    digests = df.select(*key, *[digest(F.col(content), k).alias(k) for k in kinds])
-    joined = wanted.join(digests, list(key), "left")
+    size = F.octet_length(content).cast("bigint")
+    hashed = F.lit(True)
+    if "length" in expected.columns:  # -1: any size
+        sizes = wanted.select(*key, F.coalesce("expected_length", F.lit(-1).cast("bigint")).alias("expected_length"))
+        names = [*key, "expected_length"]
+        hashed = among(sizes, names, [*key, size]) | among(sizes, names, [*key, F.lit(-1).cast("bigint")])
+    found = maybe_expected(df, wanted, key).select(
+        *key, F.lit(True).alias("present"), size.alias("_size"),
+        *[F.when(hashed, digest(F.col(content), k)).alias(k) for k in kinds])
+    joined = wanted.join(found, list(key), "left").withColumn("same_size", F.col("_size") == F.col("expected_length"))
     actual = F.coalesce(*[F.when(F.col("algorithm") == k, F.col(k)) for k in kinds])
-    status = (
-        F.when(F.col("actual").isNull(), "MISSING")
-        .when(F.col("actual") == F.col("expected"), "MATCH")
-        .otherwise("MISMATCH")
-    )
-    return joined.withColumn("actual", actual).select(
-        *key, "algorithm", "expected", "actual", status.alias("status"),
-        F.when(status == "MISMATCH", first_difference("actual", "expected"))
-        .alias("first_difference"),
-    )
+    return _judged(joined.withColumn("actual", F.when(F.coalesce("same_size", F.lit(True)), actual)), key)
+
+
+def verify_digests(found: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Like :func:`verify` for rows that have ``expected``, ``actual``, ``present`` and ``same_size`` already."""
+    return _judged(found, key)
 
 
 def compare(left: DataFrame, right: DataFrame, key: Sequence[str], content: str,
@@ -115,7 +144,7 @@ def identical_members(df: DataFrame, row_id: str, content: str,
     prints = materialized(
         fingerprint(df, [row_id], content, algorithm).drop("algorithm"), "fingerprints"
     )
-    return spread_join(prints, _groups(prints, row_id), ["length", "digest"], "inner").select(
+    return heavy_join(prints, _groups(prints, row_id), ["length", "digest"], "inner").select(
         row_id, "length", "digest", "copies", "first_id"
     )
 

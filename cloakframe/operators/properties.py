@@ -12,20 +12,25 @@ from cloakframe.functions.validators import is_present
 
 
 def os_properties(inventory: DataFrame) -> DataFrame:
-    """Size and time of each file of an inventory as property rows.
+    """Property rows of each file of an inventory: size and time, and what other columns of it tell.
 
-    Access and creation times and permissions are not known to Spark's sources.
+    ``accessed``, ``created``, ``permissions`` and ``error`` (see ``stat_files``) are used where they are; Spark's own
+    sources do not know them.  A property without a value is left out.
     """
-    pairs = F.array(
-        F.struct(F.lit("File Size").alias("key"), format_size("length").alias("value")),
-        F.struct(
-            F.lit("Last Modified").alias("key"),
-            F.date_format("modificationTime", "yyyy-MM-dd HH:mm:ss").alias("value"),
-        ),
-    )
+    def moment(column: str) -> Column:
+        return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
+
+    known = {"File Size": format_size("length"), "Last Modified": moment("modificationTime")}
+    for key, column in (("Last Accessed", "accessed"), ("Created", "created")):
+        if column in inventory.columns:
+            known[key] = moment(column)
+    for key, column in (("Permissions", "permissions"), ("Error", "error")):
+        if column in inventory.columns:
+            known[key] = F.col(column)
+    pairs = F.array(*[F.struct(F.lit(key).alias("key"), value.alias("value")) for key, value in known.items()])
     return inventory.select(
         "path", file_type(F.col("path")).alias("file_type"), F.lit("os").alias("scope"),
-        F.inline(pairs),
+        F.inline(F.filter(pairs, lambda p: p["value"].isNotNull())),
     )
 
 

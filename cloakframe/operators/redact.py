@@ -14,6 +14,12 @@ from cloakframe.operators.detect import explode_lines
 _SHOWN = 40
 
 
+def fill_of(fill: str) -> str:
+    if len(fill) > 1:
+        raise ValueError("fill must be one character or empty")
+    return fill
+
+
 def page_filter(page: Column, pages: Iterable[int] | None) -> Column:
     """Whether a page is selected; numbers that do not exist select nothing."""
     return F.lit(True) if pages is None else page.isin(*sorted(set(pages)))
@@ -50,7 +56,11 @@ def _cut(source: str, regexes: list[tuple[str, str]], fill: str, granularity: st
     """The line without its hits.  Overlapping hits are merged before anything is cut."""
     if granularity == "line":
         return f"repeat({text(fill)}, length({source}))"
-    found = f"array_sort(concat({', '.join(_spans(source, r) for _, r in regexes)}))"
+    return covered(source, f"array_sort(concat({', '.join(_spans(source, r) for _, r in regexes)}))", fill)
+
+
+def covered(source: str, found: str, fill: str) -> str:
+    """SQL text for ``source`` without the sorted spans (s, e) of the array ``found``, which may overlap."""
     ends = running("transform(found, f -> f.e)", "greatest({a}, {x})")
     before = "if(k > 0, ends_so_far[k - 1], 1)"
     piece = (
@@ -73,8 +83,7 @@ def redacted(column: str, terms: Sequence[str] = (), patterns: Sequence[str] = (
     """
     if granularity not in ("match", "line"):
         raise ValueError(f"granularity must be 'match' or 'line', not {granularity!r}")
-    if len(fill) > 1:
-        raise ValueError("fill must be one character or empty")
+    fill_of(fill)
     regexes = _regexes(terms, patterns)
     cut = _cut("line", regexes, fill, granularity)
     lines = (

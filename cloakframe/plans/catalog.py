@@ -13,7 +13,7 @@ from cloakframe.functions.pseudonyms import GENERATORS, pseudonym, seed
 from cloakframe.functions.sqlfuncs import register_sql_functions
 from cloakframe.operators import (
     anonymize as anon, codes, crypto, detect, fingerprint as prints, properties as props,
-    redact as red, sanitize as san, unique_fakes as unique,
+    frames, redact as red, sanitize as san, term_table, unique_fakes as unique,
 )
 from cloakframe.plans import inputs, jobs, oracle
 from cloakframe.sources import files, ranges, tables
@@ -405,6 +405,20 @@ def redact_lines(spark, sf):
     )
 
 
+@query
+def redact_term_table(spark, sf):
+    terms = derive(spark, sf, inputs.TERMS, "benchmark")
+    return term_table.redact_by_table(documents(spark, sf), ["doc_id"], "text", terms, "term")
+
+
+@query
+def term_hits(spark, sf):
+    terms = derive(spark, sf, inputs.TERMS, "benchmark")
+    found = term_table.find_terms(documents(spark, sf), ["doc_id"], "text", terms, "term")
+    return found.groupBy("found").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"),
+                                      F.sum("start").alias("starts"))
+
+
 @query
 def redact_preview(spark, sf):
     talks = table(spark, sf, "conversations")
@@ -663,6 +677,16 @@ def decrypt_tampered(spark, sf):
     return crypto.encryption_stats(plain, "text")
 
 
+@query
+def encrypt_tree(spark, sf):
+    """Every document a file, encrypted in frames, written, decrypted, restored and hashed."""
+    out, back = scratch_folder(spark, "frames"), scratch_folder(spark, "restored")
+    frames.encrypt_files(spark, _named_files(spark, sf), _PASSWORD, chunk=1000).write.parquet(out)
+    status = frames.restore_files(frames.decrypt_frames(spark.read.parquet(out), _PASSWORD), back)
+    return status.join(jobs.manifest(spark, back, True), "rel_path").select(
+        "rel_path", "frames", "size", "status", "digest")
+
+
 @query
 def entropy(spark, sf):
     rows = derive(spark, sf, inputs.POLICIES, "part")
@@ -721,21 +745,71 @@ def _source(file: str) -> Column:
     return F.regexp_extract(file, "source=([^/]+)/", 1).alias("source")
 
 
+def _named_files(spark: SparkSession, sf: str, sql: str = "SELECT doc_id, text FROM documents") -> str:
+    """A tree with a file of its own for each document, named as in ``inputs.FILE_NAMES``."""
+    path = scratch_folder(spark, "tree")
+    named = derive(spark, sf, f"SELECT n.path, t.text FROM ({inputs.FILE_NAMES}) n JOIN ({sql}) t ON n.doc_id = t.doc_id",
+                   "documents")
+    files.write_texts(named, path, "path")
+    return path
+
+
+def _below(root: str) -> Column:
+    return F.substring("path", len(root) + 2, 2**31 - 1)
+
+
 @query
 def file_inventory(spark, sf):
-    found = files.file_inventory(spark, sf, extensions=[".parquet"])
-    return found.select(F.substring_index("path", "/", -1).alias("name"), "length")
+    root = _named_files(spark, sf)
+    return files.file_inventory(spark, root, True, fixed.SCANNABLE_EXTENSIONS, True).select(
+        _below(root).alias("rel_path"), "length")
 
 
 @query
 def os_properties(spark, sf):
-    rows = jobs.file_properties(spark, sf)
-    return rows.select(F.substring_index("path", "/", -1).alias("name"), "file_type", "key", "value")
+    root = _named_files(spark, sf)
+    rows = jobs.file_properties(spark, root, True)
+    known = rows.groupBy("path", "file_type").agg(
+        F.max(F.when(F.col("key") == "File Size", F.col("value"))).alias("size"),
+        F.count_if(F.col("key").isin("Last Modified", "Last Accessed", "Created", "Permissions")).alias("n_others"),
+        F.count_if(F.col("key") == "Error").alias("n_errors"))
+    return known.select(_below(root).alias("rel_path"), "file_type", "size", "n_others", "n_errors")
 
 
 @query
 def file_manifest(spark, sf):
-    return jobs.manifest(spark, sf)
+    return jobs.manifest(spark, _named_files(spark, sf), True)
+
+
+@query
+def compare_files(spark, sf):
+    return jobs.compare_files(spark, _named_files(spark, sf, inputs.LEFT_TEXTS), _named_files(spark, sf, inputs.RIGHT_TEXTS))
+
+
+@query
+def verify_files(spark, sf):
+    expected = derive(spark, sf, inputs.EXPECTED.replace("{sha256}", "sha2(text, 256)"), "documents")
+    named = expected.join(derive(spark, sf, inputs.FILE_NAMES, "documents"), "doc_id").select(
+        F.col("path").alias("rel_path"), "expected")
+    return jobs.verify_files(spark, _named_files(spark, sf, inputs.LEFT_TEXTS), named)
+
+
+@query
+def verify_sizes(spark, sf):
+    """Expected sizes too: contents of another size are a mismatch that is not hashed."""
+    rows = documents(spark, sf)
+    expected = rows.filter("doc_id % 2 = 0").select(
+        "doc_id", F.sha2("text", 256).alias("expected"),
+        (F.octet_length("text") + F.when(F.col("doc_id") % 6 == 0, 1).otherwise(0)).alias("length"))
+    return prints.verify(rows, ["doc_id"], "text", expected)
+
+
+@query
+def identical_files(spark, sf):
+    root = _named_files(spark, sf)
+    found = jobs.identical_files(spark, root, head=64)
+    return found.select(_below(root).alias("rel_path"), "length", "digest", "copies",
+                        F.substring("first_path", len(root) + 2, 2**31 - 1).alias("first_path"))
 
 
 @query

@@ -9,11 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from cloakframe.functions import fixed_values as fixed
 from cloakframe.operators.anonymize import anonymize, infer_column_plan
 from cloakframe.operators.detect import hit_counts, scan_text
+from cloakframe.operators import fingerprint as prints
 from cloakframe.operators.properties import os_properties
 from cloakframe.operators.sanitize import pieces_stats, sanitize_changed, sanitize_pieces, sanitize_stats
+from cloakframe.operators.spread import heavy_join
 from cloakframe.sources import files, ranges, tables
 from cloakframe.sources.scratch import materialized
 
+#: First bytes that tell most files apart.
+_HEAD = 1 << 16
+
 
 def scan_files(spark: SparkSession, path: str | Sequence[str], recursive: bool = False,
                types: Iterable[str] | None = None, range_bytes: int = ranges.RANGE) -> DataFrame:
@@ -98,7 +103,7 @@ def manifest(spark: SparkSession, folder: str, recursive: bool = False,
     found = files.file_inventory(spark, folder, recursive).select("path")
     spread = found.repartition(spark.sparkContext.defaultParallelism, "path")
     # Written before sorting: sampling for the sort would read all files again.
-    digests = materialized(files.digest_files(spread, "path", algorithm), "digests")
+    digests = materialized(files.digest_files(spread, "path", algorithm).drop("bytes_read"), "digests")
     return digests.select(
         _relative(folder).alias("rel_path"), "length", F.lit(algorithm).alias("algorithm"),
         "digest",
@@ -140,7 +145,68 @@ def compare_files(spark: SparkSession, left: str, right: str, recursive: bool =
     return pairs.select("rel_path", "left_length", "right_length", status.alias("status"))
 
 
+def verify_files(spark: SparkSession, folder: str, expected: DataFrame, recursive: bool = True,
+                 algorithm: str = "sha256") -> DataFrame:
+    """Check the files of a folder against expected digests: rel_path, ``expected`` and, if there is one, ``length``.
+
+    One row per expected file, as in :func:`~cloakframe.operators.fingerprint.verify`.  Only expected files
+    of the expected size are read.
+    """
+    found = files.file_inventory(spark, folder, recursive).select(
+        _relative(folder).alias("rel_path"), "path", F.col("length").alias("_size"))
+    wanted = materialized(prints.wanted_digests(expected, ["rel_path"], algorithm).join(found, "rel_path", "left").withColumns({
+        "present": F.col("path").isNotNull(), "same_size": F.col("_size") == F.col("expected_length")}), "expected")
+    read = wanted.filter("present and coalesce(same_size, true)")
+    digests = None
+    for kind in sorted(r.algorithm for r in read.select("algorithm").distinct().collect() if r.algorithm):
+        own = read.filter(F.col("algorithm") == kind).repartition(4 * spark.sparkContext.defaultParallelism, "path")
+        rows = files.digest_files(own, "path", kind).select("path", F.lit(kind).alias("algorithm"), F.col("digest").alias("actual"))
+        digests = rows if digests is None else digests.union(rows)
+    if digests is None:
+        return prints.verify_digests(wanted.withColumn("actual", F.lit(None).cast("string")), ["rel_path"])
+    return prints.verify_digests(wanted.join(digests, ["path", "algorithm"], "left"), ["rel_path"])
+
+
+def verify_manifest(spark: SparkSession, folder: str, manifest_path: str, algorithm: str = "sha256") -> DataFrame:
+    """:func:`verify_files` against a manifest written by :func:`~cloakframe.sources.tables.write_manifest`."""
+    return verify_files(spark, folder, tables.read_manifest(spark, manifest_path).withColumnRenamed("digest", "expected"),
+                        algorithm=algorithm)
+
+
+def identical_files(spark: SparkSession, path: str | Sequence[str], recursive: bool = True,
+                    algorithm: str = "sha256", head: int = _HEAD) -> DataFrame:
+    """Groups of files with the same content: path, length, digest, copies, first_path, bytes_read; a row per member.
+
+    Identity in stages: files of a size of their own are not read, the others by their first ``head`` bytes,
+    and whole ones only where size and head still agree.  The groups are those of hashing all files.
+    """
+    found = materialized(files.file_inventory(spark, path, recursive).select("path", "length"), "inventory")
+    parts = 4 * spark.sparkContext.defaultParallelism
+
+    def tied(rows: DataFrame, on: list[str]) -> DataFrame:
+        several = rows.groupBy(*on).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+        return heavy_join(rows, several, on, "inner")
+
+    same_size = materialized(tied(found, ["length"]).select("path", "length"), "same-size")
+    heads = files.digest_files(same_size.repartition(parts, "path"), "path", algorithm, head).select(
+        "path", F.col("length").isNotNull().alias("whole"), F.col("digest").alias("head"), "bytes_read")
+    headed = materialized(same_size.join(heads, "path"), "heads")
+    same_head = materialized(tied(headed, ["length", "head"]), "same-head")
+    rest = same_head.filter("not whole")
+    full = files.digest_files(rest.repartition(parts, "path"), "path", algorithm).select(
+        "path", F.col("digest").alias("full"), F.col("bytes_read").alias("more"))
+    known = materialized(same_head.join(full, "path", "left").select(
+        "path", "length", F.coalesce("full", "head").alias("digest"),
+        (F.col("bytes_read") + F.coalesce("more", F.lit(0))).alias("bytes_read")), "identity")
+    groups = known.groupBy("length", "digest").agg(
+        F.count("*").alias("copies"), F.min("path").alias("first_path")).filter("copies > 1")
+    return heavy_join(known, groups, ["length", "digest"], "inner").select(
+        "path", "length", "digest", "copies", "first_path", "bytes_read")
+
+
 def file_properties(spark: SparkSession, path: str | Sequence[str],
                     recursive: bool = False) -> DataFrame:
-    """Property rows (scope 'os') of the files of a folder."""
-    return os_properties(files.file_inventory(spark, path, recursive))
+    """Property rows (scope 'os') of the files of a folder: size, times, permissions, or an error."""
+    found = files.file_inventory(spark, path, recursive)
+    stats = files.stat_files(found.repartition(4 * spark.sparkContext.defaultParallelism, "path"))
+    return os_properties(found.join(stats, "path", "left"))

@@ -570,6 +570,46 @@ def oracles() -> dict[str, str]:
                          f"c_name, {fake('email', 'contact')} AS contact, "
                          f"{fake('ip_address', 'host')} AS host FROM ({inputs.PEOPLE})",
     }
+    named = f"SELECT n.path AS rel_path, d.* FROM ({inputs.FILE_NAMES}) n JOIN documents d USING (doc_id)"
+    wanted = ", ".join(q(e) for e in (*fixed.SCANNABLE_EXTENSIONS, ""))
+    found["file_inventory"] = (
+        f"SELECT rel_path, strlen(coalesce(text, ''))::BIGINT AS length FROM ({named}) WHERE {extension('rel_path')} IN ({wanted})")
+    found["os_properties"] = (
+        f"SELECT rel_path, {file_type('rel_path')} AS file_type, {size_text('n')} AS size, 4::BIGINT AS n_others, "
+        f"0::BIGINT AS n_errors FROM (SELECT rel_path, strlen(coalesce(text, ''))::BIGINT AS n FROM ({named}))")
+    found["file_manifest"] = (
+        "SELECT rel_path, strlen(coalesce(text, ''))::BIGINT AS length, 'sha256' AS algorithm, "
+        f"sha256(coalesce(text, '')) AS digest FROM ({named})")
+    found["compare_files"] = (
+        f"SELECT n.path AS rel_path, c.left_length, c.right_length, c.status FROM ({found['compare_texts']}) c "
+        f"JOIN ({inputs.FILE_NAMES}) n USING (doc_id)")
+    found["verify_files"] = (
+        f"SELECT n.path AS rel_path, algorithm, expected, CASE WHEN here THEN actual END AS actual, "
+        "CASE WHEN here THEN status ELSE 'MISSING' END AS status, CASE WHEN here THEN first_difference END AS "
+        f"first_difference FROM (SELECT *, doc_id % 11 <> 0 AS here FROM ({found['verify_digests']})) v "
+        f"JOIN ({inputs.FILE_NAMES}) n USING (doc_id)")
+    found["verify_sizes"] = (
+        "SELECT doc_id, 'sha256' AS algorithm, sha256(text) AS expected, CASE WHEN doc_id % 6 > 0 THEN sha256(text) END AS actual, "
+        "CASE WHEN doc_id % 6 > 0 THEN 'MATCH' ELSE 'MISMATCH' END AS status, NULL::BIGINT AS first_difference "
+        "FROM documents WHERE doc_id % 2 = 0")
+    found["identical_files"] = (
+        "SELECT * FROM (SELECT rel_path, strlen(text)::BIGINT AS length, sha256(text) AS digest, (count(*) OVER same)::BIGINT AS copies, "
+        f"min(rel_path) OVER same AS first_path FROM ({named}) WINDOW same AS (PARTITION BY sha256(text))) WHERE copies > 1")
+    terms = inputs.TERMS.replace("explode(split(text, ' '))", "unnest(string_split(text, ' '))")
+    windows = (
+        "SELECT doc_id, i AS s, i + k AS e, lower(substr(text, i, k)) AS found FROM (SELECT doc_id, text, k, "
+        "unnest(range(1, length(text) - k + 2)) AS i FROM documents CROSS JOIN (SELECT unnest([5, 7]) AS k))")
+    hits = f"SELECT w.* FROM ({windows}) w JOIN ({terms}) t ON w.found = t.term"
+    found["term_hits"] = (
+        f"SELECT found, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS n_docs, sum(s)::BIGINT AS starts FROM ({hits}) GROUP BY found")
+    found["redact_term_table"] = (
+        f"SELECT d.doc_id, CASE WHEN h.p IS NULL THEN text ELSE (SELECT string_agg(CASE WHEN list_contains(h.p, x.i) THEN '█' ELSE "
+        "substr(d.text, x.i, 1) END, '' ORDER BY x.i) FROM (SELECT unnest(range(1, length(d.text) + 1)) AS i) x) END AS text "
+        f"FROM documents d LEFT JOIN (SELECT doc_id, list(DISTINCT i) AS p FROM (SELECT doc_id, unnest(range(s, e)) AS i FROM ({hits})) "
+        "GROUP BY doc_id) h USING (doc_id)")
+    found["encrypt_tree"] = (
+        "SELECT rel_path, greatest((strlen(text) + 999) // 1000, 1)::BIGINT AS frames, strlen(text)::BIGINT AS size, 'OK' AS status, "
+        f"sha256(text) AS digest FROM ({named})")
     found["unique_fakes"] = " UNION ALL ".join(
         f"SELECT {q(c)} AS \"column\", count({c})::BIGINT AS n_values, count(DISTINCT {c})::BIGINT AS n_different, "
         f"count(DISTINCT {c})::BIGINT AS n_fakes, true AS consistent, 0::BIGINT AS n_unchanged FROM ({inputs.PEOPLE})"

@@ -140,11 +140,13 @@ def read_log_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
 
 
-def digest_files(paths: DataFrame, path: str = "path", algorithm: str = "sha256") -> DataFrame:
-    """path, length and digest of files of any size, read block by block.
+def digest_files(paths: DataFrame, path: str = "path", algorithm: str = "sha256",
+                 head: int | None = None) -> DataFrame:
+    """path, length and digest of files of any size, read block by block, and bytes_read.
 
     For a chosen set of files, such as same-size pairs, where reading whole
-    contents into rows would be too much.  Paths are spread over the executors.
+    contents into rows would be too much.  Paths are spread over the executors.  With ``head`` only that
+    many first bytes are read; ``length`` is then null unless they are the whole file.
     """
 
     resolve, block_size = file_system_of(), _BLOCK
@@ -154,13 +156,72 @@ def digest_files(paths: DataFrame, path: str = "path", algorithm: str = "sha256"
             rows = []
             for place in frame[path]:
                 system, where = resolve(place)
-                state, size = hashlib.new(algorithm), 0
+                state, size, whole = hashlib.new(algorithm), 0, False
                 with system.open_input_stream(where, compression=None) as stream:
-                    while block := stream.read(block_size):
+                    while head is None or size < head:
+                        block = stream.read(block_size if head is None else min(block_size, head - size))
+                        if not block:
+                            whole = True
+                            break
                         state.update(block)
                         size += len(block)
-                rows.append((place, size, state.hexdigest()))
-            yield pd.DataFrame(rows, columns=["path", "length", "digest"])
+                rows.append((place, size if whole else None, state.hexdigest(), size))
+            yield pd.DataFrame(rows, columns=["path", "length", "digest", "bytes_read"]).astype({"length": "Int64"})
 
     hashlib.new(algorithm)
-    return paths.select(path).mapInPandas(run, "path string, length bigint, digest string")
+    return paths.select(path).mapInPandas(run, "path string, length bigint, digest string, bytes_read bigint")
+
+
+def stat_files(paths: DataFrame, path: str = "path") -> DataFrame:
+    """path, accessed, created, permissions and error of files, from the executors' view.
+
+    Times and permissions are known for local and mounted file systems only, else null; a file that cannot
+    be looked at has its error instead.
+    """
+    resolve = file_system_of()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for frame in frames:
+            rows = []
+            for place in frame[path]:
+                accessed = created = permissions = error = None
+                try:
+                    system, where = resolve(place)
+                    if isinstance(system, fs.LocalFileSystem):
+                        found = os.stat(where)
+                        accessed, created = (pd.Timestamp(t, unit="s", tz="UTC") for t in (found.st_atime, found.st_ctime))
+                        permissions = oct(found.st_mode)[-3:]
+                    elif system.get_file_info(where).type == fs.FileType.NotFound:
+                        error = "not found"
+                except OSError as problem:
+                    error = problem.strerror or str(problem)
+                rows.append((place, accessed, created, permissions, error))
+            yield pd.DataFrame(rows, columns=["path", "accessed", "created", "permissions", "error"]).astype(
+                {"accessed": "datetime64[us, UTC]", "created": "datetime64[us, UTC]"})
+
+    return paths.select(path).mapInPandas(
+        run, "path string, accessed timestamp, created timestamp, permissions string, error string")
+
+
+def write_texts(df: DataFrame, folder: str, name: str = "name", text: str = "text") -> int:
+    """Write each row's text, as UTF-8, to the file of its name below ``folder``; the number of files.
+
+    Names may have folders in them and must differ.  Executors write; a task that runs again writes
+    the same files anew.  A null text is an empty file.
+    """
+    resolve = file_system_of()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = resolve(folder)
+        for frame in frames:
+            for place, body in zip(frame["name"], frame["text"]):
+                where = f"{root.rstrip('/')}/{place}"
+                system.create_dir(where.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(where, compression=None) as out:
+                    out.write((body or "").encode("utf-8", "surrogatepass"))
+            yield pd.DataFrame({"files": [len(frame)]})
+
+    rows = df.select(F.col(name).alias("name"), F.col(text).alias("text"))
+    return rows.mapInPandas(run, "files bigint").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import secrets
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from cloakframe.functions.keyed import under_key
+from cloakframe.functions.matching import name
 
 
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
@@ -30,3 +35,16 @@ def materialized(df: DataFrame, purpose: str) -> DataFrame:
     path = scratch_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sealed(df: DataFrame, purpose: str, columns: Sequence[str]) -> DataFrame:
+    """Like :func:`materialized`, with the string ``columns`` encrypted as they lie there.
+
+    The key is random, known to this session only and in no plan; the folder holds no readable
+    value of the columns.
+    """
+    key = secrets.token_hex(16)
+    closed = under_key(df, key, lambda rows, k: rows.withColumns(
+        {c: F.expr(f"aes_encrypt({name(c)}, {k})") for c in columns}))
+    return under_key(materialized(closed, purpose), key, lambda rows, k: rows.withColumns(
+        {c: F.expr(f"cast(aes_decrypt({name(c)}, {k}) as string)") for c in columns}))

@@ -182,3 +182,15 @@ def test_null_and_empty_texts(spark):
     df = spark.createDataFrame([(1, None), (2, "")], "id bigint, text string")
     assert detect.scan_text(df, "text").count() == 0
     assert detect.scan_summary(df, "text").first().total_findings == 0
+
+
+def test_report_leaves_no_address_in_scratch(spark, tmp_path, monkeypatch):
+    from cloakframe.sources import scratch
+
+    monkeypatch.setattr(scratch, "scratch_folder", lambda spark, purpose: str(tmp_path / purpose))
+    df = spark.createDataFrame([("f", "host 10.11.12.13 up"), ("g", "mail jo@b.co")], "file string, text string")
+    rows = detect.findings_report(detect.scan_text(df, "text"), "file").collect()
+    assert [(r.file, r.value_masked) for r in rows] == [("f", "10.11.12.13"), ("g", "j***@b.co")]
+    stored = spark.read.parquet(str(tmp_path / "findings"))
+    assert stored.count() == 2 and not any(b"10.11.12" in bytes(r.value_masked) for r in stored.collect())
+    assert not any(b"10.11.12" in p.read_bytes() for p in tmp_path.rglob("*") if p.is_file())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cloakframe.functions.digests import digest
 from cloakframe.functions.formatting import format_size
 from cloakframe.operators import fingerprint as prints
+from cloakframe.operators.expected import maybe_expected
 from cloakframe.operators.spread import spread_join
 from cloakframe.plans import jobs
 from cloakframe.sources import files, tables
@@ -152,3 +153,76 @@ def test_block_by_block_digest(spark, tmp_path):
     found = files.file_inventory(spark, str(tmp_path))
     row = files.digest_files(found, algorithm="sha1").first()
     assert (row.length, row.digest) == (len(content), hashlib.sha1(content).hexdigest())
+
+
+def test_verify_hashes_only_expected_rows_of_the_expected_size(spark):
+    """Hashing is counted: a content that must not be hashed would stop the job."""
+    rows = [(i, f"text {i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    wanted = [(i, hashlib.sha256(f"text {i}".encode()).hexdigest() if i % 2 else "0" * 64) for i in range(0, 2000, 97)]
+    expected = spark.createDataFrame([*wanted, (9999, "0" * 64)], "id bigint, expected string")
+    got = {r.id: r for r in prints.verify(df, ["id"], "text", expected).collect()}
+    assert {k: r.status for k, r in got.items()} == {k: "MATCH" if k % 2 else "MISMATCH" for k, _ in wanted} | {9999: "MISSING"}
+    assert got[0].first_difference is not None and got[97].first_difference is None
+    passed = maybe_expected(df, expected, ["id"]).count()
+    assert len(wanted) <= passed <= len(wanted) + 5
+    plan = prints.verify(df, ["id"], "text", expected)._jdf.queryExecution().optimizedPlan().toString()
+    assert "getbit" in plan or "bit_get" in plan
+    sized = spark.createDataFrame([(k, e, len(f"text {k}") + (k % 3 == 0)) for k, e in wanted], "id bigint, expected string, length int")
+    for r in prints.verify(df, ["id"], "text", sized).collect():
+        if r.id % 3 == 0:
+            assert (r.status, r.actual, r.first_difference) == ("MISMATCH", None, None)
+        else:
+            assert r.status == ("MATCH" if r.id % 2 else "MISMATCH") and r.actual
+    assert maybe_expected(df, expected.limit(0), ["id"]).count() == 0
+    assert prints.verify(df.limit(0), ["id"], "text", expected).filter("status != 'MISSING'").count() == 0
+
+
+def test_verify_files_by_manifest(spark, tmp_path):
+    contents = {"a.txt": b"one", "d/b.txt": b"two", "d/c.txt": b"", "big": b"x" * 300_000}
+    for name, content in contents.items():
+        _write(tmp_path / "tree" / name, content)
+    folder, out = str(tmp_path / "tree"), str(tmp_path / "manifest")
+    tables.write_manifest(jobs.manifest(spark, folder, True), out, directory=folder)
+    assert {r.rel_path: r.status for r in jobs.verify_manifest(spark, folder, out).collect()} == dict.fromkeys(contents, "MATCH")
+    _write(tmp_path / "tree/a.txt", b"onE")
+    (tmp_path / "tree/d/b.txt").unlink()
+    _write(tmp_path / "tree/new", b"nobody expects")
+    rows = {r.rel_path: r for r in jobs.verify_manifest(spark, folder, out).collect()}
+    assert {k: r.status for k, r in rows.items()} == {"a.txt": "MISMATCH", "d/b.txt": "MISSING", "d/c.txt": "MATCH", "big": "MATCH"}
+    sized = spark.createDataFrame([("big", "0" * 64, 5), ("d/c.txt", hashlib.md5(b"").hexdigest(), 0), ("a.txt", "zz", 3)],
+                                  "rel_path string, expected string, length bigint")
+    rows = {r.rel_path: r for r in jobs.verify_files(spark, folder, sized).collect()}
+    assert (rows["big"].status, rows["big"].actual) == ("MISMATCH", None)  # another size: not read
+    assert (rows["d/c.txt"].status, rows["d/c.txt"].algorithm) == ("MATCH", "md5")
+
+
+def test_identity_in_stages_reads_little(spark, tmp_path):
+    big = b"h" * 5000
+    contents = {"one": b"1", "two": b"22", "p": big + b"same", "q": big + b"same", "r": big + b"else", "s": b"x" + big + b"sam",
+                "e1": b"", "e2": b"", "sub/k": b"tiny", "sub/l": b"tiny", "sub/m": b"Tiny"}
+    for name, content in contents.items():
+        _write(tmp_path / name, content)
+    got = jobs.identical_files(spark, str(tmp_path), head=1000).collect()
+    groups = {}
+    for r in got:
+        assert r.digest == hashlib.sha256(contents[r.path.split(f"{tmp_path}/")[1]]).hexdigest()
+        groups.setdefault((r.digest, r.copies, r.first_path.split(f"{tmp_path}/")[1]), set()).add(r.path.split(f"{tmp_path}/")[1])
+    assert sorted(map(sorted, groups.values())) == [["e1", "e2"], ["p", "q"], ["sub/k", "sub/l"]]
+    assert {k[1:] for k in groups} == {(2, "e1"), (2, "p"), (2, "sub/k")}
+    # p and q: head and whole; r: the same head, so whole too but in no group; s: head only
+    assert {r.bytes_read for r in got} == {0, 4, 1000 + 5004}
+    heads = files.digest_files(files.file_inventory(spark, str(tmp_path)), head=1000).collect()
+    assert {r.path.split("/")[-1]: (r.length, r.bytes_read) for r in heads if r.path.split("/")[-1] in ("s", "two")} == {
+        "s": (None, 1000), "two": (2, 2)}
+
+
+def test_stats_and_errors(spark, tmp_path):
+    _write(tmp_path / "f.txt", b"abc")
+    (tmp_path / "f.txt").chmod(0o640)
+    paths = spark.createDataFrame([(str(tmp_path / "f.txt"),), (str(tmp_path / "gone"),)], "path string")
+    rows = {r.path.split("/")[-1]: r for r in files.stat_files(paths).collect()}
+    assert rows["f.txt"].permissions == "640" and rows["f.txt"].accessed and rows["f.txt"].error is None
+    assert rows["gone"].error == "No such file or directory" and rows["gone"].accessed is None
+    props = jobs.file_properties(spark, str(tmp_path)).collect()
+    assert {r.key for r in props} == {"File Size", "Last Modified", "Last Accessed", "Created", "Permissions"}
