@@ -164,20 +164,31 @@ def _sequences(batch: pa.RecordBatch, known: dict) -> Iterator[tuple[str, _Seque
         yield lang, _Sequence(lang, texts[own].tolist(), first[own], n[own], known)
 
 
-def _summed(hashes: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _summed(every: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different hashes, ascending, with their sums; none of them is 0."""
-    every, weight = np.concatenate(hashes), np.concatenate(weights)
     order = np.argsort(every)
     every, weight = every[order], weight[order]
     begins = np.flatnonzero(np.diff(every, prepend=np.uint64(0)))
     return every[begins], np.add.reduceat(weight, begins) if len(begins) else weight
 
 
+def _counted(every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for hashes that count once each, which need no order of their weights."""
+    every = np.sort(every)
+    begins = np.flatnonzero(np.diff(every, prepend=np.uint64(0)))
+    return every[begins], np.diff(begins, append=len(every))
+
+
 def _hashes(bits: int, lower: np.ndarray | None):
     """Blocks of counted hashes by their first ``bits``: words and pairs, or with ``lower``, the filter
     of frequent pairs, triples of frequent pairs."""
-    def block(hashes: list[np.ndarray], weights: list[np.ndarray]) -> pa.RecordBatch:
-        every, weight = _summed(hashes, weights)
+    def blocks(hashes: list[np.ndarray], weights: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        every, weight = np.concatenate(hashes), np.concatenate(weights)
+        once = weight == 1
+        yield block(*_counted(every[once]))
+        yield block(*_summed(every[~once], weight[~once]))
+
+    def block(every: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
         bucket = (every >> np.uint64(64 - bits)).astype(np.int64)
         begins = np.flatnonzero(np.diff(bucket, prepend=-1))
         ends = np.append(begins[1:], len(bucket))
@@ -202,17 +213,17 @@ def _hashes(bits: int, lower: np.ndarray | None):
                     weights.append(own.weight[counts])
                     held += len(hashes[-1])
             if held >= _HASHED:
-                yield block(hashes, weights)
+                yield from blocks(hashes, weights)
                 hashes, weights, held = hashes[:1], weights[:1], 0
-        yield block(hashes, weights)
+        yield from blocks(hashes, weights)
 
     return run
 
 
 def _frequent(least: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        every, total = _summed([np.frombuffer(x, np.uint64) for x in group["hashes"]],
-                               [np.frombuffer(x, np.int64) for x in group["counts"]])
+        every, total = _summed(np.concatenate([np.frombuffer(x, np.uint64) for x in group["hashes"]]),
+                               np.concatenate([np.frombuffer(x, np.int64) for x in group["counts"]]))
         return pd.DataFrame({"hash": every[total >= least].view(np.int64)})
 
     return run
@@ -271,7 +282,12 @@ def _may_be_frequent(hashes: np.ndarray, filter_bits: np.ndarray) -> np.ndarray:
 
 def _numbers(tokens: list[bytes], own: np.ndarray) -> np.ndarray:
     """A number for each different token; equal hashes of different tokens are noticed."""
-    _, first, numbers = np.unique(own, return_index=True, return_inverse=True)
+    order = np.argsort(own)
+    begins = np.diff(own[order], prepend=np.uint64(0)) != 0
+    begins[:1] = True
+    numbers = np.empty(len(own), np.int64)
+    numbers[order] = np.cumsum(begins) - 1
+    first = order[begins]
     same = map(eq, tokens, map(tokens.__getitem__, first[numbers].tolist()))
     if all(same):
         return numbers
@@ -291,11 +307,12 @@ def _texts(tokens: list[bytes], own: np.ndarray, weight: np.ndarray,
         codes = numbers[at]
         for back in range(1, length + 1):
             codes = numbers[at - back] * base ** back + codes
-        _, first, inverse = np.unique(codes, return_index=True, return_inverse=True)
-        total = np.zeros(len(first), np.int64)
-        np.add.at(total, inverse, weight[at])
-        phrases += [b" ".join(tokens[i - length:i + 1]) for i in at[first].tolist()]
-        sums += total.tolist()
+        order = np.argsort(codes)
+        ordered = codes[order]
+        begins = np.append(np.flatnonzero(ordered[:1] == ordered[:1]), np.flatnonzero(ordered[1:] != ordered[:-1]) + 1)
+        if len(begins):
+            phrases += [b" ".join(tokens[i - length:i + 1]) for i in at[order[begins]].tolist()]
+            sums += np.add.reduceat(weight[at[order]], begins).tolist()
     return phrases, sums
 
 
