@@ -37,7 +37,7 @@ TOP = 2000
 _LONGEST = 3
 _OVERLAP = _LONGEST - 1
 #: One word in so many ends a chunk.
-TRIGGER = 16
+TRIGGER = 32
 #: Bits of the filter of frequent pairs: 16 for each of them, at least and at most so many.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
 #: Different chunks or phrases, and hashes, that a task counts before it passes them on.
