@@ -150,9 +150,12 @@ def identical_members(df: DataFrame, row_id: str, content: str,
 
 
 def manifest_rows(df: DataFrame, path: str, content: str, algorithm: str = "sha256") -> DataFrame:
-    """rel_path, length, algorithm and digest, ordered by path."""
-    return fingerprint(df.withColumnRenamed(path, "rel_path"), ["rel_path"], content,
-                       algorithm).orderBy("rel_path")
+    """rel_path, length, algorithm and digest, ordered by path.
+
+    Contents are hashed once and the fingerprints written: sampling for the sort would hash them again.
+    """
+    rows = fingerprint(df.withColumnRenamed(path, "rel_path"), ["rel_path"], content, algorithm)
+    return materialized(rows, "fingerprints").orderBy("rel_path")
 
 
 def inventory_summary(inventory: DataFrame, length: str = "length") -> DataFrame:

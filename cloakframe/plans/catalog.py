@@ -486,9 +486,7 @@ def identical_members(spark, sf):
 
 @query
 def manifest(spark, sf):
-    named = derive(spark, sf, inputs.FILE_NAMES, "documents").join(
-        documents(spark, sf), "doc_id"
-    )
+    named = derive(spark, sf, inputs.FILE_NAMES.replace("SELECT doc_id,", "SELECT doc_id, text,", 1), "documents")
     return prints.manifest_rows(named, "path", "text")
 
 

@@ -133,5 +133,5 @@ FROM (SELECT *, {sha256} AS sha256_hex FROM documents) d"""
 # Words of five and seven letters that do not overlap themselves.
 TERMS = """
 SELECT DISTINCT term FROM (SELECT lower(word) AS term FROM (SELECT explode(split(text, ' ')) AS word FROM benchmark) w)
-WHERE length(term) IN (5, 7) AND left(term, 1) <> right(term, 1) AND left(term, 2) <> right(term, 2)
+WHERE length(term) IN (5, 7) AND instr(term, chr(10)) = 0 AND left(term, 1) <> right(term, 1) AND left(term, 2) <> right(term, 2)
   AND left(term, 3) <> right(term, 3)"""
