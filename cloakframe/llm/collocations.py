@@ -41,10 +41,10 @@ TRIGGER = 32
 #: Bits of the filter of frequent pairs: 16 for each of them, at least and at most so many.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
 #: Different chunks or phrases, and hashes, that a task counts before it passes them on.
-_COUNTED = 300_000
-_HASHED = 3_000_000
+_COUNTED = 120_000
+_HASHED = 2_000_000
 #: Words and breaks that are counted as text at once.
-_TOKENS = 1_500_000
+_TOKENS = 1_000_000
 #: Hashes, on average, that one task puts together from all others.
 _MERGED = 1_000_000
 _BREAK = b"\xff"  # never part of UTF-8

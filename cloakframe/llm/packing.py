@@ -90,7 +90,7 @@ class _Encoder:
 
     LONGEST = 64  # characters of a run that is kept
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallel part
         from tokenizers import Tokenizer
 
@@ -115,7 +115,7 @@ class _Encoder:
 
 #: New runs that are encoded at once, and characters of texts that are looked up together.
 _ENCODED = 20_000
-_BLOCK = 3_000_000
+_BLOCK = 2_000_000
 
 
 def _blocks(texts: list[str]) -> Iterator[list[str]]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cloakframe.sources.scratch import materialized
@@ -71,6 +74,8 @@ def in_process(purpose: str, mark, make):
     """
     if _in_process.get(purpose, (None,))[0] != mark or purpose not in _in_process:
         _in_process.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _in_process[purpose] = mark, make()
     return _in_process[purpose][1]
 

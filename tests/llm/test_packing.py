@@ -68,7 +68,7 @@ def test_encoder_without_room(tokenizer):
         assert encoder.ids(texts[at:at + 10]) == [
             np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[at:at + 10]]
     assert len(encoder._known) <= 5 and all(len(r) <= 64 for r in encoder._known)
-    assert [len(b) for b in _blocks(["a" * 3_000_001, "b", "c" * 2_999_999, "d", ""])] == [1, 2, 2]
+    assert [len(b) for b in _blocks(["a" * 2_000_001, "b", "c" * 1_999_999, "d", ""])] == [1, 2, 2]
     assert list(_blocks([])) == []
 
 
