@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 
 import pyarrow as pa
@@ -63,6 +64,15 @@ class Kept(dict):
         return value
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, so that a worker does not keep the peaks of all stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only in some C libraries
+    if trim:
+        trim(0)
+
+
 _in_process: dict = {}
 
 
@@ -74,8 +84,7 @@ def in_process(purpose: str, mark, make):
     """
     if _in_process.get(purpose, (None,))[0] != mark or purpose not in _in_process:
         _in_process.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        _give_back()
         _in_process[purpose] = mark, make()
     return _in_process[purpose][1]
 
