@@ -269,13 +269,14 @@ def sanitize_changed(spark, sf):
 @query
 def sanitize_stream(spark, sf):
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    stream = streams.table_stream(spark, sf, schema, "documents.parquet").select("doc_id", "text")
+    # The braces make it a pattern: a stream takes a single file by pattern only, a folder of files either way.
+    stream = streams.table_stream(spark, f"{sf}/{{documents.parquet}}", schema, "*").select("doc_id", "text")
     stream = stream.repartition(spark.sparkContext.defaultParallelism)  # one small file
     path = scratch_folder(spark, "stream")
     streams.run_available(
         streams.sanitize_stream(stream, "text", "all"), path, path + "-checkpoint"
     )
-    return spark.read.parquet(path)
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 @query

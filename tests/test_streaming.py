@@ -1,4 +1,5 @@
 from cloakframe.operators import anonymize as anon, detect, sanitize as san
+from cloakframe.plans import catalog
 from cloakframe.streaming import streams
 
 
@@ -32,3 +33,18 @@ def test_log_stream_goes_on(spark, tmp_path):
     (logs / "b.log").write_text("ip 10.0.0.1\nclean\n")
     rows = [r.value for r in _run(spark, stream, tmp_path).collect()]
     assert len(rows) == 3 and len(set(rows)) == 2 and "10.0.0.1" not in "".join(rows)
+
+
+def test_stream_query_reads_a_folder_of_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "ip 10.0.0.1\nplain"), (2, None), (3, "")], "doc_id long, text string")
+    for name, parts in (("one", 1), ("several", 3)):
+        rows.repartition(parts).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    rows.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    part = next((tmp_path / "one" / "documents.parquet").glob("part-*"))
+    (tmp_path / "file").mkdir()
+    (tmp_path / "file" / "documents.parquet").write_bytes(part.read_bytes())
+    want = san.sanitize(rows, "text", "all")
+    for name in ("one", "several", "file"):
+        got = catalog.sanitize_stream(spark, f"{tmp_path}/{name}")
+        assert got.count() == 3 and got.exceptAll(want).count() == 0
+    assert catalog.sanitize_stream(spark, f"{tmp_path}/none").columns == ["doc_id", "text"]
