@@ -11,9 +11,10 @@ from cloakframe.functions.validators import is_present
 def format_size(size: str) -> Column:
     """``12.3 KB``: one decimal, base 1024, exact halves rounded to even.
 
-    Whole-number arithmetic, as formatting a double rounds halves up.
+    Whole-number arithmetic, as formatting a double rounds halves up.  Sizes may be decimals beyond 64 bits
+    (30 digits).
     """
-    tenths = f"(cast({size} as decimal(25,0)) * 10)"
+    tenths = f"(cast({size} as decimal(36,0)) * 10)"
 
     def shown(power: int) -> str:
         unit = 1024**power

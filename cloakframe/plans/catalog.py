@@ -500,10 +500,8 @@ def manifest_round_trip(spark, sf):
 
 @query
 def format_sizes(spark, sf):
-    sizes = table(spark, sf, "orders").select(
-        "o_orderkey", (F.col("o_orderkey") * F.col("o_orderkey") * F.col("o_custkey") * 64)
-        .alias("size"),
-    )
+    wide = F.col("o_orderkey").cast("decimal(20,0)")  # the product of large keys passes 64 bits
+    sizes = table(spark, sf, "orders").select("o_orderkey", (wide * wide * F.col("o_custkey") * 64).alias("size"))
     return sizes.select("o_orderkey", formatting.format_size("size").alias("size_text"))
 
 

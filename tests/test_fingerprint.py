@@ -9,7 +9,7 @@ from cloakframe.functions.formatting import format_size
 from cloakframe.operators import fingerprint as prints
 from cloakframe.operators.expected import maybe_expected
 from cloakframe.operators.spread import spread_join
-from cloakframe.plans import jobs
+from cloakframe.plans import catalog, jobs
 from cloakframe.sources import files, tables
 
 
@@ -112,6 +112,17 @@ def test_format_size(spark):
         assert row.s == _python_size(row.n)
 
 
+def test_format_sizes_beyond_64_bits(spark, tmp_path):
+    keys = [(1, 2), (9_000_000, 900_000), (10**9, 10**8), (-5, 3), (None, 1), (7, None)]
+    spark.createDataFrame(keys, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r.size_text for r in catalog.format_sizes(spark, str(tmp_path)).collect()}
+    for key, customer in keys[:3]:
+        tenths, rest = divmod(key * key * customer * 640, 1024**4)
+        tenths += rest * 2 > 1024**4 or (rest * 2 == 1024**4 and tenths % 2)
+        assert got[key] == (f"{tenths // 10}.{tenths % 10} TB" if key > 1 else "128.0 B")
+    assert got[-5] and got[None] is None and got[7] is None
+
+
 def _write(path, content):
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_bytes(content)
