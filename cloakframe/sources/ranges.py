@@ -43,9 +43,9 @@ def byte_ranges(inventory: DataFrame, size: int = RANGE) -> DataFrame:
 
 
 def dealt(ranges: DataFrame, size: int) -> DataFrame:
-    """The stored ranges over as many tasks as their bytes ask for."""
+    """The stored ranges over as many tasks as their bytes ask for, small ranges many to a task."""
     total, count = ranges.agg(F.sum(F.col("end") - F.col("begin")), F.count("*")).first()
-    tasks = max(ranges.sparkSession.sparkContext.defaultParallelism, -(-(total or 0) // size))
+    tasks = max(ranges.sparkSession.sparkContext.defaultParallelism, -(-(total or 0) // max(size, RANGE)))
     return ranges.repartition(max(1, min(count, tasks)), "path", "begin")
 
 

@@ -113,6 +113,19 @@ def test_several_tasks_per_file(spark, tmp_path):
     assert parts > 4 and ranges.read_text_pieces(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_small_ranges_share_tasks(spark):
+    cores = spark.sparkContext.defaultParallelism
+
+    def tasks(count, size, asked):
+        rows = spark.range(count).selectExpr("'f' AS path", f"id * {size} AS begin", f"(id + 1) * {size} AS `end`")
+        return ranges.dealt(rows, asked).rdd.getNumPartitions()
+
+    assert tasks(5000, 1 << 16, 1 << 16) == max(cores, 5)  # 5000 tasks would cost more than their work
+    assert tasks(20 * cores, ranges.RANGE, 1 << 16) == 20 * cores  # large files still ask for more tasks
+    assert tasks(3, 10, 10) == min(3, cores)
+
+
+
 def test_file_beyond_two_gigabytes(spark, tmp_path):
     """A sparse file of 3 GB: lines behind 2 GB are found with their numbers."""
     path = tmp_path / "huge.log"
