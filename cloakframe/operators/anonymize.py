@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import warnings
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -128,24 +129,23 @@ def anonymize_preview(df: DataFrame, plan: Plan, order_by: Sequence[str], n: int
                       key: str = "") -> DataFrame:
     """First ``n`` values per planned column and their fakes: column, pii_type, rank, ..."""
     plan = _present_columns(df, plan)
+    order = [f"_order{i}" for i in range(len(order_by))]
+
+    def first(rows: DataFrame, k: str, column: str, kind: str) -> DataFrame:
+        """A task keeps ``n`` rows and sorts no others; fakes are made for these only."""
+        top = rows.filter(F.col(column).isNotNull()).select(
+            *[F.col(c).alias(at) for c, at in zip(order_by, order, strict=True)], column, *([k] if k else [])
+        ).orderBy(*order).limit(n)
+        return top.select(
+            *order, *([k] if k else []), F.lit(column).alias("column"), F.lit(kind).alias("pii_type"),
+            F.col(column).cast("string").alias("original"), pseudonym(column, kind, k).cast("string").alias("fake"))
 
     def pairs(rows: DataFrame, k: str) -> DataFrame:
-        return rows.select(*order_by, *([k] if k else []), F.inline(F.array(*[
-            F.struct(
-                F.lit(c).alias("column"), F.lit(kind).alias("pii_type"),
-                F.col(c).cast("string").alias("original"), pseudonym(c, kind, k).alias("fake"),
-            )
-            for c, kind in plan.items()
-        ])))
-
-    first = Window.partitionBy("column").orderBy(*order_by)
-    return (
-        under_key(df, key, pairs)
-        .filter(F.col("original").isNotNull())
-        .withColumn("rank", F.row_number().over(first))
-        .filter(F.col("rank") <= n)
-        .select("column", "pii_type", "rank", "original", "fake")
-    )
+        return reduce(DataFrame.unionByName, [first(rows, k, c, kind) for c, kind in plan.items()])
+
+    return under_key(df, key, pairs).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("column").orderBy(*order))
+    ).select("column", "pii_type", "rank", "original", "fake")
 
 
 def anonymize_stats(df: DataFrame, plan: Plan) -> DataFrame:

@@ -122,6 +122,20 @@ def test_preview_and_stats(spark):
     assert tuple(stats) == (9, 2, 17)
 
 
+def test_preview_sorts_no_whole_column(spark):
+    df = spark.range(1000).selectExpr("cast(999 - id as int) AS id", "if(id % 2 = 0, null, concat('n', id)) AS name")
+    plan = {"name": "name", "id": "company"}
+    for key in ("", "secret"):
+        seen = anon.anonymize_preview(df, plan, ["id"], 2, key)
+        known = [(r.column, r.pii_type, r.rank, r.original) for r in seen.collect()]
+        assert sorted(known) == [("id", "company", 1, "0"), ("id", "company", 2, "1"),
+                                 ("name", "name", 1, "n999"), ("name", "name", 2, "n997")]
+        assert {r.fake for r in seen.filter("column = 'name'").collect()} == {
+            r.name for r in anon.anonymize(df.filter("id < 3 and name is not null"), {"name": "name"}, key).collect()}
+        plan_text = seen._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrderedAndProject" in plan_text and "WindowGroupLimit" not in plan_text
+
+
 def test_new_generator(spark):
     register_generator("color", lambda s: f"array('red', 'blue')[cast({s[0]} % 2 as int)]")
     try:
