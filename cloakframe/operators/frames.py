@@ -115,15 +115,15 @@ def _restored(folder: str):
         system, root = resolve(folder)
         stream, name, files = None, None, 0
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["rel_path"] != name:
+            for place, content in zip(batch.column("rel_path"), batch.column("content")):  # one frame at a time
+                if place.as_py() != name:
                     if stream:
                         stream.close()
-                    name, files = row["rel_path"], files + 1
+                    name, files = place.as_py(), files + 1
                     where = f"{root.rstrip('/')}/{name}"
                     system.create_dir(where.rpartition("/")[0], recursive=True)
                     stream = system.open_output_stream(where, compression=None)
-                stream.write(row["content"])
+                stream.write(content.as_py())
         if stream:
             stream.close()
         yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})

@@ -15,6 +15,8 @@ from cloakframe.functions.formatting import extension
 from cloakframe.sources.scratch import materialized
 
 _BLOCK = 1 << 20
+#: Entries of a folder that make one batch.
+_ROWS = 4096
 
 
 def file_system_of() -> Callable[[str], tuple]:
@@ -46,14 +48,14 @@ def has_extension(path: Column, extensions: Iterable[str], allow_no_suffix: bool
 
 def _listed(places: DataFrame) -> DataFrame:
     """Files among the places and entries of the directories among them."""
-    resolve = file_system_of()
+    resolve, columns = file_system_of(), ["path", "length", "modificationTime", "is_dir"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
         for frame in frames:
-            rows = []
             for place in frame["path"]:
+                rows = []
                 system, where = resolve(place)
                 found = system.get_file_info(where)
                 if found.type == fs.FileType.Directory:
@@ -68,7 +70,11 @@ def _listed(places: DataFrame) -> DataFrame:
                     if e.type != fs.FileType.NotFound:
                         is_dir = e.type == fs.FileType.Directory
                         rows.append((head + e.path, None if is_dir else e.size, e.mtime, is_dir))
-            yield pd.DataFrame(rows, columns=["path", "length", "modificationTime", "is_dir"])
+                    if len(rows) == _ROWS:  # a folder of any size, some entries at a time
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns)
 
     return places.mapInPandas(
         run, "path string, length bigint, modificationTime timestamp, is_dir boolean"
@@ -213,15 +219,15 @@ def write_texts(df: DataFrame, folder: str, name: str = "name", text: str = "tex
     """
     resolve = file_system_of()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = resolve(folder)
-        for frame in frames:
-            for place, body in zip(frame["name"], frame["text"]):
-                where = f"{root.rstrip('/')}/{place}"
+        for batch in batches:
+            for place, body in zip(batch.column("name"), batch.column("text")):  # one text at a time in Python
+                where = f"{root.rstrip('/')}/{place.as_py()}"
                 system.create_dir(where.rpartition("/")[0], recursive=True)
                 with system.open_output_stream(where, compression=None) as out:
-                    out.write((body or "").encode("utf-8", "surrogatepass"))
-            yield pd.DataFrame({"files": [len(frame)]})
+                    out.write((body.as_py() or "").encode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_pydict({"files": pa.array([batch.num_rows], pa.int64())})
 
     rows = df.select(F.col(name).alias("name"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "files bigint").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+    return rows.mapInArrow(run, "files bigint").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]

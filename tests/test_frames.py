@@ -2,11 +2,13 @@
 
 import hashlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cloakframe.operators import frames
 from cloakframe.plans import jobs
+from cloakframe.sources import files
 
 CONTENTS = {"a.txt": b"short", "sub/b.bin": bytes(range(256)) * 20, "sub/empty": b"", "exact": b"x" * 200, "é ü.txt": "ä".encode() * 333}
 
@@ -73,3 +75,19 @@ def test_harmed_frames_fail(spark, sealed, tmp_path):
 def test_empty_folder(spark, tmp_path):
     sealed = frames.encrypt_files(spark, str(tmp_path), "password", rounds=10)
     assert frames.decrypt_frames(sealed, "password", 10).count() == 0
+
+
+def test_a_large_folder_is_listed_in_batches(tmp_path, monkeypatch):
+    class Places:
+        def mapInPandas(self, run, schema):
+            return run
+
+    monkeypatch.setattr(files, "_ROWS", 3, raising=False)
+    for name, count in (("a", 7), ("b", 2), ("c", 0)):
+        (tmp_path / name).mkdir()
+        for i in range(count):
+            (tmp_path / name / f"f{i}").write_text("x")
+    places = pd.DataFrame({"path": [str(tmp_path / name) for name in "abc"]})
+    frames = list(files._listed(Places())(iter([places])))
+    assert [len(f) for f in frames] == [3, 3, 1, 2]
+    assert sum(f["length"].sum() for f in frames) == 9
