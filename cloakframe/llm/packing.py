@@ -17,10 +17,11 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cloakframe.llm.tables import in_process, keyed_texts, stored
@@ -80,15 +81,16 @@ def fill_plan(counts: np.ndarray, window: int) -> pd.DataFrame:
 
 
 class _Encoder:
-    """Token bytes of texts, from runs of blanks with the word behind them.
+    """Token bytes of texts, from words with the blank in front of them.
 
-    A byte-level pre-tokenizer never joins characters over the border in front of a run, nor over
-    that between a letter or number and a full stop or comma, so a text has the ids of
-    its runs, one after another.  Short runs met before are looked up (at most ``most``), all
-    others of a block of texts are encoded together.
+    A byte-level pre-tokenizer never joins characters over the border in front of a blank behind
+    something else, nor over that between a letter or number and a full stop or comma, so a text has the
+    ids of its parts, one after another.  Texts are split at single spaces and line feeds; those with blanks
+    behind blanks at such a border are cut into runs instead.  Short parts met before are looked up (at
+    most ``most``), all others of a block of texts are encoded together.
     """
 
-    LONGEST = 64  # characters of a run that is kept
+    LONGEST = 64  # characters of a part that is kept
 
     def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallel part
@@ -97,28 +99,87 @@ class _Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._known: dict[str, bytes] = {}
         self._most = most
+        added = [(key, token) for key, token in self._tokenizer.get_added_tokens_decoder().items()
+                 if token.content.count(token.content[0]) == 1 and not (
+                     token.lstrip or token.rstrip or token.single_word or token.normalized)]
+        #: Id and text of a token that is cut out of any text before all else, if it is the only one.
+        self._between = added[0] if len(added) == len(self._tokenizer.get_added_tokens_decoder()) == 1 else None
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        """The token bytes of each text; those that cannot hold the token between them are encoded as one."""
+        if self._between:
+            token, text = self._between[0], self._between[1].content
+            plain = [x for x in texts if text[0] not in x]
+            every, = self._tokenizer.encode_batch_fast([text.join(plain)], add_special_tokens=False)
+            ids = np.array(every.ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == token), len(ids)) * 4
+            if len(ends) == len(plain):
+                ids = ids.tobytes()
+                found = [ids[x:y] for x, y in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist())]
+                if len(plain) == len(texts):
+                    return found
+                known = dict(zip(plain, found))
+                other = [x for x in texts if x not in known]
+                known.update(zip(other, self._one_by_one(other)))
+                return [known[x] for x in texts]
+        return self._one_by_one(texts)
+
+    def _one_by_one(self, texts: list[str]) -> list[bytes]:
+        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        runs = [_PIECE.findall(text) for text in texts]
         known = self._known
-        new = [run for run in set().union(*runs) if run not in known]
-        for at in range(0, len(new), _ENCODED):
-            part = new[at:at + _ENCODED]
-            found = self._tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            known.update((run, np.array(e.ids, "<u4").tobytes()) for run, e in zip(part, found))
-        out = [b"".join(map(known.__getitem__, own)) for own in runs]
-        for run in new:  # frequent runs come early and stay
-            if len(known) > self._most or len(run) > self.LONGEST:
-                del known[run]
+        parts = [_parts(text) for text in texts]
+        values = [list(map(known.get, own)) for own in parts]
+
+        def unknown() -> set[str]:
+            return {part for own, found in zip(parts, values) for part, value in zip(own, found) if value is None}
+
+        new = unknown()
+        odd = {part for part in new if not part or part[-1].isspace()}
+        if odd:
+            for at, own in enumerate(parts):
+                if not odd.isdisjoint(own):
+                    parts[at] = [" " + run for run in _PIECE.findall(texts[at])]
+                    values[at] = list(map(known.get, parts[at]))
+            new = unknown()
+        stems = {part: part[:-1] for part in new if part[-1] in ".," and part[-2:-1].isalnum()}
+        wanted = list((new - stems.keys()).union((s for s in stems.values() if s not in known), (" .", " ,") if stems else ()))
+        fresh: dict[str, bytes] = {}
+        for at in range(0, len(wanted), _ENCODED):
+            some = wanted[at:at + _ENCODED]
+            fresh.update(zip(some, self._encoded([
+                part[1:] if part[0] == " " else part if part[0] == "\n" else " " + part for part in some])))
+        for part, stem in stems.items():
+            fresh[part] = (known.get(stem) or fresh[stem]) + fresh[" " + part[-1]]
+        out = [b"".join([fresh[part] if value is None else value for part, value in zip(own, found)]
+                        if None in found else found) for own, found in zip(parts, values)]
+        for part, value in fresh.items():  # frequent parts come early and stay
+            if len(known) >= self._most:
+                break
+            if len(part) <= self.LONGEST and not part[-1].isspace():  # a blank at the end marks odd texts
+                known[part] = value
         return out
 
 
+def _parts(text: str) -> list[str]:
+    """The text split in front of spaces and line feeds.
+
+    A part is written without its space.  One without a space in front is the text behind a space,
+    or begins with its line feed.
+    """
+    parts = text.replace("\n", " \n").split(" ")
+    parts[0] = " " + parts[0]
+    return parts
+
+
 #: New runs that are encoded at once, and characters of texts that are looked up together.
-_ENCODED = 20_000
+_ENCODED = 2_000
 _BLOCK = 2_000_000
 
 
-def _blocks(texts: list[str]) -> Iterator[list[str]]:
+def _blocks(texts: Iterable[str]) -> Iterator[list[str]]:
     """The texts in order, in blocks of about :data:`_BLOCK` characters; a longer text is alone."""
     block, size = [], 0
     for text in texts:
@@ -131,19 +192,23 @@ def _blocks(texts: list[str]) -> Iterator[list[str]]:
         yield block
 
 
+_PIECES = pa.schema([(name, pa.int32() if name == "part" else pa.int64()) for name in (
+    "doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank")])
+
+
 def _tokenized(path: str, window: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = in_process("tokens", path, lambda: _Encoder(path))
-        met = np.zeros(window + 1, np.int64)
+        met = [0] * (window + 1)
         part = None
         for batch in batches:
-            part = int(batch["part"].iloc[0]) if part is None and len(batch) else part
+            part = batch.column("part")[0].as_py() if part is None and batch.num_rows else part
             at = 0
-            for block in _blocks(batch["text"].tolist()):
+            for block in _blocks(text.as_py() for text in batch.column("text")):
                 out = []
-                for doc_id, ids in zip(batch["doc_id"].iloc[at:at + len(block)], encoder.ids(block)):
+                for doc_id, ids in zip(batch.column("doc_id").slice(at, len(block)).to_pylist(), encoder.ids(block)):
                     ids += end
                     tokens = len(ids) // 4
                     for start in range(0, tokens, window):
@@ -152,8 +217,8 @@ def _tokenized(path: str, window: int, end_id: int):
                         out.append((doc_id, start, length, zlib.crc32(piece), tokens, part, met[length]))
                         met[length] += 1
                 at += len(block)
-                yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens",
-                                                 "part", "rank"]).astype({"doc_id": "Int64"})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(values, kind) for values, kind in zip(zip(*out), _PIECES.types)], schema=_PIECES)
 
     return run
 
@@ -184,7 +249,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 0)
     The numbers of sequences have no gaps.
     """
     texts = keyed_texts(docs).withColumn("part", F.spark_partition_id())
-    pieces = stored(texts.mapInPandas(
+    pieces = stored(texts.mapInArrow(
         _tokenized(tokenizer, window, end_id),
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, rank long",
     ), "pieces")

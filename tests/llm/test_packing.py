@@ -72,6 +72,27 @@ def test_encoder_without_room(tokenizer):
     assert list(_blocks([])) == []
 
 
+def test_new_parts_are_encoded_as_one_text(tokenizer):
+    """One call for a block of words; those that could hold the token between them are encoded by themselves."""
+    encoder, calls = _Encoder(tokenizer_file()), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            calls.append(len(texts))
+            return tokenizer.encode_batch_fast(texts, **how)
+
+    encoder._tokenizer = Counted()
+    texts = [" ".join(f"word{i}, x{i}.\nend{i}" for i in range(200)), "a\n\n\nb  c \n d\t e\n", "\n a", " \n", "a ", "\n"]
+    wanted = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.ids(texts) == wanted and calls == [1]
+    assert encoder.ids(texts[:1]) == wanted[:1] and calls == [1]
+    assert encoder.ids(texts) == wanted
+    texts = ["one <|endoftext|>two", "<|endof text|> three <", "<|endoftext|>"]
+    assert encoder.ids(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    encoder._between = None
+    assert encoder.ids(["four five"]) == [np.array(tokenizer.encode("four five", add_special_tokens=False).ids, "<u4").tobytes()]
+
+
 def test_best_fill_is_closest():
     rng = random.Random(2)
     for _ in range(200):
