@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from cloakframe.llm.learning import labelled_sample, with_labels
-from cloakframe.llm.tables import held_out, keyed_texts
+from cloakframe.llm.tables import forget, held_out, keyed_texts
 
 #: Most labelled documents that mining, label model and classifier see.
 MOST_TRAINED = 8000
@@ -99,6 +99,7 @@ def scaled(counts: np.ndarray, n_words: int) -> np.ndarray:
 
 
 def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    forget()
     known = _Buckets()
     for batch in batches:
         out = []
@@ -302,11 +303,11 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
     weights, offset = fit(docs, labels, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known = _Buckets(weights)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            yield batch.filter(pa.array([score(t or "", known, weights, offset) < threshold for t in texts],
-                                        pa.bool_()))
+            yield batch.filter(pa.array([score(t.as_py() or "", known, weights, offset) < threshold
+                                         for t in batch.column("text")], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

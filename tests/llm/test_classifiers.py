@@ -124,3 +124,13 @@ def test_bounds_are_parameters(spark, docs_of):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
     docs = docs_of([(i, "good words" if i % 2 else "bad things") for i in range(40)])
     assert score_quality(docs, labels, most=5).count() == 40
+
+
+def test_scoring_drops_what_other_stages_keep():
+    """A worker process that packed before does not hold its table of tokens while it scores."""
+    from cloakframe.llm import tables
+
+    tables.in_process("tokens", "file", lambda: {"a": b"1"})
+    assert tables._in_process
+    assert list(toxicity._featured(iter([]))) == []
+    assert not tables._in_process
