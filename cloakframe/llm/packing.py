@@ -14,9 +14,12 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
+import string
 import zlib
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from cloakframe.llm.tables import in_process, keyed_texts, stored
 
 WINDOW = 1024
-_PIECE = re.compile(r"\s*[^\W_]+(?=[.,])|\s*\S+|\s+")
+_RUN = re.compile(r"\s*\S+|\s+")
 
 
 def best_fill(counts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -80,14 +83,25 @@ def fill_plan(counts: np.ndarray, window: int) -> pd.DataFrame:
         "int64").sort_values(["length", "first"], ignore_index=True)
 
 
+class _Known(dict):
+    """Token bytes of parts; each part looked up that is not in it gets one empty place in ``new``, to be filled."""
+
+    def __init__(self):
+        super().__init__()
+        self.new = defaultdict(bytearray)
+
+    def __missing__(self, part: str) -> bytearray:
+        return self.new[part]
+
+
 class _Encoder:
     """Token bytes of texts, from words with the blank in front of them.
 
     A byte-level pre-tokenizer never joins characters over the border in front of a blank behind
-    something else, nor over that between a letter or number and a full stop or comma, so a text has the
+    something else, nor over that between a letter or number and a sign, so a text has the
     ids of its parts, one after another.  Texts are split at single spaces and line feeds; those with blanks
     behind blanks at such a border are cut into runs instead.  Short parts met before are looked up (at
-    most ``most``), all others of a block of texts are encoded together.
+    most ``most``), all others of a block of texts are encoded together, without the signs at their ends.
     """
 
     LONGEST = 64  # characters of a part that is kept
@@ -97,70 +111,93 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {}
+        self._known = _Known()
         self._most = most
-        added = [(key, token) for key, token in self._tokenizer.get_added_tokens_decoder().items()
-                 if token.content.count(token.content[0]) == 1 and not (
-                     token.lstrip or token.rstrip or token.single_word or token.normalized)]
+        added = self._tokenizer.get_added_tokens_decoder()
+        single = [(key, token.content) for key, token in added.items()
+                  if token.content.count(token.content[0]) == 1 and not (
+                      token.lstrip or token.rstrip or token.single_word or token.normalized)]
         #: Id and text of a token that is cut out of any text before all else, if it is the only one.
-        self._between = added[0] if len(added) == len(self._tokenizer.get_added_tokens_decoder()) == 1 else None
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        """The token bytes of each text; those that cannot hold the token between them are encoded as one."""
-        if self._between:
-            token, text = self._between[0], self._between[1].content
-            plain = [x for x in texts if text[0] not in x]
-            every, = self._tokenizer.encode_batch_fast([text.join(plain)], add_special_tokens=False)
+        self._between = single[0] if len(single) == len(added) == 1 else None
+        #: Signs that no such token holds: a part may be cut in front of those at its end.
+        self._signs = "".join(set(string.punctuation).difference(*(token.content for token in added.values())))
+        vocabulary = self._tokenizer.get_vocab()
+        #: By id, whether a token begins with a space or line feed.
+        self._begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._begins[[key for token, key in vocabulary.items() if token[0] in "ĠĊ"]] = True
+        self._unsplit = _unsplit(self._tokenizer) if self._between else None
+
+    def _encoded(self, parts: list[str]) -> dict[str, bytes]:
+        """The token bytes of each part; those that cannot hold the token between them are encoded together.
+
+        Parts with a space or line feed in front, and no other, follow each other: words of letters alone some at
+        a time, where they need not be split, and other parts as one text.  In it, the token lies between the rest.
+        """
+        if not self._between:
+            return self._one_by_one(parts)
+        token, text = self._between
+        found: dict[str, bytes] = {}
+        words = [part for part in parts if _WORD(part)] if self._unsplit else []
+        if words:
+            every = self._unsplit.encode_batch_fast(
+                ["".join(map(_literal, words[at:at + _WORDS])) for at in range(0, len(words), _WORDS)],
+                add_special_tokens=False)
+            ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in every), "<u4")
+            begins = np.flatnonzero(self._begins[ids])
+            if len(begins) == len(words):
+                found = _cut(words, ids.tobytes(), [*begins.tolist(), len(ids)])
+        plain = [part for part in parts if part not in found and text[0] not in part]
+        if plain:
+            near = [part for part in plain if part[0] != " "]
+            rest = [part for part in plain if part[0] == " "]
+            joined = text.join(["".join(map(_literal, near)), *map(_literal, rest)])
+            every, = self._tokenizer.encode_batch_fast([joined], add_special_tokens=False)
             ids = np.array(every.ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == token), len(ids)) * 4
-            if len(ends) == len(plain):
+            ends = np.append(np.flatnonzero(ids == token), len(ids)).tolist()
+            begins = np.flatnonzero(self._begins[ids[:ends[0]]])
+            if len(ends) == len(rest) + 1 and len(begins) == len(near):
                 ids = ids.tobytes()
-                found = [ids[x:y] for x, y in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist())]
-                if len(plain) == len(texts):
-                    return found
-                known = dict(zip(plain, found))
-                other = [x for x in texts if x not in known]
-                known.update(zip(other, self._one_by_one(other)))
-                return [known[x] for x in texts]
-        return self._one_by_one(texts)
-
-    def _one_by_one(self, texts: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+                found.update(_cut(near, ids, [*begins.tolist(), ends[0]]))
+                found.update(_cut(rest, ids, ends, 4))
+        if len(found) < len(parts):
+            found.update(self._one_by_one([part for part in parts if part not in found]))
+        return found
+
+    def _one_by_one(self, parts: list[str]) -> dict[str, bytes]:
+        found = self._tokenizer.encode_batch_fast([*map(_literal, parts)], add_special_tokens=False)
+        return {part: np.array(e.ids, "<u4").tobytes() for part, e in zip(parts, found)}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         known = self._known
+        new = known.new
         parts = [_parts(text) for text in texts]
-        values = [list(map(known.get, own)) for own in parts]
-
-        def unknown() -> set[str]:
-            return {part for own, found in zip(parts, values) for part, value in zip(own, found) if value is None}
-
-        new = unknown()
+        values = [list(map(known.__getitem__, own)) for own in parts]
         odd = {part for part in new if not part or part[-1].isspace()}
+        for part in odd:  # before the runs are looked up, as one of them may be written alike
+            del new[part]
         if odd:
             for at, own in enumerate(parts):
                 if not odd.isdisjoint(own):
-                    parts[at] = [" " + run for run in _PIECE.findall(texts[at])]
-                    values[at] = list(map(known.get, parts[at]))
-            new = unknown()
-        stems = {part: part[:-1] for part in new if part[-1] in ".," and part[-2:-1].isalnum()}
-        wanted = list((new - stems.keys()).union((s for s in stems.values() if s not in known), (" .", " ,") if stems else ()))
+                    values[at] = [known[_part(run)] for run in _RUN.findall(texts[at])]
+        signs = self._signs
+        stems = {part: stem for part in new if part[-1] in signs and (stem := part.rstrip(signs))[-1:].isalnum()}
+        tails = {part: " " + part[len(stem):] for part, stem in stems.items()}
+        wanted = [*(new.keys() - stems.keys()).union(x for x in (*stems.values(), *tails.values()) if x not in known)]
         fresh: dict[str, bytes] = {}
         for at in range(0, len(wanted), _ENCODED):
-            some = wanted[at:at + _ENCODED]
-            fresh.update(zip(some, self._encoded([
-                part[1:] if part[0] == " " else part if part[0] == "\n" else " " + part for part in some])))
+            fresh.update(self._encoded(wanted[at:at + _ENCODED]))
         for part, stem in stems.items():
-            fresh[part] = (known.get(stem) or fresh[stem]) + fresh[" " + part[-1]]
-        out = [b"".join([fresh[part] if value is None else value for part, value in zip(own, found)]
-                        if None in found else found) for own, found in zip(parts, values)]
+            tail = tails[part]
+            fresh[part] = (known.get(stem) or fresh[stem]) + (known.get(tail) or fresh[tail])
+        for part, place in new.items():
+            place += fresh[part]
+        new.clear()
         for part, value in fresh.items():  # frequent parts come early and stay
             if len(known) >= self._most:
                 break
             if len(part) <= self.LONGEST and not part[-1].isspace():  # a blank at the end marks odd texts
                 known[part] = value
-        return out
+        return [b"".join(own) for own in values]
 
 
 def _parts(text: str) -> list[str]:
@@ -174,7 +211,57 @@ def _parts(text: str) -> list[str]:
     return parts
 
 
-#: New runs that are encoded at once, and characters of texts that are looked up together.
+def _part(run: str) -> str:
+    """The part that stands for a run of blanks and what follows them."""
+    if run[0] in " \n" and not run[1:2].isspace() and len(run) > 1:
+        return run[1:] if run[0] == " " else run
+    return " " + run
+
+
+def _literal(part: str) -> str:
+    """What a part of :func:`_parts` stands for."""
+    return part[1:] if part[0] == " " else part if part[0] == "\n" else " " + part
+
+
+def _cut(parts: list[str], ids: bytes, cuts: list[int], behind: int = 0) -> dict[str, bytes]:
+    """The bytes of each part, which lie ``behind`` a cut and before the next one."""
+    return {part: ids[4 * x + behind:4 * y] for part, x, y in zip(parts, cuts, cuts[1:])}
+
+
+#: Letters that any version of Unicode calls letters, of one or two bytes; a part of nothing else.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_WORD = re.compile(f"\n?[{_LETTERS}]+").fullmatch
+
+
+def _unsplit(tokenizer):
+    """The tokenizer without its splitting, if this gives the same tokens for words of letters behind spaces and line feeds.
+
+    It splits in front of both and behind line feeds.  Where no token holds such a border, no merge can reach over it, so
+    the splitting changes nothing.
+    """
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    model, split = tokenizer.model, tokenizer.pre_tokenizer
+    if not (isinstance(model, models.BPE) and isinstance(split, pre_tokenizers.ByteLevel)
+            and split.use_regex and not split.add_prefix_space and tokenizer.normalizer is None
+            and not (model.dropout or model.unk_token or model.continuing_subword_prefix or model.end_of_word_suffix
+                     or model.byte_fallback or model.ignore_merges)):
+        return None
+    whole = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    letters = re.findall(f"[{_LETTERS}]", "".join(map(chr, range(0x250))))
+    (spelled, _), = whole.pre_tokenize_str("".join(letters))
+    spelled = set(spelled)
+    for token in tokenizer.get_vocab():
+        if ("Ġ" in token[1:] or "Ċ" in token[1:] or token[0] == "Ċ") and (
+                own := set(token) - {"Ġ", "Ċ"}) and own <= spelled:
+            return None
+    plain = Tokenizer(model)
+    plain.pre_tokenizer = whole
+    return plain
+
+
+#: Words that are encoded as one text, new runs that are encoded at once, and characters of texts that are looked up together.
+_WORDS = 30
 _ENCODED = 2_000
 _BLOCK = 2_000_000
 

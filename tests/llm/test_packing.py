@@ -3,9 +3,9 @@ import zlib
 
 import numpy as np
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
-from cloakframe.llm.packing import _blocks, _Encoder, best_fill, fill_plan, op4_packing, pack, tokenizer_file
+from cloakframe.llm.packing import _blocks, _Encoder, _unsplit, best_fill, fill_plan, op4_packing, pack, tokenizer_file
 
 
 @pytest.fixture(scope="module")
@@ -93,6 +93,64 @@ def test_new_parts_are_encoded_as_one_text(tokenizer):
     assert encoder.ids(["four five"]) == [np.array(tokenizer.encode("four five", add_special_tokens=False).ids, "<u4").tobytes()]
 
 
+def test_new_parts_follow_each_other(tokenizer):
+    """Parts behind blanks are encoded as they would stand in a text, each once, whatever signs are at its end."""
+    encoder, sent = _Encoder(tokenizer_file()), []
+
+    class Kept:
+        def __init__(self, of):
+            self.of = of
+
+        def encode_batch_fast(self, texts, **how):
+            sent.extend(texts)
+            return self.of.encode_batch_fast(texts, **how)
+
+    unsplit = encoder._unsplit
+    encoder._tokenizer, encoder._unsplit = Kept(tokenizer), Kept(unsplit)
+    texts = ["zero alphab betagam###\nDelta alphab&&& alphab. betagam,", "it's's' alphab'' betagam$$$ a1... b2.c!? x<|>"]
+    wanted = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.ids(texts) == wanted
+    assert sum(x.count("alphab") for x in sent) == sum(x.count("betagam") for x in sent) == 1
+    assert not any("<|endoftext|> " in x for x in sent)  # nothing lies in front of a blank but the part before
+    sent.clear()
+    assert encoder.ids(["zero alphab### betagam&&&"]) == [
+        np.array(tokenizer.encode("zero alphab### betagam&&&", add_special_tokens=False).ids, "<u4").tobytes()]
+    assert sent == []
+
+
+def test_words_of_letters_need_no_splitting(tokenizer):
+    """The tokens of words some at a time are those of each by itself; not where a token reaches over a border."""
+    rng, encoder = random.Random(5), _Encoder(tokenizer_file(), most=0)
+    assert encoder._unsplit is not None
+    words = ["".join(rng.choice("aeiourstlnABCéßñüÖœž") for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    texts = ["".join(rng.choice([" ", " ", "\n"]) + w for w in words[at:at + 500]) for at in range(0, 3000, 500)]
+    assert encoder.ids(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    letters = [*pre_tokenizers.ByteLevel.alphabet(), "Ġa"]
+    for over in ("aĠ", "Ċa"):
+        bpe = models.BPE({x: i for i, x in enumerate([*letters, over])}, [("Ġ", "a"), tuple(over)])
+        other = Tokenizer(bpe)
+        other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+        assert _unsplit(other) is None
+        other.model = models.BPE({x: i for i, x in enumerate(letters)}, [("Ġ", "a")])
+        assert _unsplit(other).encode("a a a").ids == other.encode("a a a").ids
+        other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+        assert _unsplit(other) is None
+
+
+def test_blocks_of_odd_texts(tokenizer):
+    """Texts with blanks behind blanks beside others that share their words, and texts of blanks alone."""
+    rng, encoder = random.Random(4), _Encoder(tokenizer_file(), most=200)
+    words = ["a", "Bc", "dé", "12", "it's", "x<|endoftext|>y", "<|>", "'", "$$$", "e.f", "ß", "漢", "\x1c", "\xa0", "<|endoftext|>", "'ll"]
+    for _ in range(300):
+        texts = ["".join(rng.choice(words) + rng.choice(["", "", "###", ".", "?!", "'", ">"]) + rng.choice(blanks)
+                         for _ in range(rng.randint(0, 12)))
+                 for blanks in ([" "], [" ", "\n"], [" ", "  ", "\n", "\n\n ", "\t", " \t"])
+                 for _ in range(3)] + [rng.choice(["\t", " ", "\n", "\t ", "\n\n", "\xa0", " \xa0", "\x1c"])]
+        assert encoder.ids(texts) == [
+            np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert len(encoder._known) <= 200 and not encoder._known.new
+
+
 def test_best_fill_is_closest():
     rng = random.Random(2)
     for _ in range(200):
