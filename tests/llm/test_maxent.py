@@ -182,3 +182,103 @@ def test_only_rare_tokens_outlive_their_text():
     assert tokens.rare_tokens == [b"x", b"y"] and tokens.rare.tolist() == [1, 5]
     assert tokens.sizes.tolist() == [4, 1, 3] and v.index.rare is tokens.rare_tokens and b"x" not in v.index
     assert m._Tokens(["z"], v).rare_tokens == [b"z"] and tokens.rare_tokens == [b"x", b"y"]
+
+
+def test_tokens_outside_the_classes_depend_on_what_came_before(spark, docs_of):
+    """Far more tokens than there are places in classes, each of them behind one other token only."""
+    pairs = [(f"a{i}", f"b{i}") for i in range(1500)]
+    learned = [i for i in range(8000) if not out(i)][:6000]
+    held = [i for i in range(30000) if out(i)][:3000]
+    texts = [f"{a} {b}" for a, b in pairs * 4]
+    others = [f"{a} {pairs[(i * 7 + 1) % 1500][1]}" for i, (a, _) in enumerate(pairs)]
+    rows = [*zip(learned, texts), *zip(held, [f"{a} {b}" for a, b in pairs] + others)]
+    for lookup in (1 << 17, 700, 1):  # by far most tokens of the tail are sent, some are, none is
+        got = {r.doc_id: r for r in score_texts(docs_of(rows), lookup).collect()}
+        met, unmet = (np.mean([got[k].score for k in own]) for own in (held[:1500], held[1500:]))
+        base = np.mean([got[k].base_score for k in held])
+        assert base == pytest.approx(np.mean([got[k].base_score for k in held[:1500]]))
+        assert met > unmet + 0.3 and met > base + 0.3
+
+
+@pytest.mark.parametrize("known, rare, buckets", [(30, 0, 2), (700, 900, 64), (512, 300, 2), (2000, 5, 16)])
+def test_probabilities_add_up_over_sent_and_rare_tokens(known, rare, buckets):
+    """Behind one history, over all that are sent, all rare ones in the trees of their buckets, and one unknown."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(known)
+    sent = sorted(((b"w%d" % i, int(rng.integers(40, 900))) for i in range(known)), key=lambda x: (-x[1], x[0]))
+    seldom = [(b"r%d" % i, int(rng.integers(1, 30))) for i in range(rare)]
+    held = np.zeros(buckets, np.int64)
+    for t, n in seldom:
+        held[m._hash(t) >> (65 - buckets.bit_length())] += n + 1
+    v = m.Vocabulary([t for t, _ in sent], np.array([n for _, n in sent], np.int64), min(known, 512),
+                     sum(n for _, n in sent + seldom), known + rare, held)
+    weights = [rng.normal(size=w.shape).astype(np.float32) for w in m.no_weights()]
+    def last(token):
+        tokens = m._Tokens(["w1 w2 " + token.decode()], v)
+        return tokens, m.log_probabilities(tokens, v, weights)[2]
+
+    total = sum(math.exp(last(t)[1]) for t, _ in sent)
+    tokens, unknown = last(b"unknown")
+    total += math.exp(unknown)
+    assert tokens.rare_tokens[0] == b"unknown"
+    rows = []
+    for at, (t, n) in enumerate(seldom):
+        tokens, _ = last(t)
+        one, two = (int(x[0]) for x in tokens.before)
+        own = np.uint64(one << 32 | two).view(np.int64)
+        rows += [(at, False, t, 0, own, float(m.log_buckets(tokens, v, weights)[0]))] * n
+    rows.append((rare, True, b"unknown", 0, np.int64(0), -3.0))
+    rng.shuffle(rows)
+    shelf = pa.table([list(x) for x in zip(*rows)], pa.schema([
+        ("row", pa.int64()), ("held_out", pa.bool_()), ("token", pa.binary()), ("shelf", pa.int32()),
+        ("before", pa.int64()), ("log_bucket", pa.float32())]))
+    got = {r["row"]: r for r in m._shelved(buckets, v.tail_size, 0.5)(shelf).to_pylist()}
+    assert (got[rare]["known"], got[rare]["base"], got[rare]["own"]) == (0, 0, 0)
+    for at, (t, n) in enumerate(seldom):
+        assert got[at]["known"] == 1 and got[at]["base"] == pytest.approx(math.log10(n + 1))
+        total += math.exp(unknown) * 10 ** got[at]["own"]
+    assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_without_weights_all_tokens_have_their_shares():
+    """Trees over masses of any kind lead to each leaf with its share."""
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 3, 17, 300):
+        leaves = rng.integers(0, 50, n) * rng.integers(0, 2, n) + (np.arange(n) == n // 2)
+        splits, some = m._splits(leaves), np.flatnonzero(leaves)
+        got = m._log_walk(some, np.zeros((3, len(some)), np.uint64), splits, m.no_weights()[2], m._height(splits))
+        assert np.exp(got) == pytest.approx(leaves[some] / leaves.sum(), rel=1e-4)
+
+
+def test_steps_of_the_tree_are_gradients():
+    v = vocabulary({b"a": 5, b"b": 3, m.END: 4} | {b"t%d" % i: 1 for i in range(2000)})
+    tokens = m._Tokens(["a t991 a t1500 b t991", "t998 a"], v)
+    assert (tokens.leaves >= 0).sum() == 4
+    weights, own = m.no_weights(), m.no_weights()
+    past, touched = [np.ones(m.ROWS, np.float32) for _ in own], [np.zeros(m.ROWS) for _ in own]
+    m.learn(tokens, v, own, past, touched, 1.0)
+    moved = np.argwhere(own[2])
+    assert len(moved) >= 4 * 3 * 5 and set(moved[:, 0]) <= set(np.flatnonzero(touched[2]))
+    assert touched[2].sum() == 4 * 3 * 3  # tokens, features, rows of a path of 11 steps
+    for row, column in moved[::7]:
+        up, down = m.no_weights(), m.no_weights()
+        up[2][row, column] += 0.05
+        down[2][row, column] -= 0.05
+        gradient = -sum(s * m.log_probabilities(tokens, v, w).sum() for s, w in ((1, up), (-1, down))) / 0.1
+        assert own[2][row, column] * np.sqrt(past[2][row]) == pytest.approx(-gradient, abs=2e-2)
+
+
+def test_hashes_and_buckets_are_those_of_spark(spark):
+    rng = random.Random(9)
+    tokens = list({rng.randbytes(rng.randint(1, 90)) for _ in range(300)})
+    counts = spark.createDataFrame([(bytearray(t), rng.randint(0, 3), rng.randint(3, 9)) for t in tokens],
+                                   "token binary, n long, every long")
+    got = counts.selectExpr("token", "n", "xxhash64(token) as h").collect()
+    assert all(r.h % (1 << 64) == m._hash(bytes(r.token)) for r in got)
+    v = m.vocabulary(counts, 0)
+    wanted = Counter()
+    for r in got:
+        if r.n and bytes(r.token) not in v.tokens:
+            wanted[m._hash(bytes(r.token)) >> (65 - len(v.buckets).bit_length())] += r.n + 1
+    assert {i: n for i, n in enumerate(v.buckets.tolist()) if n} == wanted
